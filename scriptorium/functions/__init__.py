@@ -1,0 +1,23 @@
+"""Column functions, and their registration under SQL names."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    """Make the Arrow functions callable from SQL."""
+    from pyspark.sql import functions as F
+
+    from scriptorium.functions import bibtex, folding, html, similarity
+
+    named = {
+        "nfkd_fold": (folding._strip, "string"),
+        "seq_ratio": (similarity._ratios, "double"),
+        "token_set_ratio": (similarity._token_sets, "double"),
+        "bib_parse": (bibtex._entries, bibtex.ENTRY),
+        "html_parse": (html._parsed, html.PARSED),
+        "html_extract": (html._documents, html.DOCUMENT),
+    }
+    for name, (function, kind) in named.items():
+        spark.udf.register(name, F.pandas_udf(function, kind))
