@@ -44,7 +44,7 @@ EM_ROUNDS = 60
 _END = 0x9E3779B97F4A7C15
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_PACK = "block long, doc_ids binary, flags binary, lengths binary, keys binary, tokens binary, n_train long, n_tokens long"
+_PACK = "block long, doc_ids binary, flags binary, lengths binary, keys binary, tokens binary, deleted boolean"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -98,6 +98,12 @@ def ngram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def _packs(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of documents; those of the deleted fold are apart.
+
+    Packs are made anew in each pass over them rather than kept. A block's name has its
+    place and content in it, so a pass that saw other rows would miss its answers and fail.
+    """
+
     def pack(ids: list, flags: list, texts: list[np.ndarray], block: int) -> pa.RecordBatch:
         flat = np.concatenate(texts)
         keys, tokens = np.unique(flat, return_inverse=True)
@@ -106,25 +112,27 @@ def _packs(docs: DataFrame, block_bytes: int) -> DataFrame:
         known = np.array([x is not None for x in ids], np.int64)
         both = np.stack((np.array([0 if x is None else x for x in ids], np.int64), known), axis=1)
         row = {
-            "block": block, "doc_ids": both.tobytes(), "flags": marks.tobytes(), "lengths": lengths.tobytes(), "keys": _squeeze(keys), "tokens": _squeeze(tokens.astype(np.uint32)),
-            "n_train": int(lengths[marks != HELD_OUT].sum()), "n_tokens": len(flat),
+            "doc_ids": both.tobytes(), "flags": marks.tobytes(), "lengths": lengths.tobytes(), "keys": _squeeze(keys), "tokens": _squeeze(tokens.astype(np.uint32)),
         }
-        return pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "flags", "lengths", "keys", "tokens")), ("n_train", pa.int64()), ("n_tokens", pa.int64())]))
+        name = xxhash.xxh64(b"".join(row.values()), seed=block & 0xFFFFFFFF)
+        row |= {"block": name.intdigest() - (1 << 63), "deleted": flags[0] == DELETED}
+        return pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "flags", "lengths", "keys", "tokens")), ("deleted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, flags, texts, held, first = [], [], [], 0, None
+        open_: dict[bool, list] = {}
         for batch in batches:
             for key, mark, row, text in zip(*(c for c in batch.columns)):
-                first = row.as_py() if first is None else first
+                kind = mark.as_py() == DELETED
+                ids, flags, texts, held, first = open_.get(kind) or ([], [], [], 0, row.as_py())
                 ids.append(key.as_py())
                 flags.append(mark.as_py())
                 raw = text.as_py()
-                held += len(raw)
                 texts.append(hashed_tokens(raw))
-                if held >= block_bytes:
+                open_[kind] = [ids, flags, texts, held + len(raw), first]
+                if held + len(raw) >= block_bytes:
                     yield pack(ids, flags, texts, first)
-                    ids, flags, texts, held, first = [], [], [], 0, None
-        if ids:
+                    del open_[kind]
+        for ids, flags, texts, _, first in open_.values():
             yield pack(ids, flags, texts, first)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id").cast("int").alias("mark"), F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
@@ -185,7 +193,7 @@ def _requests(packs: DataFrame, order: int, partitions: int) -> DataFrame:
 
 
 def _totals(requests: DataFrame, partitions: int) -> DataFrame:
-    """Each block's answers: totals of its keys in their order; block null: distinct training words."""
+    """Each block's answers: totals of its keys in their order; n = -1: sizes of a partition's words."""
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -195,29 +203,34 @@ def _totals(requests: DataFrame, partitions: int) -> DataFrame:
             rest = np.bincount(place, np.concatenate([_expand(x, np.uint32) for x in own["rest"]]), len(distinct)).astype(np.uint32)
             cut = np.bincount(place, np.concatenate([_expand(x, np.uint32) for x in own["cut"]]), len(distinct)).astype(np.uint32)
             if n == 0:
-                out.append((None, n, int(rows["part"].iloc[0]), None, None, int((rest + cut > 0).sum()), int((rest > 0).sum())))
+                out.append((0, -1, int(rows["part"].iloc[0]), None, None, int((rest + cut > 0).sum()), int((rest > 0).sum()), int(rest.sum()) + int(cut.sum()), int(rest.sum())))
             at = 0
             for block, k in zip(own["block"], keys):
                 mine = place[at : at + len(k)]
                 at += len(k)
-                out.append((int(block), n, int(rows["part"].iloc[0]), _squeeze(rest[mine]), _squeeze(cut[mine]), 0, 0))
-        frame = pd.DataFrame(out, columns=["block", "n", "part", "rest", "cut", "known", "known_rest"])
-        return frame.astype({"block": "Int64"})
+                out.append((int(block), n, int(rows["part"].iloc[0]), _squeeze(rest[mine]), _squeeze(cut[mine]), 0, 0, 0, 0))
+        return pd.DataFrame(out, columns=["block", "n", "part", "rest", "cut", "known", "known_rest", "seen", "seen_rest"])
 
-    answers = requests.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, n int, part long, rest binary, cut binary, known long, known_rest long")
+    answers = requests.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, n int, part long, rest binary, cut binary, known long, known_rest long, seen long, seen_rest long")
     return cut_lineage(answers)
 
 
-def counted_blocks(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, keys_a_partition: int = KEYS_A_PARTITION) -> tuple[DataFrame, dict]:
-    """Packed blocks with the totals of their n-grams, and the corpus's size statistics."""
-    packs = cut_lineage(_packs(docs, block_bytes))
-    sums = packs.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train")).first()
-    partitions = max(1, math.ceil((sums["all"] or 0) * order / keys_a_partition))
-    answers = _totals(_requests(packs, order, partitions), partitions)
-    words = answers.where("block IS NULL").agg(F.sum("known"), F.sum("known_rest")).first()
-    arrays = answers.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("n", "part", "rest", "cut")).alias("answers"))
-    joined = cut_lineage(packs.join(arrays, "block"))
-    return joined, {"train_tokens": int(sums["train"] or 0), "train_words": int(words[0] or 0), "rest_words": int(words[1] or 0)}
+BYTES_A_TOKEN = 5  # about; only the number of key partitions depends on it
+
+
+def counts(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, keys_a_partition: int = KEYS_A_PARTITION) -> tuple[DataFrame, dict]:
+    """(answers, statistics): each block's n-gram totals, and the training corpus's sizes."""
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
+    partitions = max(1, math.ceil(size / BYTES_A_TOKEN * order / keys_a_partition))
+    answers = _totals(_requests(_packs(docs, block_bytes), order, partitions), partitions)
+    sums = answers.where("n < 0").agg(*[F.sum(c) for c in ("known", "known_rest", "seen", "seen_rest")]).first()
+    return answers.where("n >= 0"), dict(zip(("words", "rest_words", "tokens", "rest_tokens"), (int(x or 0) for x in sums)))
+
+
+def answered(packs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Packs with the answers to their requests."""
+    arrays = answers.groupBy("block").agg(F.collect_list(F.struct("n", "part", "rest", "cut")).alias("answers"))
+    return packs.join(arrays, "block", "left")
 
 
 class Counted(Block):
@@ -225,6 +238,8 @@ class Counted(Block):
 
     def __init__(self, row: dict, order: int, deleted: bool) -> None:
         super().__init__(row, order)
+        if row["answers"] is None:
+            raise RuntimeError("documents changed between the passes over them")
         totals = []
         for n in range(order):
             own = sorted((a for a in row["answers"] if a["n"] == n), key=lambda a: a["part"])
@@ -264,7 +279,7 @@ def _unbin(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, 2.0 ** (-(b - 1) / BINS_A_DOUBLING), 0.0)
 
 
-def held_out_histogram(blocks: DataFrame, stats: dict, order: int, tokens: int) -> pd.DataFrame:
+def held_out_histogram(blocks: DataFrame, stats: dict, order: int) -> pd.DataFrame:
     """Tokens of the deleted fold by bucket and quantised estimates; bounded by the bins."""
     names = [f"b{n}" for n in range(order)]
 
@@ -272,11 +287,8 @@ def held_out_histogram(blocks: DataFrame, stats: dict, order: int, tokens: int)
         for batch in batches:
             for row in batch.to_pylist():
                 block = Counted(row, order, deleted=True)
-                own = block.mark == DELETED
-                if not own.any():
-                    continue
-                base, higher, bucket = block.estimates(tokens, stats["rest_words"])
-                table = np.stack([bucket, _bin(base), *map(_bin, higher)], axis=1)[own]
+                base, higher, bucket = block.estimates(stats["rest_tokens"], stats["rest_words"])
+                table = np.stack([bucket, _bin(base), *map(_bin, higher)], axis=1)
                 kinds, n = np.unique(table, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in kinds.T] + [pa.array(n)], ["bucket", *names, "n"])
 
@@ -317,10 +329,11 @@ def score_texts(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
     with one end token. Null and empty texts are the end alone. Repeated rows count and are
     returned as often as they stand; an empty table gives an empty result.
     """
-    blocks, stats = counted_blocks(docs, order, block_bytes, keys_a_partition)
-    rest_tokens = _rest_tokens(blocks)
-    weights = learn_weights(held_out_histogram(blocks, stats, order, rest_tokens), order)
-    total, words = stats["train_tokens"], stats["train_words"]
+    answers, stats = counts(docs, order, block_bytes, keys_a_partition)
+    held = answered(_packs(docs, block_bytes).where("deleted"), answers)
+    weights = learn_weights(held_out_histogram(held, stats, order), order)
+    total, words = stats["tokens"], stats["words"]
+    blocks = answered(_packs(docs, block_bytes), answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,15 +358,3 @@ def score_texts(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
                 )
 
     return blocks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _rest_tokens(blocks: DataFrame) -> int:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = 0
-            for flags, lengths in zip(batch.column(0), batch.column(1)):
-                marks = np.frombuffer(flags.as_py(), np.int8)
-                n += int(np.frombuffer(lengths.as_py(), np.int64)[(marks != HELD_OUT) & (marks != DELETED)].sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return int(blocks.select("flags", "lengths").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
