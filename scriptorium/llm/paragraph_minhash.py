@@ -10,21 +10,29 @@ A passage may repeat inside paragraphs that differ. Runs of ``PASSAGE_WORDS`` wo
 therefore sampled by their smallest hash in each window of ``PASSAGE_WINDOW`` starts
 (one-row MinHash over a sliding paragraph), so any shared run of
 PASSAGE_WORDS + PASSAGE_WINDOW - 1 words (49) has a sampled run in common, wherever it stands.
+Up to PASSAGE_WINDOW - 1 words at either end of such a run are not covered.
+
+Equal paragraphs and runs are found by a columnar exchange: blocks of documents send their
+distinct hashes to hash partitions as sorted binary columns with the first place of each,
+and get back which are repeated and which place is the first. A line that every document
+has costs one entry a block. Words are hashed to 64 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import connected_components
+from scriptorium.llm.hashing import BYTE_VALUES, mix, span_hashes, word_spans
+from scriptorium.llm.interpolation_lm import _edges, _expand, _squeeze
 from scriptorium.llm.runtime import cut_lineage, text_bytes
 
 SHINGLE_WORDS = 5
@@ -34,92 +42,267 @@ BANDS = 4
 ROWS = 2
 PASSAGE_WORDS = 25
 PASSAGE_WINDOW = 25
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+CHUNK_BYTES = 1 << 20  # of text hashed together
+BLOCK_BYTES = 12 << 20  # of text in a block
+KEYS_A_PARTITION = 2_000_000
+BYTES_A_KEY = 60  # about, of text for each paragraph or run; only the number of partitions depends on it
+_NO_ID = -(1 << 63)
+
+
+class Chunk:
+    """Words, paragraphs and sampled runs of some texts."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        joined = b"\n".join(texts).lower()
+        data = np.frombuffer(joined, np.uint8)
+        starts, stops = word_spans(data)
+        self.words = mix(span_hashes(BYTE_VALUES[data], starts, stops)) if len(starts) else np.zeros(0, np.uint64)
+        ends = np.cumsum([len(t) + 1 for t in texts])  # a text's end, with its line end
+        self.doc = np.searchsorted(ends, starts, side="right")  # text of each word
+        self.counts = np.bincount(self.doc, minlength=len(texts))
+        self.first = np.cumsum(self.counts) - self.counts  # each text's first word
+        line = np.cumsum(data == 10)[starts] if len(starts) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.diff(line)) + 1
+        begin, end = np.concatenate(([0], cut)).astype(np.int64), np.concatenate((cut, [len(starts)])).astype(np.int64)
+        keep = end - begin >= LEAST_WORDS
+        self.begin, self.end = begin[keep], end[keep]
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each paragraph, its band keys)."""
+        if not len(self.begin):
+            return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
+        units = mix(span_hashes(self.words, self.begin, self.end) + (self.end - self.begin).astype(np.uint64))
+        sizes = self.end - self.begin - SHINGLE_WORDS + 1
+        offsets = np.cumsum(sizes) - sizes
+        at = np.repeat(self.begin - offsets, sizes) + np.arange(int(sizes.sum()))
+        return units, band_keys(run_hashes(self.words, at, SHINGLE_WORDS), offsets)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the sampled runs; no run crosses texts."""
+        at = sampled_runs(self.words, self.first, self.counts)
+        return at, run_hashes(self.words, at, PASSAGE_WORDS)
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the run of ``width`` word hashes at each place."""
+    return mix(span_hashes(words, at, at + width) + np.uint64(width)) if len(at) else np.zeros(0, np.uint64)
+
+
+def band_keys(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A key for each set (from its offset to the next) and band, from MinHash values."""
+    out = np.empty((len(offsets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(offsets), band + 1, np.uint64)
+        for row in range(ROWS):
+            seed = np.uint64((band * ROWS + row + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix(shingles ^ seed), offsets))
+        out[:, band] = key
+    return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` over each full window, by doubling."""
+    done, now = 1, values
+    while done * 2 <= width:
+        now = pick(now[:-done], now[done:])
+        done *= 2
+    rest = width - done
+    return pick(now[: len(now) - rest], now[rest:]) if rest else now
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(1)), np.uint64, len(words))
+def sampled_runs(words: np.ndarray, first: np.ndarray, counts: np.ndarray, width: int = PASSAGE_WORDS, window: int = PASSAGE_WINDOW) -> np.ndarray:
+    """Places of the runs that are the smallest of some window of starts within their text.
 
+    A run is one iff the largest of its windows' minima is its own hash; equal runs in a
+    window are all taken. Texts with fewer starts than a window are one window.
+    """
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    hashes = run_hashes(words, np.arange(n), width)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    valid = doc[:n] == doc[width - 1 :]
+    out = np.zeros(n, bool)
+    if n >= window:
+        low = _sliding(hashes, window, np.minimum)
+        inside = valid[: len(low)] & valid[window - 1 :] & (doc[: len(low)] == doc[window - 1 : n])
+        low[~inside] = 0
+        padded = np.concatenate((np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)))
+        out = (_sliding(padded, window, np.maximum) == hashes) & valid & (hashes > 0)
+    short = np.flatnonzero((counts >= width) & (counts < width + window - 1))
+    for d in short.tolist():
+        own = slice(int(first[d]), int(first[d] + counts[d]) - width + 1)
+        out[own] = hashes[own] == hashes[own].min()
+    return np.flatnonzero(out)
+
+
+_PACK = pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "rows", "n_words", "n_lines", "owner", "start", "size", "keys", "bands"))])
+_PACK_DDL = "block long, doc_ids binary, rows binary, n_words binary, n_lines binary, owner binary, start binary, size binary, keys binary, bands binary"
+
+
+def _packs(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: per unit its document, first word, words and hash; paragraphs first."""
+
+    def pack(rows: list[tuple[int | None, int]], parts: list[tuple]) -> pa.RecordBatch:
+        lines, runs = [p[1] for p in parts], [p[2] for p in parts]
+        join = lambda side, k: np.concatenate([x[k] for x in side])
+        both = lambda k: np.concatenate((join(lines, k), join(runs, k)))
+        row = {
+            "block": rows[0][1],
+            "doc_ids": np.array([_NO_ID if d is None else d for d, _ in rows], np.int64).tobytes(),
+            "rows": np.array([r for _, r in rows], np.int64).tobytes(),
+            "n_words": np.concatenate([p[0] for p in parts]).astype(np.int32).tobytes(),
+            "n_lines": np.bincount(join(lines, 0), minlength=len(rows)).astype(np.int32).tobytes(),
+            "owner": _squeeze(both(0).astype(np.uint32)),
+            "start": _squeeze(both(1).astype(np.uint32)),
+            "size": _squeeze(both(2).astype(np.uint32)),
+            "keys": _squeeze(both(3)),
+            "bands": _squeeze(join(lines, 4).reshape(-1)),
+        }
+        return pa.RecordBatch.from_pylist([row], _PACK)
 
-def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` word hashes; fewer words give one run of them all."""
-    n = max(1, len(words) - width + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(width, len(words))):
-        out = out * _MULTIPLIER + words[k : k + n]
-    return _mix(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, texts, parts, held, done = [], [], [], 0, 0
+
+        def hash_texts() -> None:
+            nonlocal texts, done
+            chunk = Chunk(texts)
+            units, bands = chunk.paragraphs()
+            at, keys = chunk.runs()
+            line_doc, run_doc = chunk.doc[chunk.begin], chunk.doc[at]
+            line = (line_doc + done, chunk.begin - chunk.first[line_doc], chunk.end - chunk.begin, units, bands)
+            parts.append((chunk.counts, line, (run_doc + done, at - chunk.first[run_doc], np.full(len(at), PASSAGE_WORDS), keys)))
+            done, texts = done + len(texts), []
+
+        size = 0
+        for batch in batches:
+            for key, row, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                rows.append((key.as_py(), row.as_py()))
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size >= CHUNK_BYTES:
+                    held, size = held + size, 0
+                    hash_texts()
+                    if held >= BLOCK_BYTES:
+                        yield pack(rows, parts)
+                        rows, parts, held, done = [], [], 0, 0
+        if texts:
+            hash_texts()
+        if rows:
+            yield pack(rows, parts)
 
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
+    return source.mapInArrow(run, _PACK_DDL)
 
-def paragraphs_of(text: bytes) -> list[tuple[int, int, list[bytes]]]:
-    """(first word, end word, words) of each line, over the text's A-Z-lowered words."""
-    out, at = [], 0
-    for line in text.lower().split(b"\n"):
-        words = line.split()
-        out.append((at, at + len(words), words))
-        at += len(words)
-    return out
 
+class Pack:
+    """A block opened."""
 
-def minhash_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A key for each band from the MinHash values of a shingle set."""
-    seeds = np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    least = np.array([_mix(hashes ^ s).min() for s in seeds]).reshape(bands, rows)
-    keys = np.arange(bands, dtype=np.uint64) + np.uint64(1)
-    for r in range(rows):
-        keys = _mix(keys * _MULTIPLIER + least[:, r])
-    return keys
+    def __init__(self, row: dict) -> None:
+        self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.rows = np.frombuffer(row["rows"], np.int64)
+        self.n_words = np.frombuffer(row["n_words"], np.int32)
+        self.n_lines = np.frombuffer(row["n_lines"], np.int32)
+        self.owner, self.start, self.size = (_expand(row[k], np.uint32).astype(np.int64) for k in ("owner", "start", "size"))
+        self.keys = _expand(row["keys"], np.uint64)
+        self.lines = int(self.n_lines.sum())
 
+    def order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, first unit of each by place, each unit's key)."""
+        place = np.lexsort((self.start, self.rows[self.owner], self.doc_ids[self.owner]))
+        keys, first, which = np.unique(self.keys[place], return_index=True, return_inverse=True)
+        back = np.empty(len(place), np.int64)
+        back[place] = which
+        return keys, place[first], back
 
-def sampled_runs(words: np.ndarray, width: int = PASSAGE_WORDS, window: int = PASSAGE_WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the runs that are the smallest, rightmost on ties, of some window."""
-    if len(words) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = run_hashes(words, width)
-    if len(hashes) <= window:
-        pick = np.array([len(hashes) - 1 - int(hashes[::-1].argmin())])
-        return pick, hashes[pick]
-    picked = []
-    for at in range(0, len(hashes) - window + 1, 1 << 15):  # blocks bound the windows held at once
-        view = np.lib.stride_tricks.sliding_window_view(hashes[at : at + (1 << 15) + window - 1], window)
-        picked.append(np.arange(at, at + len(view)) + window - 1 - view[:, ::-1].argmin(axis=1))
-    pick = np.unique(np.concatenate(picked))
-    return pick, hashes[pick]
 
+_ASK = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("many", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary())])
 
-_UNIT = pa.struct([("unit", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("keys", pa.list_(pa.int64()))])
-_UNITS = "doc_id long, row long, n_words int, units array<struct<unit:long,start:int,end:int,keys:array<long>>>"
 
+def _answers(packs: DataFrame, partitions: int) -> DataFrame:
+    """Per block and key partition, for the block's keys in order: 0 alone, 1 repeated, 2 repeated and first here."""
 
-def _units(docs: DataFrame) -> DataFrame:
-    """Per row its paragraphs (with band keys) and sampled passages (without)."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pack = Pack(row)
+                keys, first, which = pack.order()
+                many = (np.bincount(which, minlength=len(keys)) > 1).astype(np.uint8)
+                ids, places = pack.doc_ids[pack.owner[first]], pack.rows[pack.owner[first]]
+                edge = _edges(keys, partitions)
+                out = []
+                for p in np.flatnonzero(np.diff(edge)).tolist():
+                    a, b = int(edge[p]), int(edge[p + 1])
+                    gaps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    out.append({"part": p, "block": row["block"], "keys": _squeeze(gaps), "many": _squeeze(many[a:b]), "ids": _squeeze(ids[a:b]), "rows": _squeeze(places[a:b])})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, _ASK)
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        keys = [np.cumsum(_expand(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
+        flat = np.concatenate(keys)
+        many = np.concatenate([_expand(m, np.uint8) for m in rows["many"]]) > 0
+        order = np.lexsort((np.concatenate([_expand(r, np.int64) for r in rows["rows"]]), np.concatenate([_expand(i, np.int64) for i in rows["ids"]]), flat))
+        ordered = flat[order]
+        starts = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        again = np.add.reduceat(np.ones(len(order), np.int64), np.flatnonzero(starts)) > 1
+        flag = np.zeros(len(flat), np.uint8)
+        group = np.cumsum(starts) - 1
+        several = again[group] | (np.maximum.reduceat(many[order], np.flatnonzero(starts)) > 0)[group]
+        flag[order] = np.where(several, np.where(starts, 2, 1), 0)
+        at, out = 0, []
+        for block, k in zip(rows["block"], keys):
+            out.append((int(block), int(rows["part"].iloc[0]), _squeeze(flag[at : at + len(k)])))
+            at += len(k)
+        return pd.DataFrame(out, columns=["block", "part", "flags"])
+
+    asked = packs.mapInArrow(ask, "part long, block long, keys binary, many binary, ids binary, rows binary")
+    return asked.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, part long, flags binary")
+
+
+def _exact_spans(packs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per document its equal paragraphs and runs: ``spans`` with ``goes``."""
+    kinds = "row long, doc_id long, n_words int, n_paragraphs int, spans array<struct<start:int,end:int,goes:boolean>>"
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("goes", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sizes, units = [], []
-                for text in batch.column(2):
-                    lines = paragraphs_of(text.as_py())
-                    words = word_hashes([w for _, _, line in lines for w in line])
-                    own = []
-                    for start, end, _ in lines:
-                        if end - start >= LEAST_WORDS:
-                            keys = minhash_keys(run_hashes(words[start:end], SHINGLE_WORDS))
-                            own.append({"unit": int(run_hashes(words[start:end], end - start).view(np.int64)[0]), "start": start, "end": end, "keys": keys.view(np.int64).tolist()})
-                    starts, hashes = sampled_runs(words)
-                    own += [{"unit": h, "start": s, "end": s + PASSAGE_WORDS, "keys": None} for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist())]
-                    sizes.append(len(words))
-                    units.append(own)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(units, pa.list_(_UNIT))], ["doc_id", "row", "n_words", "units"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                pack = Pack(row)
+                _, first, which = pack.order()
+                flags = [_expand(a["flags"], np.uint8) for a in sorted(row["answers"] or (), key=lambda a: a["part"])]
+                flag = np.concatenate(flags) if flags else np.zeros(0, np.uint8)
+                state = flag[which]
+                stays = np.zeros(len(which), bool)
+                stays[first[flag == 2]] = True
+                hit = np.flatnonzero(state > 0)
+                hit = hit[np.lexsort((pack.start[hit], pack.owner[hit]))]
+                offsets = np.searchsorted(pack.owner[hit], np.arange(len(pack.rows) + 1))
+                items = pa.StructArray.from_arrays([pa.array(pack.start[hit].astype(np.int32)), pa.array((pack.start[hit] + pack.size[hit]).astype(np.int32)), pa.array(~stays[hit])], ["start", "end", "goes"])
+                ids = pa.array(pack.doc_ids, mask=pack.doc_ids == _NO_ID)
+                yield pa.RecordBatch.from_arrays([pa.array(pack.rows), ids, pa.array(pack.n_words), pa.array(pack.n_lines), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items).cast(span)], ["row", "doc_id", "n_words", "n_paragraphs", "spans"])
+
+    arrays = answers.groupBy("block").agg(F.collect_list(F.struct("part", "flags")).alias("answers"))
+    return packs.join(arrays, "block", "left").mapInArrow(run, kinds)
+
+
+def _lines(packs: DataFrame) -> DataFrame:
+    """A row for each paragraph: its hash, place and band keys."""
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
-    return source.mapInArrow(run, _UNITS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pack = Pack(row)
+                n, owner = pack.lines, pack.owner[: pack.lines]
+                ids = pack.doc_ids[owner]
+                bands = pa.array(_expand(row["bands"], np.uint64).view(np.int64))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), bands)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pack.keys[:n].view(np.int64)), pa.array(ids, mask=ids == _NO_ID), pa.array(pack.rows[owner]), pa.array(pack.start[:n].astype(np.int32)), pa.array((pack.start[:n] + pack.size[:n]).astype(np.int32)), keys], ["unit", "doc_id", "row", "start", "end", "keys"]
+                )
+
+    return packs.mapInArrow(run, "unit long, doc_id long, row long, start int, end int, keys array<long>")
 
 
 def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
@@ -127,6 +310,8 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
 
     Intersections come from an inverted index of shingles, so unlike pairs cost nothing.
     """
+    if len(members) < 2:
+        return []
     index: dict[int, list[int]] = defaultdict(list)
     parent: list[int] = []
     links = []
@@ -149,21 +334,25 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
     return links
 
 
-def _paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def _paragraph_links(docs: DataFrame, packs: DataFrame, similarity: float) -> DataFrame:
     """Links between different paragraphs (by hash) of the similarity or more."""
-    distinct = lines.groupBy("unit").agg(F.min(F.struct("doc_id", "row", "start", "end", "keys")).alias("at"))
-    banded = distinct.select("unit", F.explode("at.keys").alias("key"))
-    several = banded.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("key")
+    lines = _lines(packs)
+    distinct = lines.groupBy("unit").agg(F.min(F.struct("row", "start", "end")).alias("at"), F.first("keys").alias("keys"))
+    banded = distinct.select("unit", F.explode("keys").alias("key"))
+    several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     hits = cut_lineage(banded.join(several, "key"))
-    wanted = hits.select("unit").distinct().join(distinct, "unit").select("unit", "at.row", "at.start", "at.end")
+    wanted = hits.select("unit").distinct().join(lines.groupBy("unit").agg(F.min(F.struct("row", "start", "end")).alias("at")), "unit").select("unit", "at.row", "at.start", "at.end")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
-            for text, start, end in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                words = word_hashes(text.as_py().lower().split()[start:end])
-                sets.append(np.unique(run_hashes(words, SHINGLE_WORDS)).tobytes())
+            for unit, text, start, end in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                chunk = Chunk([text.as_py()])
+                found = mix(span_hashes(chunk.words, np.array([start]), np.array([end])) + np.uint64(end - start)).view(np.int64)[0]
+                if found != unit:
+                    raise RuntimeError("documents changed between the passes over them")
+                sets.append(np.unique(run_hashes(chunk.words, np.arange(start, end - SHINGLE_WORDS + 1), SHINGLE_WORDS)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["unit", "shingles"])
 
     sets = texts.join(wanted, "row").select("unit", "text", "start", "end").mapInArrow(shingles, "unit long, shingles binary")
@@ -188,6 +377,16 @@ def _ends(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
 
+def _fuzzy_spans(packs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per row, paragraphs of clusters of different paragraphs, and whether an earlier one keeps them."""
+    lines = _lines(packs).drop("keys")
+    placed = lines.join(parts.withColumnRenamed("node", "unit"), "unit")
+    place = F.struct("doc_id", "row", "start")
+    first = placed.groupBy("component").agg(F.min(place).alias("kept"))
+    again = placed.join(first, "component").select("row", F.struct("start", "end", (place != F.col("kept")).alias("goes")).alias("s"))
+    return again.groupBy("row").agg(F.collect_list("s").alias("more"))
+
+
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, n_words, n_paragraphs, n_repeated, n_removed, repeated, removed.
 
@@ -195,33 +394,28 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     has, ``removed`` those that go because an earlier place (by doc_id, then position)
     keeps them; ``n_repeated`` and ``n_removed`` count their words. Words are A-Z-lowered
     runs without white space. Null and empty texts have none. Every row gives one row;
-    repeated rows and equal ids are copies of each other. Null ids come first.
+    repeated rows and equal ids are copies of each other. Null ids come first. An empty
+    table gives an empty result.
     """
-    units = cut_lineage(_units(docs))
-    flat = units.select("doc_id", "row", F.explode("units").alias("u")).select("doc_id", "row", "u.unit", "u.start", "u.end", "u.keys")
-    lines = flat.where("keys IS NOT NULL")
-    parts = connected_components(_paragraph_links(docs, lines, similarity), "a", "b")
-    named = lines.drop("keys").join(parts.withColumnRenamed("node", "unit"), "unit", "left")
-    named = named.select("doc_id", "row", "start", "end", F.coalesce("component", "unit").alias("class"), F.lit(0).alias("kind"))
-    runs = flat.where("keys IS NULL").select("doc_id", "row", "start", "end", F.col("unit").alias("class"), F.lit(1).alias("kind"))
-    placed = named.union(runs)
-    place = F.struct("doc_id", "row", "start")
-    first = placed.groupBy("kind", "class").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = placed.join(first, ["kind", "class"]).select("row", "start", "end", (place != F.col("kept")).alias("goes"))
-    spans = again.groupBy("row").agg(F.collect_list(F.struct("start", "end", "goes")).alias("spans"))
-    joined = units.select("doc_id", "row", "n_words", F.size(F.filter("units", lambda u: u["keys"].isNotNull())).alias("n_paragraphs")).join(spans, "row", "left")
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
+    partitions = max(1, math.ceil(size / BYTES_A_KEY / KEYS_A_PARTITION))
+    packs = cut_lineage(_packs(docs))
+    exact = _exact_spans(packs, _answers(packs, partitions))
+    parts = connected_components(_paragraph_links(docs, packs, similarity), "a", "b")
+    joined = exact.join(_fuzzy_spans(packs, parts), "row", "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list] = [[], [], [], []]
-            for spans in batch.column(3).to_pylist():
-                every = _merged((s["start"], s["end"]) for s in spans or ())
-                gone = _merged((s["start"], s["end"]) for s in spans or () if s["goes"])
+            for one, two in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                spans = [*(one or ()), *(two or ())]
+                every = _merged((s["start"], s["end"]) for s in spans)
+                gone = _merged((s["start"], s["end"]) for s in spans if s["goes"])
                 for column, value in zip(found, (sum(e - s for s, e in every), sum(e - s for s, e in gone), _joined(every), _joined(gone))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.string()), pa.array(found[3], pa.string())], ["doc_id", "n_words", "n_paragraphs", "n_repeated", "n_removed", "repeated", "removed"])
 
-    return joined.select("doc_id", "n_words", "n_paragraphs", "spans").mapInArrow(merge, "doc_id long, n_words int, n_paragraphs int, n_repeated long, n_removed long, repeated string, removed string")
+    return joined.select("doc_id", "n_words", "n_paragraphs", "spans", "more").mapInArrow(merge, "doc_id long, n_words int, n_paragraphs int, n_repeated long, n_removed long, repeated string, removed string")
 
 
 def _merged(spans) -> list[tuple[int, int]]:
