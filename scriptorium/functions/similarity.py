@@ -45,9 +45,8 @@ def length_bound(la: Column, lb: Column) -> Column:
 
 def letter_counts(text: Column, alphabet: str = "abcdefghijklmnopqrstuvwxyz0123456789 -") -> Column:
     """Occurrences of each character of the alphabet, then of all others."""
-    own = [(F.length(text) - F.length(F.translate(text, c, ""))) for c in alphabet]
-    rest = F.length(F.translate(text, alphabet, ""))
-    return F.array(*own, rest)
+    own = F.transform(F.split(F.lit(alphabet), ""), lambda c: F.when(c != "", F.length(text) - F.length(F.replace(text, c, F.lit("")))).otherwise(0))
+    return F.array_append(own, F.length(F.translate(text, alphabet, "")))
 
 
 def letters_bound(counts_a: Column, counts_b: Column, la: Column, lb: Column) -> Column:

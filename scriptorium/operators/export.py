@@ -46,7 +46,7 @@ def export_entries(papers: DataFrame, bibs: DataFrame, by: Selectors) -> DataFra
     """
     found = papers.where(selected(F.col("tags"), F.col("created"), by))
     if by.keys:
-        wanted = F.array_distinct(F.filter(F.transform(F.array(*[F.lit(k) for k in by.keys]), F.trim), lambda k: k != ""))
+        wanted = F.array_distinct(F.filter(F.transform(F.array(*[F.lit(k) for k in by.keys]), lambda k: F.trim(k)), lambda k: k != ""))
         order = found.sparkSession.range(1).select(F.posexplode(wanted).alias("pos", "stem"))
         found = found.join(F.broadcast(order), "stem")
         position = F.col("pos").cast("long")
