@@ -348,3 +348,15 @@ def read_status(notes: Column, least: int = 200) -> Column:
 def linkable(slug_: Column) -> Column:
     """Only slugs of several words are linked without being asked."""
     return slug_.contains("-")
+
+
+def reference_lines(body: Column) -> Column:
+    """Items listed under the first References or Bibliography heading, as written, in order."""
+    section = F.regexp_extract(body, r"(?ims)^#{1,6}\s+(?:references|bibliography)\s*$\n(.*?)(?=^#{1,6}\s|\z)", 1)
+    return F.transform(F.regexp_extract_all(section, F.lit(r"(?m)^\s*(?:[-*+]|\[?\d+[\].)])\s+(.+?)\s*$"), F.lit(1)), lambda x: x)
+
+
+def inside(path: Column, root: Column) -> Column:
+    """The path is the root or below it, and does not climb out."""
+    base = F.regexp_replace(root, "/+$", "")
+    return ((path == base) | path.startswith(F.concat(base, F.lit("/")))) & ~path.rlike(r"(?:^|/)\.\.(?:/|$)")

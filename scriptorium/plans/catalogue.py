@@ -688,3 +688,59 @@ def status_update(spark, sf_dir):
     done = o.where("o_orderkey % 4 < 2").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 4 == 0, "failed").otherwise("ok").alias("status"), F.lit("e").alias("error"))
     pages = o.where("o_orderkey % 3 <> 0 OR o_orderkey % 4 = 1").select(F.col("o_orderkey").alias("stem"))
     return waves.demoted(waves.updated_statuses(old, done), pages).select("key", "status")
+
+
+# Renders ---------------------------------------------------------------------------------
+
+
+@query("""
+SELECT p_partkey AS key, '---' || chr(10) || 'type: venue' || chr(10) || 'name: "' || p_name || ' \\"X\\""' || chr(10) || 'slug: s' || p_partkey || chr(10) || 'venue-type: journal' || chr(10) || 'created: 2026-01-01' || chr(10) || 'updated: 2026-01-01' || chr(10)
+  || 'papers:' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '  - a' || chr(10) || '  - b' ELSE '  []' END || chr(10) || 'tags:' || chr(10) || '  - field/' || p_type || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || ' "X"' || chr(10) || chr(10) || 'Its papers are listed in `papers:` above.' || chr(10) AS page
+FROM part
+""")
+def venue_pages(spark, sf_dir):
+    papers = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    page = text.venue_page(_s("s", F.col("p_partkey")), _s(F.col("p_name"), ' "X"'), F.lit("journal"), papers, F.array(_s("field/", F.col("p_type"))), F.lit(TODAY))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), page.alias("page"))
+
+
+@query("""
+SELECT doc_id, '---' || chr(10) || 'title: "D' || doc_id || '"' || chr(10) || 'authors: [Ann Lee, ' || lang || ']' || chr(10) || 'inline_author: "Lee et al."' || chr(10) || 'paper-id: "d' || doc_id || '"' || chr(10) || 'identifiers:' || chr(10) || '  url: "' || source || '"' || chr(10)
+  || 'year: 2020' || chr(10) || '---' || chr(10) || chr(10) || '## Body' || chr(10) || text || chr(10) || chr(10) || '![[fig1.png]]' || chr(10) || '*' || lang || '*' || chr(10) || chr(10) AS page
+FROM documents WHERE text <> ''
+""")
+def document_pages(spark, sf_dir):
+    """Whole documents rendered as Markdown with a header and a figure."""
+    none = F.lit(None).cast("string")
+    meta = F.struct(_s("D", F.col("doc_id")).alias("title"), F.array(F.lit("Ann Lee"), F.col("lang")).alias("authors"), none.alias("doi"), none.alias("arxiv"), F.col("source").alias("url"), none.alias("date"), F.lit(2020).alias("year"), none.alias("venue"), F.array().cast("array<string>").alias("keywords"))
+    block = lambda kind, t, f: F.struct(F.lit(kind).alias("type"), t.alias("text"), f.alias("figure_id"))
+    sections = F.array(F.struct(F.lit("Body").alias("heading"), F.array(block("paragraph", F.col("text"), none), block("figure", none, F.lit("f"))).alias("content")))
+    figures = F.array(F.struct(F.lit("f").alias("id"), F.lit("fig1.png").alias("filename"), F.col("lang").alias("caption"), F.lit(False).alias("failed")))
+    docs = _t(spark, sf_dir, "documents").where("text <> ''")
+    return docs.select("doc_id", text.document_markdown(meta, sections, figures, _s("d", F.col("doc_id"))).alias("page"))
+
+
+@query("SELECT p_partkey AS key, CAST(unnest(range(1, 4)) AS INTEGER) AS no, p_name || '. Ref ' || unnest(range(1, 4)) AS reference FROM part")
+def reference_extract(spark, sf_dir):
+    """References listed in an extract's body."""
+    name = F.col("p_name")
+    body = _s("# T\n- not this\n\n## References\n\n1. ", name, ". Ref 1\n[2] ", name, ". Ref 2\n- ", name, ". Ref 3\n\n## Notes\n- nor this\n")
+    found = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.posexplode(text.reference_lines(body)).alias("no", "reference"))
+    return found.select("key", (F.col("no") + 1).alias("no"), "reference")
+
+
+@query("SELECT o_orderkey AS stem, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS title FROM orders")
+def papers_by_year(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("stem"), F.col("o_orderstatus").alias("title"))
+    return sinks.papers_by_year(rows)
+
+
+@query(r"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'wiki/papers/p' || page_id || '.md' WHEN 1 THEN 'wiki/../x' WHEN 2 THEN 'wikis/x' ELSE 'wiki' END AS path, page_id % 4 IN (0, 3) AS contained,
+  CASE WHEN page_id % 4 = 0 THEN 'paper' END AS kind, CASE WHEN page_id % 4 = 0 THEN 'p' || page_id END AS key FROM pages
+""")
+def page_paths(spark, sf_dir):
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, _s("wiki/papers/p", F.col("page_id"), ".md")).when(k == 1, "wiki/../x").when(k == 2, "wikis/x").otherwise("wiki")
+    rows = _t(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("k", text.page_kind_and_key(F.col("path")))
+    return rows.select("page_id", "path", text.inside(F.col("path"), F.lit("wiki/")).alias("contained"), "k.kind", "k.key")

@@ -49,3 +49,28 @@ def log_line(operation: str, subject: str, today: str) -> str:
 
 def append_log(spark: SparkSession, path: str, operation: str, subject: str, today: str) -> None:
     spark.createDataFrame([(today, operation, subject)], "day string, op string, subject string").write.mode("append").parquet(path)
+
+
+# Page folders of a corpus (fixed values).
+FOLDERS = ("papers", "concepts", "methods", "open-problems", "results", "claims", "authors", "venues", "queries")
+PAGE_SCHEMA = "stem string, path string, header string, body string, updated date"
+LOG_SCHEMA = "day string, op string, subject string"
+
+
+def scaffold(spark: SparkSession, root: str) -> list[str]:
+    """Empty tables of a new corpus, one a page folder, and its log; tables that are there stay."""
+    made = []
+    for name, schema in (*((f, PAGE_SCHEMA) for f in FOLDERS), ("log", LOG_SCHEMA)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}")
+        made.append(f"{root}/{name}")
+    return made
+
+
+def snapshot(pages: DataFrame, path: str) -> None:
+    """Keep the paths of the pages that a batch starts from."""
+    pages.select("path").write.mode("overwrite").parquet(path)
+
+
+def papers_by_year(papers: DataFrame) -> DataFrame:
+    """Papers, latest year first, then by key."""
+    return papers.select("year", "stem", "title").orderBy(F.desc_nulls_last("year"), "stem")

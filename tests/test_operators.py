@@ -234,3 +234,40 @@ def test_source_stream(spark, tmp_path):
 def test_cited_counts(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (3, 2)], "src long, dst long")
     assert links.cited_counts(edges).first().n_citing == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scriptorium.__main__ import main
+
+    root = tmp_path / "c"
+    files = {
+        "wiki/papers/lee2020t.md": "---\ntype: paper\npaper-id: lee2020t\ntags: [field/x]\nbib-file: raw/bib/lee2020t.bib\nidentifiers: {doi: 10.1/ABC}\n---\n[[gone]]\n",
+        "wiki/venues/conf-2020.md": "---\ntype: venue\nname: Conf 2020\n---\n",
+        "wiki/venues/bad.md": "---\ntype: venue\n---\n",
+        "raw/bib/lee2020t.bib": "@misc{lee2020t, }\n",
+    }
+    for name, body in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    out = lambda *a: (main(list(a)), capsys.readouterr().out)
+    code, text = out("lint", str(root), "--today", "2026-01-01")
+    assert code == 0 and "DEAD_LINK: papers/lee2020t.md:1 gone" in text and "MISSING_BIBTEX" not in text and text.endswith("issue(s)\n")
+    assert out("export", str(root), "--field", "x") == (0, "% lee2020t\n@misc{lee2020t, }\n\n")
+    assert out("export", str(root), "--field", "y")[0] == 1 and out("export", str(root))[0] == 2
+    assert out("plan-venues", str(root)) == (0, "conf-2020 -> conf\nskipped bad: missing name\n")
+    assert out("find-paper", str(root), "doi", "10.1/abc") == (0, '{"paper-id": "lee2020t"}\n')
+    assert out("paper-id", "García", "2024", "Survey of X") == (0, "garcia2024survey\n")
+    assert out("hash", str(root / "raw"))[1].count("\n") == 1
+
+
+def test_scaffold_and_snapshot(spark, tmp_path):
+    made = sinks.scaffold(spark, str(tmp_path / "new"))
+    assert len(made) == 10 and spark.read.parquet(made[0]).count() == 0
+    sinks.append_log(spark, made[-1], "ingest", "x", "2026-01-01")
+    sinks.scaffold(spark, str(tmp_path / "new"))
+    assert spark.read.parquet(made[-1]).count() == 1 and sinks.log_line("a", "b", "d") == "## [d] a | b"
+    pages = spark.createDataFrame([("wiki/papers/b.md", "papers"), ("wiki/venues/a.md", "venues"), ("wiki/authors/c.md", "authors"), ("wiki/papers/a.md", "papers")], "path string, folder string")
+    targets = corpus.backlink_targets(pages)
+    assert [r.path for r in targets.collect()] == ["wiki/papers/a.md", "wiki/papers/b.md", "wiki/venues/a.md"]
+    sinks.snapshot(targets, str(tmp_path / "snap"))
+    assert spark.read.parquet(str(tmp_path / "snap")).count() == 3
