@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a reused worker should not keep a block's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        return
+
+
 def fold(column: str, parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

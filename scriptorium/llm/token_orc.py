@@ -5,45 +5,54 @@ order and equal ids stay spread; each task encodes its sorted rows and writes on
 whose stripes readers can take in parallel. Statistics and Bloom filters on ``doc_id`` let
 a reader of some documents skip stripes and row groups.
 
-Encoding is byte-level BPE through the tokenizers library. Its pre-tokens are encoded
-independently of each other, so each distinct pre-token is encoded once and remembered
-in a bounded memo; texts that hold an added token's string go through whole.
+Encoding is byte-level BPE through the tokenizers library, once for each distinct word of a
+block of texts (see :class:`Encoder`).
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.runtime import cut_lineage, shared_folder
+from scriptorium.llm.hashing import BYTE_VALUES, span_hashes
+from scriptorium.llm.runtime import cut_lineage, release_memory, shared_folder, text_bytes
 
 END_ID = 0
 TOKENIZER_FILE = "byte_bpe_50k.json"
-MEMO_WORDS = 400_000  # pre-tokens remembered by a worker
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
-ROWS_A_BATCH = 256
-#: The pre-token pattern of byte-level BPE files that ask for the built-in one (fixed value).
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLOCK_BYTES = 1 << 20  # of text encoded together
+MEMO_UNITS = 1_000_000  # units remembered by a worker, about 40 bytes each
 
+_MAYBE_SPACE = re.compile(rb"[\xc2\xe1-\xe3]")
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _workers: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of whole texts, equal to the library's own for them."""
+    """Ids of whole texts, equal to the library's own for them.
+
+    Byte-level BPE encodes pre-tokens independently, so a text falls exactly into units at
+    its white space: a word with the blank before it, a white-space character before a
+    word that is no blank, and the rest of a run of white space. A block's units are found
+    and hashed (64 bits) in numpy, new ones go through the library together, one a line, and
+    the ids are gathered from a bounded table of the units met so far. Texts with white space
+    outside ASCII or with an added token's string, and other kinds of tokenizer, go
+    through the library whole.
+    """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,33 +61,91 @@ class Encoder:
             config = json.load(f)
         pre = config.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config.get("normalizer")
-        self.split = regex.compile(BYTE_LEVEL_PATTERN).findall if plain else None
-        self.added = [t["content"] for t in config.get("added_tokens", [])]
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.memo_words = memo_words
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.split is None:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out: list[np.ndarray | None] = []
-        split = []
-        for text in texts:
-            if any(a in text for a in self.added):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                split.append(None)
-            else:
-                out.append(None)
-                split.append(self.split(text))
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for words in split if words for w in words}.difference(memo))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[word] = tuple(e.ids)
-        for i, words in enumerate(split):
-            if words is not None:
-                out[i] = np.array([x for w in words for x in memo[w]], np.uint32)
-        return out
+        line = self._whole(b"\n")
+        self.line = int(line[0]) if plain and len(line) == 1 else None
+        self.added = tuple(t["content"].encode() for t in config.get("added_tokens", []))
+        self._forget()
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.int32)
+
+    def _fits(self, text: bytes) -> bool:
+        return not any(a in text for a in self.added) and not (_MAYBE_SPACE.search(text) and _OTHER_SPACE.search(text.decode()))
+
+    def _unit_ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, lengths) of distinct units; words in one call, one a line, white space one by one."""
+        blank = np.array([u.isspace() for u in units])
+        text = b"\n".join([u for u, b in zip(units, blank.tolist()) if not b]).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        marks = np.flatnonzero(ids == self.line)
+        if blank.any() or len(marks) != len(units) - 1:
+            parts = iter(np.split(ids, marks)) if len(marks) == (~blank).sum() - 1 else None
+            found = [self._whole(u) if b or parts is None else (p := next(parts))[int(len(p) > 0 and p[0] == self.line) :] for u, b in zip(units, blank.tolist())]
+            return np.concatenate(found), np.array([len(f) for f in found], np.int64)
+        return np.delete(ids, marks), np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
+
+    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+        """Add new units' ids (sorted keys) to those remembered."""
+        flat, lengths = self._unit_ids(units)
+        at = np.searchsorted(self.keys, keys)
+        base = len(self.flat) + np.cumsum(lengths) - lengths
+        self.keys, self.base, self.lengths = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.base, base), (self.lengths, lengths)))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def _forget(self) -> None:
+        self.keys, self.base, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, each text's number of ids); texts are UTF-8."""
+        fits = [self.line is not None and self._fits(t) for t in texts]
+        if not all(fits):
+            done = [self.encode([t])[0] if f and t else self._whole(t) for t, f in zip(texts, fits)]
+            return np.concatenate([np.zeros(0, np.int32), *done]), np.array([len(d) for d in done], np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        starts = _unit_starts(data, ends)
+        stops = np.append(starts[1:], len(data))
+        keys = span_hashes(BYTE_VALUES[data], starts, stops)
+        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        known = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero(self.keys[np.minimum(known, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(self.keys) + len(new) > MEMO_UNITS:
+            self._forget()
+            new = np.arange(len(distinct))
+        if len(new):
+            self._learn(distinct[new], [joined[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
+            known = np.searchsorted(self.keys, distinct)
+        own = self.lengths[known][which]
+        at = np.cumsum(own) - own
+        ids = self.flat[np.repeat(self.base[known][which] - at, own) + np.arange(int(own.sum()))]
+        text_of = np.searchsorted(ends, starts, side="right")
+        return ids, np.bincount(text_of, own, len(texts)).astype(np.int64)
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Byte offsets of a binary column's values."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+
+
+def _unit_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where units begin. White space here is ASCII's: 9 to 13 and the blank."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    before = np.concatenate(([False], space[:-1]))  # the byte before is white space
+    after = np.concatenate((space[1:], [False]))
+    first = np.zeros(len(data) + 1, bool)
+    first[0] = True
+    first[ends] = True
+    first = first[:-1]  # a text begins here
+    last = np.append(first[1:], True)
+    begins = first | (space & ~before)  # a run of white space, or a text
+    word = ~space & before & (np.concatenate(([0], data[:-1])) != 32)  # a word after other white space
+    tail = space & before & ~after & ~last  # the run's last character, before a word
+    return np.flatnonzero(begins | word | tail)
 
 
 def encoder(path: str) -> Encoder:
@@ -106,19 +173,19 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pos = encoder(path).encode, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_A_BATCH):
-                part = batch.slice(at, ROWS_A_BATCH)
-                ids = encode(part.column(1).to_pylist())
-                sizes = np.array([len(x) + 1 for x in ids], np.int64)
-                flat = np.full(int(sizes.sum()), END_ID, np.int32)
-                begins = np.concatenate(([0], np.cumsum(sizes)))
-                for x, b in zip(ids, begins):
-                    flat[b : b + len(x)] = x
-                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat))
+            held = np.cumsum(np.diff(_offsets(batch.column(1))))
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(held, np.arange(BLOCK_BYTES, held[-1] if len(held) else 0, BLOCK_BYTES), side="right"), [batch.num_rows])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(a, b - a)
+                ids, sizes = encode(part.column(1).to_pylist())
+                offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
+                flat = np.insert(ids, np.cumsum(sizes), END_ID)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(pos, pos + part.num_rows)), lists], ["doc_id", "pos", "ids"])
                 pos += part.num_rows
+        release_memory()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = source.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -152,11 +219,12 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(3)
-            flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")
+            flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             ends = ids.offsets.to_numpy()
-            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             sizes = np.diff(ends).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "pos", "file", "n_tokens", "ids_crc32"])
+        release_memory()
 
     read = read_tokens(spark, folder).select("doc_id", "pos", "file", "ids")
     rows = cut_lineage(read.mapInArrow(run, "doc_id long, pos long, file string, n_tokens long, ids_crc32 long"))
