@@ -292,6 +292,6 @@ def _result(ids: list, found: list) -> pa.RecordBatch:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated (rows without an id stay)."""
+    """The rows of ``docs`` whose id has no contaminated text (rows without an id stay)."""
     bad = decontaminate(docs, benchmark, **options).where("contaminated").select("doc_id")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

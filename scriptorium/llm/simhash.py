@@ -3,8 +3,8 @@
 Shards. Two fingerprints within ``radius`` bits agree on at least one of ``radius + 1``
 bands of their bits, so each band value is a shard key. A shard with more than
 ``shard_limit`` fingerprints is dealt again: its keys agree on one band, so the remaining
-bits are banded once more, which leaves no link out. With radius 2 the levels fix 22,
-then 36, then 46, then 52 bits, so no shard of the last level can hold over 2**12
+bits are banded once more, which leaves no link out. With radius 2 the four levels fix at
+least 21, 35, 44 and 50 bits, so no shard of the last level can hold over 2**14
 fingerprints, whatever the data. Each shard's tree meets only its own shard's queries:
 trees are never broadcast, as their total size follows the corpus.
 
