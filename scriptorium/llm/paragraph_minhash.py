@@ -45,6 +45,7 @@ PASSAGE_WINDOW = 25
 CHUNK_BYTES = 1 << 20  # of text hashed together
 BLOCK_BYTES = 12 << 20  # of text in a block
 KEYS_A_PARTITION = 2_000_000
+BUCKET_ROWS = 4096  # paragraphs of a band bucket compared in one task, twice over at most
 BYTES_A_KEY = 60  # about, of text for each paragraph or run; only the number of partitions depends on it
 _NO_ID = -(1 << 63)
 
@@ -334,12 +335,16 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
     return links
 
 
-def _paragraph_links(docs: DataFrame, packs: DataFrame, similarity: float) -> DataFrame:
-    """Links between different paragraphs (by hash) of the similarity or more."""
+def _paragraph_links(docs: DataFrame, packs: DataFrame, similarity: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links between different paragraphs (by hash) of the similarity or more.
+
+    A bucket of over ``bucket_rows`` paragraphs is cut into blocks by hash, and each pair of
+    blocks is compared by itself, so no task holds a whole bucket and no link is lost.
+    """
     lines = _lines(packs)
     distinct = lines.groupBy("unit").agg(F.min(F.struct("row", "start", "end")).alias("at"), F.first("keys").alias("keys"))
     banded = distinct.select("unit", F.explode("keys").alias("key"))
-    several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hits = cut_lineage(banded.join(several, "key"))
     wanted = hits.select("unit").distinct().join(lines.groupBy("unit").agg(F.min(F.struct("row", "start", "end")).alias("at")), "unit").select("unit", "at.row", "at.start", "at.end")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
@@ -356,7 +361,10 @@ def _paragraph_links(docs: DataFrame, packs: DataFrame, similarity: float) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["unit", "shingles"])
 
     sets = texts.join(wanted, "row").select("unit", "text", "start", "end").mapInArrow(shingles, "unit long, shingles binary")
-    groups = hits.join(sets, "unit").repartition("key").sortWithinPartitions("key", "unit").select("key", "unit", "shingles")
+    blocks = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
+    own = F.pmod(F.xxhash64("unit"), blocks).cast("int")
+    dealt = hits.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("unit", F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")).alias("key"))
+    groups = dealt.join(sets, "unit").repartition("key").sortWithinPartitions("key", "unit").select("key", "unit", "shingles")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
@@ -387,7 +395,7 @@ def _fuzzy_spans(packs: DataFrame, parts: DataFrame) -> DataFrame:
     return again.groupBy("row").agg(F.collect_list("s").alias("more"))
 
 
-def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per row: doc_id, n_words, n_paragraphs, n_repeated, n_removed, repeated, removed.
 
     ``repeated`` are merged word spans (``start:end``, comma-joined) that another place also
@@ -401,7 +409,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     partitions = max(1, math.ceil(size / BYTES_A_KEY / KEYS_A_PARTITION))
     packs = cut_lineage(_packs(docs))
     exact = _exact_spans(packs, _answers(packs, partitions))
-    parts = connected_components(_paragraph_links(docs, packs, similarity), "a", "b")
+    parts = connected_components(_paragraph_links(docs, packs, similarity, bucket_rows), "a", "b")
     joined = exact.join(_fuzzy_spans(packs, parts), "row", "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -166,7 +166,8 @@ def test_interpolation_of_an_empty_table(spark):
 # Passages ----------------------------------------------------------------------------
 
 
-def test_passages_and_paragraphs(spark):
+@pytest.mark.parametrize("bucket_rows", [4096, 1])
+def test_passages_and_paragraphs(spark, bucket_rows):
     rng = random.Random(9)
     text = lambda n: " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
     shared, line = text(51), text(14)
@@ -176,7 +177,7 @@ def test_passages_and_paragraphs(spark):
     rows += [(80 + i, "\n".join((text(12), " ".join([*near[:50], f"n{i}", *near[51:]]), text(12)))) for i in range(3)]
     rows += [(90 + i, f"{text(40)}\n{text(40)}") for i in range(3)]  # clean
     rows += [(None, None), (200, ""), (201, "a b c"), (202, shared.upper())]
-    got = {r.doc_id: r for r in paragraph_minhash.repeated_passages(documents(spark, rows)).collect()}
+    got = {r.doc_id: r for r in paragraph_minhash.repeated_passages(documents(spark, rows), bucket_rows=bucket_rows).collect()}
     spans = lambda s: [tuple(map(int, p.split(":"))) for p in s.split(",") if p]
     assert len(got) == len(rows)
     for i in range(5):
