@@ -31,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import cut_lineage, fold, text_bytes
+from scriptorium.llm.runtime import cut_lineage, fold, release_memory, text_bytes
 
 ORDER = 2
-BLOCK_BYTES = 12 << 20
-KEYS_A_PARTITION = 4_000_000
+BLOCK_BYTES = 8 << 20
+KEYS_A_PARTITION = 2_500_000
 HELD_OUT = 1  # remainder of documents that are never learned from
 DELETED = 2  # remainder of training documents deleted while weights are learned
 BINS_A_DOUBLING = 4
@@ -134,6 +134,7 @@ def _packs(docs: DataFrame, block_bytes: int) -> DataFrame:
                     del open_[kind]
         for ids, flags, texts, _, first in open_.values():
             yield pack(ids, flags, texts, first)
+        release_memory()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id").cast("int").alias("mark"), F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
     return source.mapInArrow(run, _PACK)
@@ -188,6 +189,7 @@ def _requests(packs: DataFrame, order: int, partitions: int) -> DataFrame:
                         part[0] = keys[a]
                         rows.append({"part": p, "block": row["block"], "n": n, "keys": _squeeze(part), "rest": _squeeze(rest[a:b]), "cut": _squeeze(cut[a:b])})
                     yield pa.RecordBatch.from_pylist(rows, _SENT)
+                release_memory()
 
     return packs.mapInArrow(run, "part long, block long, n int, keys binary, rest binary, cut binary")
 
@@ -209,6 +211,7 @@ def _totals(requests: DataFrame, partitions: int) -> DataFrame:
                 mine = place[at : at + len(k)]
                 at += len(k)
                 out.append((int(block), n, int(rows["part"].iloc[0]), _squeeze(rest[mine]), _squeeze(cut[mine]), 0, 0, 0, 0))
+        release_memory()
         return pd.DataFrame(out, columns=["block", "n", "part", "rest", "cut", "known", "known_rest", "seen", "seen_rest"])
 
     answers = requests.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, n int, part long, rest binary, cut binary, known long, known_rest long, seen long, seen_rest long")
