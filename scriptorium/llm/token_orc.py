@@ -33,7 +33,8 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 BLOCK_BYTES = 1 << 20  # of text encoded together
-MEMO_UNITS = 1_000_000  # units remembered by a worker, about 40 bytes each
+MEMO_UNITS = 2_000_000  # units remembered by a worker, about 40 bytes each
+RECENT_UNITS = 100_000  # of them, kept in a small table of their own
 
 _MAYBE_SPACE = re.compile(rb"[\xc2\xe1-\xe3]")
 _OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -85,15 +86,29 @@ class Encoder:
         return np.delete(ids, marks), np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        """Add new units' ids (sorted keys) to those remembered."""
+        """Add new units' ids (sorted keys) to the small table; a full one joins the large one."""
         flat, lengths = self._unit_ids(units)
-        at = np.searchsorted(self.keys, keys)
-        base = len(self.flat) + np.cumsum(lengths) - lengths
-        self.keys, self.base, self.lengths = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.base, base), (self.lengths, lengths)))
-        self.flat = np.concatenate((self.flat, flat))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(len(self.flat), np.int32)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.recent = _inserted(self.recent, (keys, self.used + np.cumsum(lengths) - lengths, lengths))
+        self.used += len(flat)
+        if len(self.recent[0]) > RECENT_UNITS:
+            self.settled, self.recent = _inserted(self.settled, self.recent), _no_units()
 
     def _forget(self) -> None:
-        self.keys, self.base, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.settled, self.recent, self.flat, self.used = _no_units(), _no_units(), np.empty(1 << 20, np.int32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the ids, numbers of ids, which keys are known)."""
+        base, lengths, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for have, places, sizes in (self.settled, self.recent):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                base[hit], lengths[hit] = places[at[hit]], sizes[at[hit]]
+                known |= hit
+        return base, lengths, known
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, each text's number of ids); texts are UTF-8."""
@@ -111,21 +126,33 @@ class Encoder:
         stops = np.append(starts[1:], len(data))
         keys = span_hashes(BYTE_VALUES[data], starts, stops)
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        known = np.searchsorted(self.keys, distinct)
-        new = np.flatnonzero(self.keys[np.minimum(known, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
-        if len(self.keys) + len(new) > MEMO_UNITS:
+        base, lengths, known = self._find(distinct)
+        new = np.flatnonzero(~known)
+        if len(self.settled[0]) + len(self.recent[0]) + len(new) > MEMO_UNITS:
             self._forget()
             new = np.arange(len(distinct))
         if len(new):
             self._learn(distinct[new], [joined[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
-            known = np.searchsorted(self.keys, distinct)
-        own = self.lengths[known][which]
+            base, lengths, _ = self._find(distinct)
+        own = lengths[which]
         at = np.cumsum(own) - own
-        ids = self.flat[np.repeat(self.base[known][which] - at, own) + np.arange(int(own.sum()))]
+        ids = self.flat[np.repeat(base[which] - at, own) + np.arange(int(own.sum()))]
         text_of = np.searchsorted(ends, starts, side="right")
         return ids, np.bincount(text_of, own, len(texts)).astype(np.int64)
 
 
+Units = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted keys, places of their ids, numbers of ids
+
+
+def _no_units() -> Units:
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _inserted(units: Units, new: Units) -> Units:
+    at = np.searchsorted(units[0], new[0])
+    return tuple(np.insert(have, at, more) for have, more in zip(units, new))
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     """Byte offsets of a binary column's values."""
     kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
