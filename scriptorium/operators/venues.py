@@ -12,6 +12,7 @@ from scriptorium.functions.dates import created_prefix
 from scriptorium.functions.text import blank, slug_uncut, venue_name
 from scriptorium.operators.matching import near_duplicate_keys
 from scriptorium.operators.merging import majority
+from scriptorium.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ def venue_plan(pages: DataFrame) -> Plan:
     its earliest date, and the sorted unions of papers and tags. A page whose slug is right
     already and that merges with no other is unchanged.
     """
-    checked = checked_pages(pages)
+    checked = cut_lineage(checked_pages(pages))  # else each later filter works names out again
     usable = checked.where("skip_reason IS NULL").drop("skip_reason")
     none = F.array().cast("array<string>")
     usable = usable.withColumn("venue_type", F.coalesce("venue_type", F.lit("journal"))).withColumn("n_papers", F.size(F.coalesce("papers", none)))
