@@ -45,6 +45,7 @@ PASSAGE_WINDOW = 25
 CHUNK_BYTES = 1 << 20  # of text hashed together
 BLOCK_BYTES = 12 << 20  # of text in a block
 KEYS_A_PARTITION = 2_000_000
+BROADCAST_LINES = 500_000  # colliding paragraphs whose places (24 bytes each) are broadcast; more are shuffled
 BUCKET_ROWS = 4096  # paragraphs of a band bucket compared in one task, twice over at most
 BYTES_A_KEY = 60  # about, of text for each paragraph or run; only the number of partitions depends on it
 _NO_ID = -(1 << 63)
@@ -285,7 +286,7 @@ def _exact_spans(packs: DataFrame, answers: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pack.rows), ids, pa.array(pack.n_words), pa.array(pack.n_lines), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items).cast(span)], ["row", "doc_id", "n_words", "n_paragraphs", "spans"])
 
     arrays = answers.groupBy("block").agg(F.collect_list(F.struct("part", "flags")).alias("answers"))
-    return packs.join(arrays, "block", "left").mapInArrow(run, kinds)
+    return packs.drop("bands").join(arrays, "block", "left").mapInArrow(run, kinds)
 
 
 def _lines(packs: DataFrame) -> DataFrame:
@@ -347,6 +348,9 @@ def _paragraph_links(docs: DataFrame, packs: DataFrame, similarity: float, bucke
     several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hits = cut_lineage(banded.join(several, "key"))
     wanted = hits.select("unit").distinct().join(lines.groupBy("unit").agg(F.min(F.struct("row", "start", "end")).alias("at")), "unit").select("unit", "at.row", "at.start", "at.end")
+    wanted = cut_lineage(wanted)
+    if wanted.count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
