@@ -9,23 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back.
-
-    The session's own setting is used. Only where it is unset (a local test session) is
-    a temporary folder chosen; a cluster has to name a shared one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="scriptorium-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from scriptorium.session import cut_lineage  # noqa: F401  the operators take it from here
 
 
 def shared_folder(spark: SparkSession) -> str:
