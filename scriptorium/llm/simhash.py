@@ -16,7 +16,7 @@ all pairs, and components over the links are found by ``connected_components``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -220,12 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, grouped: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the smallest doc_id stays.
 
-    Documents need an id here (rows without one are kept); repeated rows of an id keep one.
+    ``grouped`` gives ``doc_id`` and ``component_id``: ``near_duplicates`` by fingerprints, or
+    ``near_copies`` by Jaccard similarity. Documents need an id here (rows without one are
+    kept); repeated rows of an id keep one.
     """
-    groups = near_duplicates(docs, **options)
+    groups = grouped(docs, **options)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     identified = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
     return identified.dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))

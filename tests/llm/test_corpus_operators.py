@@ -11,8 +11,10 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from scriptorium.llm import cover_tree, fm_index, interpolation_lm, mixing, paragraph_minhash, simhash
 from scriptorium.llm.components import connected_components
+from scriptorium.llm.near_copies import near_copies
 from tests.llm.helpers import WORDS, awkward_texts, documents, lower, words
 
 
@@ -98,6 +100,33 @@ def test_keep_one_of_each_group(spark):
     assert simhash.keep_one(documents(spark, [])).count() == 0
 
 
+def plain_similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(a), words(b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("block_texts", [4096, 2])
+def test_near_dedup_equals_brute_force_on_near_copies(spark, block_texts):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(20):
+        base = [f"k{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        rows.append(" ".join(base))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.06):  # of the words changed
+            rows.append(" ".join(f"n{rng.random()}" if rng.random() < share else w for w in base))
+    rows += ["", "one", "one two", "One", "a b c d e"]
+    rng.shuffle(rows)
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if plain_similarity(rows[a], rows[b]) >= 0.8]
+    far = sum(0.8 <= plain_similarity(rows[a], rows[b]) < 0.95 for a, b in near)
+    assert far >= 60
+    want = set(plain_components(range(len(rows)), near).values())
+    docs = documents(spark, list(enumerate(rows)))
+    kept = simhash.keep_one(docs, near_copies, block_texts=block_texts).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(want)
+    if block_texts == 4096:
+        assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(want)
+
+
 # Top-k -------------------------------------------------------------------------------
 
 
