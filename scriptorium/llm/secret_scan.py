@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT_CHARS = 400  # of surrounding code on either side in the primer
 SENSITIVE_CHARS = 64  # reach of a sensitive word before a candidate
+SENSITIVE_AFTER = 32  # and after it
 LEAST_CHARS = 16
 LEAST_COST = 0.62  # marginal bytes a character; random base64 costs about 0.75
 
@@ -41,6 +42,7 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+_NAMED = re.compile(r"[^=]+=(?=[^=])")
 _SENSITIVE = re.compile(r"(?ai)passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|client.?id|cookie|session")
 _primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 _compressor = zstandard.ZstdCompressor(level=9, dict_data=_primer, write_content_size=False, write_checksum=False)
@@ -64,20 +66,34 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(_compressor.compress(around + candidate.encode())) - len(_compressor.compress(around))
 
 
+def value_start(run: str) -> int:
+    """Where the value of an unspaced ``name=value`` run begins; 0 in any other run.
+
+    The first ``=`` followed by anything but ``=`` divides it, so padding divides nothing.
+    """
+    m = _NAMED.match(run)
+    return m.end() if m else 0
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Incompressible runs near a sensitive word that no base span touches."""
+    """Incompressible runs near a sensitive word that no base span touches.
+
+    The word may stand before the value, within its run or shortly after it.
+    """
     out = []
     for m in _CANDIDATE.finditer(text) if _SENSITIVE.search(text) else ():
-        run = m[0]
+        start = m.start() + value_start(m[0])
+        run = text[start : m.end()]
         digits = sum(c.isdigit() for c in run)
         letters = sum(c.isalpha() for c in run)
-        if digits < 3 or letters < 3 or any(s < m.end() and m.start() < e for s, e, _ in base):
+        if len(run) < LEAST_CHARS or digits < 3 or letters < 3 or any(s < m.end() and start < e for s, e, _ in base):
             continue
-        if not _SENSITIVE.search(text, max(0, m.start() - SENSITIVE_CHARS), m.start()):
+        if not _SENSITIVE.search(text, max(0, m.start() - SENSITIVE_CHARS), min(len(text), m.end() + SENSITIVE_AFTER)):
             continue
-        cost = marginal_bytes(run, text[max(0, m.start() - CONTEXT_CHARS) : m.start()], text[m.end() : m.end() + CONTEXT_CHARS])
+        before, after = text[max(0, start - CONTEXT_CHARS) : start], text[m.end() : m.end() + CONTEXT_CHARS]
+        cost = marginal_bytes(run, before, after)
         if cost >= LEAST_COST * len(run):
-            out.append((m.start(), m.end(), "novel"))
+            out.append((start, m.end(), "novel"))
     return out
 
 

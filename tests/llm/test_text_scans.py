@@ -39,6 +39,17 @@ def test_novelty_reports_random_strings_near_sensitive_words_only():
     assert "novel" not in kinds("auth abcdefgh1234567abcdefgh1234567 abcdefgh1234567abcdefgh1234567")
 
 
+def test_sensitive_words_within_and_after_a_run():
+    value = "9fK3x8QpL2mN7vB4z"
+    found = lambda t: [t[a:b] for a, b, k in secret_scan.scan_text(t)[1] if k == "novel"]
+    for name in ("access_key", "session_id", "pwd", "client_id", "signature"):
+        assert found(f"x {name}={value} y") == [value], name
+    assert found(f"auth/{value}") == [f"auth/{value}"]
+    assert found(f"{value} is the session") == [value]
+    assert found(f"{value}== of the cookie") == [f"{value}=="]
+    assert found(f"name={value}") == []
+
+
 def test_secret_scan_over_a_table(spark):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + awkward_texts()
     got = secret_scan.scan_secrets(documents(spark, rows)).collect()
