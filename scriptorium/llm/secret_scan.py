@@ -78,9 +78,11 @@ def value_start(run: str) -> int:
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Incompressible runs near a sensitive word that no base span touches.
 
-    The word may stand before the value, within its run or shortly after it.
+    The word may stand before the value, within its run or shortly after it. Other uses of
+    a value are taken out of its context, or it would prime its own price; one that is
+    reported is reported wherever it stands in the text.
     """
-    out = []
+    places, found = [], set()
     for m in _CANDIDATE.finditer(text) if _SENSITIVE.search(text) else ():
         start = m.start() + value_start(m[0])
         run = text[start : m.end()]
@@ -88,13 +90,15 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         letters = sum(c.isalpha() for c in run)
         if len(run) < LEAST_CHARS or digits < 3 or letters < 3 or any(s < m.end() and start < e for s, e, _ in base):
             continue
-        if not _SENSITIVE.search(text, max(0, m.start() - SENSITIVE_CHARS), min(len(text), m.end() + SENSITIVE_AFTER)):
+        places.append((start, m.end(), run))
+        if run in found or not _SENSITIVE.search(text, max(0, m.start() - SENSITIVE_CHARS), min(len(text), m.end() + SENSITIVE_AFTER)):
             continue
-        before, after = text[max(0, start - CONTEXT_CHARS) : start], text[m.end() : m.end() + CONTEXT_CHARS]
-        cost = marginal_bytes(run, before, after)
-        if cost >= LEAST_COST * len(run):
-            out.append((start, m.end(), "novel"))
-    return out
+        reach = CONTEXT_CHARS + len(run)  # a use across the context's end is taken out whole
+        before = text[max(0, start - reach) : start].replace(run, " ")[-CONTEXT_CHARS:]
+        after = text[m.end() : m.end() + reach].replace(run, " ")[:CONTEXT_CHARS]
+        if marginal_bytes(run, before, after) >= LEAST_COST * len(run):
+            found.add(run)
+    return [(start, end, "novel") for start, end, run in places if run in found]
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

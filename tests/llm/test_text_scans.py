@@ -50,6 +50,14 @@ def test_sensitive_words_within_and_after_a_run():
     assert found(f"name={value}") == []
 
 
+def test_a_secret_used_again_does_not_hide_itself():
+    value = "zQ8fK2pL9vX4mN7rT1wY6sB3"
+    for gap in (" ", " then " * 20, " then " * 65, " then " * 400):
+        text = f"auth header {value}{gap}{value} end"
+        found = [text[a:b] for a, b, k in secret_scan.scan_text(text)[1] if k == "novel"]
+        assert found == [value, value], len(gap)
+
+
 def test_secret_scan_over_a_table(spark):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + awkward_texts()
     got = secret_scan.scan_secrets(documents(spark, rows)).collect()
