@@ -12,6 +12,7 @@ block of texts (see :class:`Encoder`).
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import uuid
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.hashing import BYTE_VALUES, span_hashes
+from scriptorium.llm.hashing import mix
 from scriptorium.llm.runtime import cut_lineage, release_memory, shared_folder, text_bytes
 
 END_ID = 0
@@ -35,6 +36,11 @@ ROW_INDEX_STRIDE = 1000
 BLOCK_BYTES = 1 << 20  # of text encoded together
 MEMO_UNITS = 2_000_000  # units remembered by a worker, about 40 bytes each
 RECENT_UNITS = 100_000  # of them, kept in a small table of their own
+SHORT_BYTES = 15  # of a unit that two words hold
+LONG_BYTES = 256  # longer units are not remembered
+LONG_UNITS = 50_000  # of those between, remembered by a worker
+PART_BYTES = 128 << 20  # of text in a file
+LEAST_PART_BYTES = 8 << 20  # of text in a file where cores would be idle
 
 _MAYBE_SPACE = re.compile(rb"[\xc2\xe1-\xe3]")
 _OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -46,9 +52,11 @@ class Encoder:
 
     Byte-level BPE encodes pre-tokens independently, so a text falls exactly into units at
     its white space: a word with the blank before it, a white-space character before a
-    word that is no blank, and the rest of a run of white space. A block's units are found
-    and hashed (64 bits) in numpy, new ones go through the library together, one a line, and
-    the ids are gathered from a bounded table of the units met so far. Texts with white space
+    word that is no blank, and the rest of a run of white space. A block's units are found in
+    numpy. One of up to ``SHORT_BYTES`` bytes is two 64-bit words, from which it can be told
+    exactly (see :func:`unit_words`); a bounded table of the units met so far is searched by a
+    hash of the two, and both are compared on every hit. New ones go through the library
+    together, one a line. Longer units are looked up by their bytes. Texts with white space
     outside ASCII or with an added token's string, and other kinds of tokenizer, go
     through the library whole.
     """
@@ -85,30 +93,49 @@ class Encoder:
             return np.concatenate(found), np.array([len(f) for f in found], np.int64)
         return np.delete(ids, marks), np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
 
-    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, heads: np.ndarray, tails: np.ndarray, units: list[bytes]) -> None:
         """Add new units' ids (sorted keys) to the small table; a full one joins the large one."""
         flat, lengths = self._unit_ids(units)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(len(self.flat), np.int32)))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.recent = _inserted(self.recent, (keys, self.used + np.cumsum(lengths) - lengths, lengths))
+        self._put(flat)
+        self.recent = _inserted(self.recent, (keys, heads, tails, self.used + np.cumsum(lengths) - lengths, lengths))
         self.used += len(flat)
         if len(self.recent[0]) > RECENT_UNITS:
             self.settled, self.recent = _inserted(self.settled, self.recent), _no_units()
 
+    def _put(self, ids: np.ndarray) -> None:
+        """Write ids behind those in use."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(len(self.flat), np.int32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+
     def _forget(self) -> None:
         self.settled, self.recent, self.flat, self.used = _no_units(), _no_units(), np.empty(1 << 20, np.int32), 0
+        self.long: dict[bytes, np.ndarray] = {}
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places of the ids, numbers of ids, which keys are known)."""
-        base, lengths, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        for have, places, sizes in (self.settled, self.recent):
+    def _find(self, keys: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the ids, numbers of ids, which units are known, which have another's key)."""
+        base, lengths = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        known, clash = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        for have, head, tail, places, sizes in (self.settled, self.recent):
             if len(have):
                 at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
                 hit = have[at] == keys
-                base[hit], lengths[hit] = places[at[hit]], sizes[at[hit]]
-                known |= hit
-        return base, lengths, known
+                same = hit & (head[at] == heads) & (tail[at] == tails)
+                base[same], lengths[same] = places[at[same]], sizes[at[same]]
+                known |= same
+                clash |= hit & ~same
+        return base, lengths, known, clash
+
+    def _by_bytes(self, unit: bytes) -> np.ndarray:
+        """Ids of a long unit, or of one whose key another has."""
+        ids = self.long.get(unit)
+        if ids is None:
+            ids = self._whole(unit)
+            if len(unit) <= LONG_BYTES:
+                if len(self.long) >= LONG_UNITS:
+                    self.long.clear()
+                self.long[unit] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, each text's number of ids); texts are UTF-8."""
@@ -124,28 +151,57 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         starts = _unit_starts(data, ends)
         stops = np.append(starts[1:], len(data))
-        keys = span_hashes(BYTE_VALUES[data], starts, stops)
+        short = np.flatnonzero(stops - starts <= SHORT_BYTES)
+        heads, tails = unit_words(joined, starts[short], stops[short])
+        keys = mix(heads + mix(tails))
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        base, lengths, known = self._find(distinct)
-        new = np.flatnonzero(~known)
+        head, tail = heads[first], tails[first]
+        base, lengths, known, clash = self._find(distinct, head, tail)
+        new = np.flatnonzero(~known & ~clash)
         if len(self.settled[0]) + len(self.recent[0]) + len(new) > MEMO_UNITS:
             self._forget()
-            new = np.arange(len(distinct))
+            clash, new = np.zeros(len(distinct), bool), np.arange(len(distinct))
         if len(new):
-            self._learn(distinct[new], [joined[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
-            base, lengths, _ = self._find(distinct)
-        own = lengths[which]
+            places = short[first[new]]
+            self._learn(distinct[new], head[new], tail[new], [joined[a:b] for a, b in zip(starts[places].tolist(), stops[places].tolist())])
+            base, lengths, _, _ = self._find(distinct, head, tail)
+        places, own = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        places[short], own[short] = base[which], lengths[which]
+        others = np.ones(len(starts), bool)
+        others[short] = clash[which] | (heads != head[which]) | (tails != tail[which])
+        others = np.flatnonzero(others)
+        if len(others):
+            found = [self._by_bytes(joined[a:b]) for a, b in zip(starts[others].tolist(), stops[others].tolist())]
+            self._put(np.concatenate(found))
+            own[others] = [len(f) for f in found]
+            places[others] = self.used + np.cumsum(own[others]) - own[others]
         at = np.cumsum(own) - own
-        ids = self.flat[np.repeat(base[which] - at, own) + np.arange(int(own.sum()))]
+        ids = self.flat[np.repeat(places - at, own) + np.arange(int(own.sum()))]
         text_of = np.searchsorted(ends, starts, side="right")
         return ids, np.bincount(text_of, own, len(texts)).astype(np.int64)
 
 
-Units = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted keys, places of their ids, numbers of ids
+Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # sorted keys, heads, tails, places of their ids, numbers of ids
 
 
 def _no_units() -> Units:
-    return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return *(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def unit_words(joined: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words a unit of up to ``SHORT_BYTES`` bytes, different for different units.
+
+    The first has the unit's first 8 bytes. The second has its size in the lowest byte and,
+    of a unit over 8 bytes, its last 7 bytes above it.
+    """
+    eight = np.ndarray((len(joined) + 1,), "<u8", joined + bytes(8), strides=(1,))  # the 8 bytes from each place
+    sizes = stops - starts
+    heads = eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]
+    tails = np.where(sizes > 8, eight[np.maximum(stops - 8, 0)] & np.uint64(0xFFFFFFFFFFFFFF00), np.uint64(0))
+    return heads, tails | sizes.astype(np.uint64)
 
 
 def _inserted(units: Units, new: Units) -> Units:
@@ -213,7 +269,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_
         release_memory()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or file_count(docs, text_col)
     ordered = source.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     (
@@ -230,6 +286,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_
     return folder
 
 
+def file_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Files of ``PART_BYTES`` of text, or more where cores would be idle; taken from all texts' sizes."""
+    size = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1)).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(size / PART_BYTES), min(cores, math.ceil(size / LEAST_PART_BYTES)))
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, pos, ids, file)`` of a folder's files; filters on doc_id reach the files' indexes."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -239,8 +302,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def token_index(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` is the number of ids in earlier documents. File totals are prefix-summed over
-    the files' order (a row a file), and only rows of one file are sorted together.
+    ``start`` is the number of ids in earlier documents. File totals are prefix-summed in the
+    order of the files' part numbers (a row a file), and only rows of one file are sorted together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +319,8 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
     read = read_tokens(spark, folder).select("doc_id", "pos", "file", "ids")
     rows = cut_lineage(read.mapInArrow(run, "doc_id long, pos long, file string, n_tokens long, ids_crc32 long"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
-    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # as text, part 100000 would come before part 99999
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     within = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(files, "file")
