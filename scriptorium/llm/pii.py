@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.runtime import without_overlaps
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW = 96
@@ -57,7 +59,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     if "@" in text:
         out += _emails(text)
     if _DIGITS.search(text):
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -439,7 +441,7 @@ def scan_texts(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
         added[i] = tagged_spans(texts[i], starts[i], np.stack(paths))
     out = []
     for own, more in zip(base, added):
-        free = [s for s in more if not any(a < s[1] and s[0] < b for a, b, _ in own)]
+        free = without_overlaps(more, own)
         out.append((own, _ordered(own + free)))
     return out
 

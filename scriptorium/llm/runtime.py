@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from bisect import bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,29 @@ def release_memory() -> None:
         return
 
 
+def free_of(spans: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
+    """Whether a stretch touches none of the spans, by a search in their union."""
+    starts, stops = [], []
+    for start, stop, _ in sorted(spans):
+        if stops and start <= stops[-1]:
+            stops[-1] = max(stops[-1], stop)
+        else:
+            starts.append(start)
+            stops.append(stop)
+
+    def free(start: int, stop: int) -> bool:
+        at = bisect_right(stops, start)
+        return at == len(starts) or starts[at] >= stop
+
+    return free
+
+
+def without_overlaps(more: list[tuple[int, int, str]], own: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those of ``more`` that touch no span of ``own``."""
+    free = free_of(own)
+    return [s for s in more if free(s[0], s[1])]
+
+
 def fold(column: str, parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)
@@ -41,5 +66,14 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+MARK = ("mark_a", "mark_b")
+
+
+def text_mark(column: str = "text") -> tuple[Column, Column]:
+    """128 bits of a text, by which rows under one id are told apart; null has its own."""
+    text = F.col(column).cast("string")
+    return F.xxhash64(text).alias(MARK[0]), F.xxhash64(F.lit(1), text, text.isNull()).alias(MARK[1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.runtime import free_of
+
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT_CHARS = 400  # of surrounding code on either side in the primer
 SENSITIVE_CHARS = 64  # reach of a sensitive word before a candidate
@@ -83,12 +85,13 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     reported is reported wherever it stands in the text.
     """
     places, found = [], set()
+    free = free_of(base)
     for m in _CANDIDATE.finditer(text) if _SENSITIVE.search(text) else ():
         start = m.start() + value_start(m[0])
         run = text[start : m.end()]
         digits = sum(c.isdigit() for c in run)
         letters = sum(c.isalpha() for c in run)
-        if len(run) < LEAST_CHARS or digits < 3 or letters < 3 or any(s < m.end() and start < e for s, e, _ in base):
+        if len(run) < LEAST_CHARS or digits < 3 or letters < 3 or not free(start, m.end()):
             continue
         places.append((start, m.end(), run))
         if run in found or not _SENSITIVE.search(text, max(0, m.start() - SENSITIVE_CHARS), min(len(text), m.end() + SENSITIVE_AFTER)):

@@ -58,6 +58,25 @@ def test_a_secret_used_again_does_not_hide_itself():
         assert found == [value, value], len(gap)
 
 
+def test_a_long_log_of_secrets_takes_linear_time():
+    import time
+
+    text = "".join(f'token = "{hashlib.md5(str(i).encode()).hexdigest()}" session zQ{i:08d}K2pL9vX4mN7r\n' for i in range(4000))
+    begun = time.process_time()
+    base, spans = secret_scan.scan_text(text)
+    assert len(base) == 8000 and time.process_time() - begun < 6
+
+
+def test_overlaps_by_search_equal_overlaps_by_pairs():
+    from scriptorium.llm.runtime import without_overlaps
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        spans = lambda n: [(int(a), int(a + rng.integers(1, 9)), "x") for a in rng.integers(0, 60, n)]
+        own, more = spans(rng.integers(0, 6)), spans(8)
+        assert without_overlaps(more, own) == [s for s in more if not any(a < s[1] and s[0] < b for a, b, _ in own)]
+
+
 def test_secret_scan_over_a_table(spark):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + awkward_texts()
     got = secret_scan.scan_secrets(documents(spark, rows)).collect()
@@ -68,10 +87,13 @@ def test_secret_scan_over_a_table(spark):
 
 PRIVATE = [
     "a.b+c@mail-x.example.com, x@y @z q@w.c..d", "8.196.197.208 256.1.1.1 1.2.3.4.5 01.002.3.4", "4785 3805 9239 1139 4785380592391130 4465758382889437", "+1 (499) 555-6503 +49 30 +123456789012345678", "1" * 5000 + ".1",
-    "a" * 5000 + "@", "call (212) 555-0134 now please", "é 4465758382889437 ü me@host.org", "+1(2)3.4-5 678 9",
+    "0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 4999 + "7 " + "9" * 5000 + ".1.1.1", "a" * 5000 + "@", "call (212) 555-0134 now please", "é 4465758382889437 ü me@host.org", "+1(2)3.4-5 678 9",
 ]
 
 
+CALL = "call (212) 555-0134 now please"
+
+
 def plain_luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(digits[::-1]):
@@ -83,7 +105,7 @@ def plain_luhn(digits: str) -> bool:
 def plain_pii(text: str) -> list[tuple[int, int, str]]:
     only = lambda s: re.sub("[^0-9]", "", s)
     found = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    found += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(q := p.lstrip("0")) < 4 and int(q or 0) <= 255 for p in m[0].split("."))]
     found += [(m.start(), 2, m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(only(m[0])) <= 19 and plain_luhn(only(m[0]))]
     found += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(only(m[0])) <= 15]
     return [(a, b, k) for a, _, b, k in sorted(found)]
@@ -107,8 +129,8 @@ def test_tagger_learns_held_out_windows(tagger):
 
 
 def test_tagger_adds_spans_and_keeps_base_ones(tagger):
-    base, spans = pii.scan_texts([PRIVATE[6]], tagger)[0]
-    assert base == [] and [(PRIVATE[6][a:b], k) for a, b, k in spans] == [("(212) 555-0134", "phone")]
+    base, spans = pii.scan_texts([CALL], tagger)[0]
+    assert base == [] and [(CALL[a:b], k) for a, b, k in spans] == [("(212) 555-0134", "phone")]
     for text in PRIVATE:
         base, spans = pii.scan_texts([text], tagger)[0]
         assert set(base) <= set(spans)
@@ -156,6 +178,17 @@ def test_toxicity_on_the_held_fold(spark):
     kept = toxicity.accepted_rows(documents(spark, rows), table)
     assert kept.columns == documents(spark, rows).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if not got[i].predicted}
+    bad, good = (next(t for i, t in rows if got[i].predicted == k) for k in (1, 0))
+    mixed = [(2000, bad), (2000, good), (None, bad), (None, good), (None, None)]
+    kept = [(r.doc_id, r.text) for r in toxicity.accepted_rows(documents(spark, rows + mixed), table).collect()]
+    assert (2000, good) in kept and (None, good) in kept and (None, None) in kept and (2000, bad) not in kept and (None, bad) not in kept
+
+
+def test_scores_do_not_depend_on_the_batch():
+    texts, labels = zip(*[(t.encode(), k) for (_, t), (_, k) in zip(*toxic_rows(120))])
+    model = toxicity.fit(list(texts), list(labels), epochs=2)
+    some = [*texts[:40], b"", b"zounds", b"knave " * 70000, b"x"]
+    assert np.allclose(model.scores(some), [model.scores([t])[0] for t in some], atol=1e-5)
 
 
 def test_toxicity_without_labels_or_rows(spark):
