@@ -30,13 +30,14 @@ SHARD_ROWS = 4096
 BLOCK_QUERIES = 1024
 LEAF_ROWS = 64
 SHRINK = 1.5  # a level's covering radius over the next one's
-_LONG_SAFE = 2.0**52
+_DOUBLE_SAFE = 2.0**52  # inner products below it are exact in doubles
+_LONG_SAFE = 2.0**62  # and below it in longs; beyond, Python's integers are used
 
 
 class CoverTree:
     """Nodes over integer vectors; node i covers rows[first[i]:last[i]] within radius[i] of its centre."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf_rows: int = LEAF_ROWS, names: np.ndarray | None = None) -> None:
         points = vectors.astype(np.float64)
         self.centers, self.radius, self.first, self.last, self.kids = [], [], [], [], []
         order: list[np.ndarray] = []
@@ -44,6 +45,7 @@ class CoverTree:
         self._build(points, np.arange(len(ids)), 0 if len(ids) else None, leaf_rows, order)
         rows = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.ids, self.points = ids[rows], vectors[rows]
+        self.rows = (ids if names is None else names)[rows]  # what tells rows of one id apart
         self.centers = points[self.centers] if len(ids) else points
         self.norms = np.sqrt((self.centers**2).sum(axis=1))
         self.radius = np.array(self.radius)
@@ -91,30 +93,45 @@ class CoverTree:
 class Best:
     """The k best (score, id) of each query, ties to the smaller id."""
 
-    def __init__(self, n: int, k: int) -> None:
-        self.scores = np.full((n, k), -np.inf)
+    def __init__(self, n: int, k: int, kind: type = np.float64) -> None:
+        self.scores = np.zeros((n, k), kind)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.real = np.zeros((n, k), bool)  # places that hold a row
+        self.least = np.full(n, -np.inf)  # about the kth score, never above it
 
-    def offer(self, rows: slice, ids: np.ndarray, scores: np.ndarray) -> None:
+    def offer(self, rows: slice, ids: np.ndarray, scores: np.ndarray, other: np.ndarray) -> None:
+        """``other`` marks the pairs that count: not a query with its own row."""
         k = self.scores.shape[1]
-        useful = (scores >= self.scores[rows, -1:]).any(axis=0)
+        useful = (other & (~self.real[rows, -1:] | (scores >= self.scores[rows, -1:]))).any(axis=0)
         if not useful.any():
             return
-        scores, ids = scores[:, useful], ids[useful]
+        scores, ids, other = scores[:, useful], ids[useful], other[:, useful]
         all_scores = np.concatenate((self.scores[rows], scores), axis=1)
         all_ids = np.concatenate((self.ids[rows], np.broadcast_to(ids, scores.shape)), axis=1)
-        best = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        all_real = np.concatenate((self.real[rows], other), axis=1)
+        best = _order(all_scores, all_ids, all_real)[:, :k]
         self.scores[rows] = np.take_along_axis(all_scores, best, axis=1)
         self.ids[rows] = np.take_along_axis(all_ids, best, axis=1)
+        self.real[rows] = np.take_along_axis(all_real, best, axis=1)
+        low = self.scores[rows, -1].astype(np.float64)
+        self.least[rows] = np.where(self.real[rows, -1], low - 1e-9 * np.abs(low), -np.inf)
+
+
+def _order(scores: np.ndarray, ids: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Places of each row by score descending, then id; what is not real comes last."""
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores, ~real), axis=1)
+    key = lambda row: sorted(range(len(row[0])), key=lambda j: (not row[2][j], -row[0][j], row[1][j]))
+    return np.array([key(row) for row in zip(scores, ids, real)])
 
 
 def dual_search(queries: CoverTree, data: CoverTree, k: int) -> Best:
-    """Best k of ``data`` for each query, the query's own id left out."""
-    best = Best(len(queries.ids), k)
+    """Best k of ``data`` for each query, the query's own row left out."""
     if not len(queries.ids) or not len(data.ids):
-        return best
-    big = max(np.abs(queries.points).max(initial=0), np.abs(data.points).max(initial=0))
-    exact = np.float64 if float(big) ** 2 * max(1, data.points.shape[1]) < _LONG_SAFE else np.int64
+        return Best(len(queries.ids), k)
+    largest = float(max(np.abs(queries.points).max(initial=0), np.abs(data.points).max(initial=0))) ** 2 * max(1, data.points.shape[1])
+    exact = np.float64 if largest < _DOUBLE_SAFE else np.int64 if largest < _LONG_SAFE else object
+    best = Best(len(queries.ids), k, exact)
     q_points, d_points = queries.points.astype(exact), data.points.astype(exact)
 
     def bound(q: int, ds: np.ndarray) -> np.ndarray:
@@ -126,15 +143,13 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int) -> Best:
     while stack:
         q, d, top = stack.pop()
         rows = slice(queries.first[q], queries.last[q])
-        if top < best.scores[rows, -1].min():
+        if top < best.least[rows].min():
             continue
         q_kids, d_kids = queries.kids[q], data.kids[d]
         if not q_kids and not d_kids:
             span = slice(data.first[d], data.last[d])
-            scores = (q_points[rows] @ d_points[span].T).astype(np.float64 if exact is np.float64 else object)
-            scores = scores.astype(np.float64)
-            scores[queries.ids[rows][:, None] == data.ids[span][None, :]] = -np.inf
-            best.offer(rows, data.ids[span], scores)
+            scores = q_points[rows] @ d_points[span].T
+            best.offer(rows, data.ids[span], scores, queries.rows[rows][:, None] != data.rows[span][None, :])
         elif d_kids and (not q_kids or data.radius[d] >= queries.radius[q]):
             kids = np.array(d_kids)
             tops = bound(q, kids)
@@ -146,15 +161,15 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int) -> Best:
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``(vec_id, v)`` with v = floor(scale * component), one row a vec_id.
+    """``(vec_id, v, row)`` with v = floor(scale * component); ``row`` tells rows apart.
 
-    Rows with a null id, a null vector or a null or non-finite component are left out. Of
-    several rows of one id the smallest vector (as an array) stays.
+    Rows with a null id, a null vector or a null or non-finite component are left out.
+    Repeated rows all stay.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     own = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite)
     v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    return own.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return own.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _trees(rows: DataFrame, name: str, groups: int) -> DataFrame:
@@ -163,19 +178,20 @@ def _trees(rows: DataFrame, name: str, groups: int) -> DataFrame:
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["vec_id"].to_numpy(np.int64)
         vectors = np.array(frame["v"].tolist(), np.int64).reshape(len(ids), -1)
-        tree = pickle.dumps(CoverTree(ids, vectors), protocol=pickle.HIGHEST_PROTOCOL)
+        tree = pickle.dumps(CoverTree(ids, vectors, names=frame["row"].to_numpy(np.int64)), protocol=pickle.HIGHEST_PROTOCOL)
         return pd.DataFrame({"dim": [int(frame["dim"].iloc[0])], name: [int(frame[name].iloc[0])], "tree": [tree]})
 
-    dealt = rows.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias(name))
+    dealt = rows.select("vec_id", "v", "row", F.size("v").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias(name))
     return dealt.groupBy("dim", name).applyInPandas(build, f"dim int, {name} int, tree binary")
 
 
 def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: each query's k best rows (all, if there are fewer).
+    """``(query_id, query_row, rank, vec_id, score)``: each query's k best rows (all, if there are fewer).
 
     Queries are rows whose vec_id is divisible by ``every``; vectors meet vectors of their
-    own dimension. An empty table gives an empty result. Scores are exact while inner
-    products stay below 2**53.
+    own dimension. Rows that repeat an id are candidates of each other and queries of their
+    own: k rows are returned for each, which ``query_row`` tells apart. Scores are exact
+    for products of any size that a long holds. An empty table gives an empty result.
     """
     rows = cut_lineage(quantised(vectors))
     asked = rows.where(F.col("vec_id") % every == 0)
@@ -191,10 +207,10 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, shard_rows
             for q, d in zip(batch.column(0), batch.column(1)):
                 queries = pickle.loads(q.as_py())
                 best = dual_search(queries, pickle.loads(d.as_py()), k)
-                real = np.isfinite(best.scores)
-                asked_ids = np.broadcast_to(queries.ids[:, None], real.shape)[real]
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids), pa.array(best.ids[real]), pa.array(best.scores[real].astype(np.int64))], ["query_id", "vec_id", "score"])
+                asked_ids, asked_rows = (np.broadcast_to(x[:, None], best.real.shape)[best.real] for x in (queries.ids, queries.rows))
+                columns = [asked_ids, asked_rows, best.ids[best.real], best.scores[best.real].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query_row", "vec_id", "score"])
 
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = pairs.mapInArrow(run, "query_id long, query_row long, vec_id long, score long")
+    order = W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "query_row", "rank", "vec_id", "score")
