@@ -1,12 +1,10 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of consecutive documents of bounded text size. Its text is a sequence of
-word ids; an occurrence of a benchmark window lies in one document and consists of
-benchmark words whose neighbours are neighbours in some benchmark item, so the index
-holds exactly the runs of such words that are long enough for the shortest window (a
-run's end is a separator), which loses no occurrence. The index is a Burrows-Wheeler
-transform under a wavelet matrix; all windows are searched backward at once by rank
-queries, and occurrences are located by walking back to the next sampled suffix position.
+A shard is a run of consecutive documents of bounded text size. Its text is the sequence of
+all its documents' word ids with a separator after each document, indexed once: a
+Burrows-Wheeler transform under a wavelet matrix. All benchmark windows are searched
+backward at once by rank queries, and occurrences are located by walking back to the next
+sampled suffix position.
 
 The benchmark reaches the tasks in broadcast slices of bounded size. A larger benchmark
 has more slices, and each task takes them one at a time, so any size is handled exactly.
@@ -15,8 +13,10 @@ has more slices, and each task takes them one at a time, so any size is handled
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import repeat
+import pickle
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,14 @@ class WaveletMatrix:
 
     def __init__(self, values: np.ndarray, bits: int) -> None:
         self.bits, self.zeros, self.ranks = bits, [], []
-        now = values
+        now = values.astype(np.int32)  # symbols are fewer than words
         for level in reversed(range(bits)):
-            bit = (now >> level) & 1
-            self.ranks.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int32))))
-            self.zeros.append(len(now) - int(self.ranks[-1][-1]))
-            now = np.concatenate((now[bit == 0], now[bit == 1]))
+            bit = (now & (1 << level)) != 0
+            ranks = np.zeros(len(now) + 1, np.int32)
+            np.cumsum(bit, out=ranks[1:])
+            self.ranks.append(ranks)
+            self.zeros.append(len(now) - int(ranks[-1]))
+            now = np.concatenate((now[~bit], now[bit]))
 
     def rank(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol before each end."""
@@ -73,21 +75,32 @@ class WaveletMatrix:
         return symbol, now - lo
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix positions in order, by prefix doubling; the text ends with a unique zero."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, width = len(text), 1
-    while True:
-        after = np.concatenate((rank[width:], np.full(min(width, n), -1))) + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        rank = new
-        if n == 0 or rank[order[-1]] == n - 1:
-            return order
+def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
+    """Suffix positions in order; the text of ``bits``-bit symbols ends with a unique zero.
+
+    Suffixes are sorted by as many symbols as a long holds, then by prefix doubling, which
+    sorts only those that are not yet told apart. A rank is the place of a group's first.
+    """
+    n, width = len(text), max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: n - k] |= text[k:] if k < n else 0
+    order = np.argsort(key)
+    ordered = key[order]
+    open_ = np.arange(n)  # places in the order not yet certain
+    rank = np.empty(n, np.int64)
+    while len(open_):
+        starts = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        rank[order[open_]] = np.maximum.accumulate(np.where(starts, open_, 0))
+        alone = starts & np.concatenate((starts[1:], [True]))
+        open_ = open_[~alone]
+        own = order[open_]
+        key = rank[own] * (n + 1) + np.where(own + width < n, rank[np.minimum(own + width, n - 1)] + 1, 0)
+        again = np.argsort(key)
+        order[open_], ordered = own[again], key[again]
         width *= 2
+    return order
 
 
 class FMIndex:
@@ -95,9 +108,9 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, symbols: int, every: int = SAMPLE_EVERY) -> None:
         body = np.concatenate((np.asarray(text, np.int64), [0]))
-        order = suffix_array(body)
-        bwt = body[order - 1]
-        self.wave = WaveletMatrix(bwt, max(1, int(symbols).bit_length()))
+        bits = max(1, int(symbols).bit_length())
+        order = suffix_array(body, bits)
+        self.wave = WaveletMatrix(body[order - 1], bits)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(body, minlength=symbols + 1))))
         self.sampled = order % every == 0
         self.where = np.concatenate(([0], np.cumsum(self.sampled)))
@@ -133,66 +146,55 @@ class FMIndex:
         return out
 
 
+class Shard:
+    """Word ids of a shard's texts, a separator after each, under one index."""
+
+    def __init__(self, texts: list[bytes], every: int = SAMPLE_EVERY) -> None:
+        self.vocabulary: defaultdict[bytes, int] = defaultdict()
+        self.vocabulary.default_factory = lambda: len(self.vocabulary) + 1
+        words = [words_of(t) for t in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        ids = [np.fromiter(map(self.vocabulary.__getitem__, w), np.int64, len(w)) for w in words]
+        self.ends = np.cumsum(self.sizes + 1)  # past each text's separator
+        end = len(self.vocabulary) + 1
+        text = np.full(int(self.ends[-1]) if len(texts) else 0, end, np.int64)
+        for own, stop in zip(ids, self.ends.tolist()):
+            text[stop - 1 - len(own) : stop - 1] = own
+        self.index = FMIndex(text, end, every)
+
+
 class PhraseSlice:
     """Windows of some benchmark items, ready to be searched for in a shard."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW_WORDS) -> None:
-        self.vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
-        pairs = set()
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            pairs.update(zip(ids, ids[1:]))
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(tuple(ids[at : at + window]), set()).add(name)
+        self.words = list(vocabulary)
         self.items = [sorted(names) for names in owners.values()]
         self.lengths = np.array([len(p) for p in owners], np.int64)
         self.phrases = np.zeros((len(owners), window), np.int64)
         for row, p in enumerate(owners):
             self.phrases[row, window - len(p) :] = p
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
-        size = len(self.vocabulary) + 1
-        self.pairs = np.unique(np.array([a * size + b for a, b in pairs], np.int64))
-
-    def hits(self, ids: np.ndarray, ends: np.ndarray, every: int = SAMPLE_EVERY) -> list[tuple[int, int, int]]:
-        """(start, end, window) of all occurrences in a shard of word ids (0: not in here).
-
-        ``ends`` are the document ends; no occurrence crosses one.
-        """
-        if not len(self.phrases) or not len(ids):
-            return []
-        size = len(self.vocabulary) + 1
-        pair = ids[:-1] * size + ids[1:]
-        at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
-        joined = (self.pairs[at] == pair) if len(self.pairs) else np.zeros(len(pair), bool)
-        joined &= (ids[:-1] > 0) & (ids[1:] > 0)
-        joined[ends[(ends > 0) & (ends < len(ids))] - 1] = False
-        cut = np.flatnonzero(~joined) + 1
-        starts, stops = np.concatenate(([0], cut)), np.concatenate((cut, [len(ids)]))
-        long = (stops - starts >= self.shortest) & (ids[starts] > 0)
-        starts, stops = starts[long], stops[long]
-        if not len(starts):
-            return []
-        lengths = stops - starts + 1  # with a separator
-        place = np.concatenate(([0], np.cumsum(lengths)))
-        text = np.full(place[-1], size, np.int64)
-        inside = np.arange(place[-1]) - np.repeat(place[:-1], lengths)
-        body = inside < np.repeat(lengths - 1, lengths)
-        origin = np.repeat(starts, lengths) + inside
-        text[body] = ids[origin[body]]
-        index = FMIndex(text, size, every)
-        lo, hi = index.search(self.phrases, self.lengths)
+
+    def hits(self, shard: Shard) -> Iterator[tuple[int, int, int]]:
+        """(start, end, window) of all occurrences in a shard; none crosses a separator."""
+        get = shard.vocabulary.get
+        ids = np.array([0, *(get(w, 0) for w in self.words)], np.int64)
+        phrases = ids[self.phrases]
+        able = np.flatnonzero((phrases > 0).sum(axis=1) == self.lengths)  # all words are in the shard
+        lo, hi = shard.index.search(phrases[able], self.lengths[able])
         found = np.flatnonzero(hi > lo)
-        out = []
         for at in range(0, len(found), 1024):  # blocks of windows bound the rows held at once
             some = found[at : at + 1024]
             counts = hi[some] - lo[some]
-            which = np.repeat(some, counts)
+            which = np.repeat(able[some], counts)
             first = np.cumsum(counts) - counts
-            rows = np.repeat(lo[some] - first, counts) + np.arange(len(which))
-            begin = origin[index.locate(rows)]
-            out.append(np.stack((begin, begin + self.lengths[which], which), axis=1))
-        return np.concatenate(out).tolist() if out else []
+            begin = shard.index.locate(np.repeat(lo[some] - first, counts) + np.arange(len(which)))
+            yield from zip(begin.tolist(), (begin + self.lengths[which]).tolist(), which.tolist())
 
 
 def phrase_slices(benchmark: DataFrame, window: int = WINDOW_WORDS, slice_bytes: int = SLICE_BYTES) -> Iterator[PhraseSlice]:
@@ -221,21 +223,20 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def scan_shard(texts: list[bytes], slices, every: int = SAMPLE_EVERY) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """(words, merged hit word spans, items found) of each document of a shard."""
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(sizes)
+    """(words, merged hit word spans, items found) of each document of a shard.
+
+    The shard is indexed once; all slices are searched in that index.
+    """
+    shard = Shard(texts, every)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     names: list[set[str]] = [set() for _ in texts]
+    begins = shard.ends - shard.sizes - 1
     for part in slices:
-        get = part.vocabulary.get
-        ids = np.fromiter((i for w in words for i in map(get, w, repeat(0))), np.int64, int(ends[-1]) if len(ends) else 0)
-        for start, end, which in part.hits(ids, ends, every):
-            d = int(np.searchsorted(ends, start, side="right"))
-            base = int(ends[d] - sizes[d])
-            spans[d].append((start - base, end - base))
+        for start, end, which in part.hits(shard):
+            d = int(np.searchsorted(shard.ends, start, side="right"))
+            spans[d].append((start - int(begins[d]), end - int(begins[d])))
             names[d].update(part.items[which])
-    return [(int(n), merge_spans(s), sorted(m)) for n, s, m in zip(sizes, spans, names)]
+    return [(int(n), merge_spans(s), sorted(m)) for n, s, m in zip(shard.sizes, spans, names)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW_WORDS, slice_bytes: int = SLICE_BYTES, shard_bytes: int = SHARD_BYTES, every: int = SAMPLE_EVERY) -> DataFrame:
@@ -247,31 +248,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the window are one window. Items with the same text all count. Every row gives one
     row, repeated or null ids too; empty tables give empty results or no hits.
     """
+    def result(rows: list[pa.RecordBatch], found: list) -> Iterator[pa.RecordBatch]:
+        yield _result([i for part in rows for i in part.column(0).to_pylist()], found)
+
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes().alias("text"))
+    return source.mapInArrow(_scanner(docs, benchmark, 1, result, window, slice_bytes, shard_bytes, every), schema)
+
+
+def _scanner(docs: DataFrame, benchmark: DataFrame, text_at: int, done: Callable, window: int = WINDOW_WORDS, slice_bytes: int = SLICE_BYTES, shard_bytes: int = SHARD_BYTES, every: int = SAMPLE_EVERY) -> Callable:
+    """A function over batches that gathers shards, searches them and hands (rows, findings) to ``done``."""
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(part) for part in phrase_slices(benchmark, window, slice_bytes)]
+    shared = [context.broadcast(pickle.dumps(part, protocol=pickle.HIGHEST_PROTOCOL)) for part in phrase_slices(benchmark, window, slice_bytes)]
 
-    def slices() -> Iterator[PhraseSlice]:
+    def slices() -> Iterator[PhraseSlice]:  # one is open at a time; the others stay packed
         for b in shared:
-            yield b.value
-            if len(shared) > 1 and hasattr(b, "_value") and getattr(b, "_path", None):
-                del b._value  # only one slice is held at a time; the file stays
+            yield _opened(b.value) if len(shared) == 1 else pickle.loads(b.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held = [], [], 0
+        rows, texts, held = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                ids.append(key.as_py())
-                texts.append(text.as_py())
+            begun = 0
+            for at, text in enumerate(batch.column(text_at)):
+                raw = text.as_py()
+                texts.append(raw.encode() if isinstance(raw, str) else raw or b"")
                 held += len(texts[-1])
                 if held >= shard_bytes:
-                    yield _result(ids, scan_shard(texts, slices(), every))
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield _result(ids, scan_shard(texts, slices(), every))
+                    yield from done([*rows, batch.slice(begun, at + 1 - begun)], scan_shard(texts, slices(), every))
+                    rows, texts, held, begun = [], [], 0, at + 1
+            if begun < batch.num_rows:
+                rows.append(batch.slice(begun))
+        if texts:
+            yield from done(rows, scan_shard(texts, slices(), every))
+
+    return run
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return source.mapInArrow(run, schema)
+
+@lru_cache(maxsize=1)
+def _opened(packed: bytes) -> PhraseSlice:
+    return pickle.loads(packed)
 
 
 def _result(ids: list, found: list) -> pa.RecordBatch:
@@ -292,6 +307,17 @@ def _result(ids: list, found: list) -> pa.RecordBatch:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated text (rows without an id stay)."""
-    bad = decontaminate(docs, benchmark, **options).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that are not contaminated, all columns, each judged by its own text.
+
+    Ids play no part: rows under one id, or without one, are judged apart. Null and empty
+    texts stay. Nothing is shuffled.
+    """
+
+    def keep(rows: list[pa.RecordBatch], found: list) -> Iterator[pa.RecordBatch]:
+        stay = np.array([CONTAMINATED_PART * hit < n or not hit for hit, n in ((sum(e - s for s, e in spans), n) for n, spans, _ in found)])
+        at = 0
+        for part in rows:
+            yield part.filter(pa.array(stay[at : at + part.num_rows]))
+            at += part.num_rows
+
+    return docs.mapInArrow(_scanner(docs, benchmark, docs.columns.index("text"), keep, **options), docs.schema)
