@@ -34,7 +34,7 @@ def op3_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return top_k(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,18 +76,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_cover_tree": """
 WITH q AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), one AS (SELECT vec_id, min(v) AS v FROM q GROUP BY vec_id),
-scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+), scored AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM one a JOIN one b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  FROM q a JOIN q b ON a.r <> b.r AND len(a.v) = len(b.v)
   WHERE a.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
@@ -97,7 +96,7 @@ WITH d AS (
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          greatest(0.05::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * coalesce(
            (length(text) - length(translate(text, '#$%&*|!<>{}~^', '')))::DOUBLE / greatest(length(text), 1), 0.0::DOUBLE)) AS quality,
-         (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
