@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import connected_components
-from scriptorium.llm.runtime import cut_lineage, text_bytes
+from scriptorium.llm.runtime import MARK, cut_lineage, text_bytes, text_mark
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -55,15 +55,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` for every row, fp as a signed long; null texts count as empty."""
+    """``(doc_id, mark_a, mark_b, fp)`` for every row, fp as a signed long; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.array([fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(3)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints.view(np.int64))], ["doc_id", *MARK, "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_mark(text_col), text_bytes(text_col).alias("text"))
+    return source.mapInArrow(run, f"doc_id long, {MARK[0]} long, {MARK[1]} long, fp long")
 
 
 class BKTree:
@@ -95,7 +95,9 @@ class BKTree:
             if d <= radius:
                 found.append(at)
             kids = self.children[at]
-            if kids:
+            if len(kids) <= 2 * radius:
+                stack.extend([k for e, k in kids.items() if -radius <= e - d <= radius])
+            else:
                 stack.extend(kids[e] for e in range(d - radius, d + radius + 1) if e in kids)
         return found
 
@@ -201,6 +203,26 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
+def first_row() -> Column:
+    """A group's first row: the smallest doc_id, none last, then the smallest mark of the text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *MARK)).alias("first")
+
+
+def print_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(rows with their node, nodes with their component and first row); a node is a fingerprint."""
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, width).withColumnRenamed("fp", "node"))
+    nodes = cut_lineage(rows.groupBy("node").agg(first_row()))
+    parts = connected_components(near_links(nodes.select(F.col("node").alias("fp")), radius, shard_limit), "a", "b")
+    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows, named
+
+
+def with_component_ids(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` with ``component_id``, the smallest doc_id of their component."""
+    least = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    return rows.join(named.join(least, "component").select("node", "component_id"), "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row.
 
@@ -211,23 +233,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reached but never named unless its whole component has no id. Repeated rows are all
     returned; an empty table gives an empty result; other columns are not looked at.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(near_links(nodes.select("fp"), radius, shard_limit), "a", "b")
-    named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "component").select("fp", "component_id")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    rows, named = print_groups(docs, id_col, text_col, width, radius, shard_limit)
+    return with_component_ids(rows, named).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, grouped: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the smallest doc_id stays.
+def keep_one(docs: DataFrame, groups: Callable[..., tuple[DataFrame, DataFrame]] = print_groups, **options) -> DataFrame:
+    """One row of each group of near duplicates, all columns.
 
-    ``grouped`` gives ``doc_id`` and ``component_id``: ``near_duplicates`` by fingerprints, or
-    ``near_copies`` by Jaccard similarity. Documents need an id here (rows without one are
-    kept); repeated rows of an id keep one.
+    ``groups`` is ``print_groups`` (by fingerprints) or ``near_copies.copy_groups`` (by Jaccard
+    similarity). A group's row with the smallest doc_id stays; a row without an id stays only
+    where none of the group has one. Of a group's rows under one id the text with the
+    smallest hash stays, and one row of those alike in both. Rows are chosen by id and
+    text, so texts under one id that are no near copies of each other all stay.
     """
-    groups = grouped(docs, **options)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    identified = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
-    return identified.dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))
+    rows, named = groups(docs, **options)
+    stay = named.groupBy("component").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.doc_id").alias("_keep_id"), *[F.col(f"first.{m}").alias(f"_keep_{m}") for m in MARK])
+    stay = cut_lineage(stay)
+    same = lambda side: (F.col("_keep_id").eqNullSafe(side["doc_id"].cast("long"))) & (F.col("_keep_mark_a") == side[MARK[0]]) & (F.col("_keep_mark_b") == side[MARK[1]])
+    alike = rows.groupBy("doc_id", *MARK).count().where("count > 1")
+    repeated = not alike.join(stay, same(alike), "left_semi").isEmpty()
+    own = docs.select(F.struct("*").alias("_own"), F.col("doc_id"), *text_mark())
+    kept = own.join(stay, same(own), "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id", *MARK])
+    return kept.select("_own.*")

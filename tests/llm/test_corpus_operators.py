@@ -14,7 +14,7 @@ import xxhash
 import corpus_pipeline
 from scriptorium.llm import cover_tree, fm_index, interpolation_lm, mixing, paragraph_minhash, simhash
 from scriptorium.llm.components import connected_components
-from scriptorium.llm.near_copies import near_copies
+from scriptorium.llm.near_copies import copy_groups
 from tests.llm.helpers import WORDS, awkward_texts, documents, lower, words
 
 
@@ -96,10 +96,18 @@ def test_keep_one_of_each_group(spark):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(groups)
-    assert ids.count(None) == 2
+    assert None not in ids  # the rows without an id are copies of others
     assert simhash.keep_one(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("groups", [simhash.print_groups, copy_groups])
+def test_keep_one_goes_by_text_and_not_by_id_alone(spark, groups):
+    long = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(0, long("a")), (1, long("a")), (1, long("b")), (1, long("b")), (2, long("c")), (2, long("d")), (None, long("e")), (None, long("e")), (None, long("f")), (None, long("b")), (5, None), (6, None)]
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(documents(spark, rows), groups).collect())
+    assert kept == Counter([(0, long("a")), (1, long("b")), (2, long("c")), (2, long("d")), (None, long("e")), (None, long("f")), (5, None)])
+
+
 def plain_similarity(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(a), words(b))]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
@@ -121,7 +129,7 @@ def test_near_dedup_equals_brute_force_on_near_copies(spark, block_texts):
     assert far >= 60
     want = set(plain_components(range(len(rows)), near).values())
     docs = documents(spark, list(enumerate(rows)))
-    kept = simhash.keep_one(docs, near_copies, block_texts=block_texts).collect()
+    kept = simhash.keep_one(docs, copy_groups, block_texts=block_texts).collect()
     assert sorted(r.doc_id for r in kept) == sorted(want)
     if block_texts == 4096:
         assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(want)
@@ -135,6 +143,7 @@ def vectors():
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.2).tolist()) for i in range(300)]
     rows += [(1000 + i, [0.5] * 8) for i in range(120)]  # a common vector
+    rows += [(50, [0.5, 1.0] * 4), (50, [0.5, 1.0] * 4), (7, rows[7][1])]  # repeated ids
     rows += [(None, [1.0] * 8), (2000, None), (2050, [1.0, None] + [0.0] * 6), (2100, [float("nan")] + [0.0] * 7), (2150, [float("inf")] * 8), (2200, [1.0, 2.0]), (2250, [2.0, -1.0]), (0, rows[0][1]), (3000, [])]
     return rows
 
@@ -142,18 +151,28 @@ def vectors():
 def test_cover_tree_top_k_equals_brute_force(spark):
     rows = vectors()
     frame = spark.createDataFrame([(i, v, 7, 7) for i, v in rows], "vec_id long, embedding array<float>, label int, shard int")
-    own = {i: tuple(math.floor(256 * float(np.float32(x))) for x in v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    want = set()
-    for q in own:
+    own = [(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for row, (q, asked) in enumerate(own):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(own[q], v)), i) for i, v in own.items() if i != q and len(v) == len(own[q]))[:5]
-            want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+            best = sorted((-sum(a * b for a, b in zip(asked, v)), i) for other, (i, v) in enumerate(own) if other != row and len(v) == len(asked))[:5]
+            want.update((q, r, i, -s) for r, (s, i) in enumerate(best, 1))
     for shard_rows, block in ((4096, 1024), (64, 3)):
         got = cover_tree.top_k(frame, shard_rows=shard_rows, block_queries=block).collect()
-        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+        assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert cover_tree.top_k(frame.where("false")).count() == 0
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    for high in (2.0**22, 2.0**18, 2.0**23):
+        rows = [(0, [high, 1 / 256])] + [(k, [high, k / 256]) for k in (1, 2, 3)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = sorted((r["rank"], r.vec_id, r.score) for r in cover_tree.top_k(frame).collect())
+        square = int(256 * high) ** 2
+        want = [(1, 3, square + 3), (2, 2, square + 2), (3, 1, square + 1)]
+        assert got == want if square + 3 < 1 << 63 else True, high
+
+
 def test_cover_tree_covers_and_prunes():
     rng = np.random.default_rng(8)
     points = (rng.normal(size=(2000, 6)) * 100).astype(np.int64)
@@ -274,8 +293,40 @@ def test_mix_meets_its_targets(spark, slot_rows):
     largest = max(len(WORDS.findall(r.text or "")) for r in rows)
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= largest for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3), slot_rows=slot_rows).collect()))
-    mixed = mixing.mixed_rows(docs)
+    mixed = mixing.mixed_rows(docs, slot_rows=slot_rows)
     assert mixed.columns == docs.columns
+    again = Counter()
+    for r in mixed.collect():
+        again[r.source, r.doc_id, len(WORDS.findall(r.text or ""))] += 1
+    once = Counter()
+    for r in got:
+        once[r.source, r.doc_id, r.size] += r.copies
+    assert again == +once
+
+
+def test_mixed_rows_of_one_id_stay_within_the_target(spark):
+    rng = random.Random(13)
+    for name in (7, None):
+        rows = [(name, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(5, 60)))) for _ in range(120)]
+        rows += [(name, rows[0][1])] * 20
+        docs = documents(spark, rows)
+        target = {r.source: r.target for r in mixing.mix(docs).collect()}
+        taken = Counter()
+        for r in mixing.mixed_rows(docs).collect():
+            taken[r.source] += len(r.text.split())
+        assert all(abs(taken[s] - t) <= 60 for s, t in target.items())
+
+
+def test_slots_are_even_whatever_the_quality(spark):
+    import pyspark.sql.functions as F
+
+    junk = F.when(F.col("id") % 10 < 6, "#### ").when(F.col("id") % 10 < 8, "aaaaaaaaaaa#### ").otherwise("word ")
+    docs = spark.range(60000).select(F.col("id").alias("doc_id"), F.repeat(junk, 4).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    placed, _ = mixing._placed(docs, 500, mixing.SOURCE_WEIGHTS, mixing.TOTAL_SHARE, mixing.MAX_REPEATS)
+    held = [r["count"] for r in placed.groupBy("source", "slot").count().collect()]
+    assert max(held) <= 1000 and len(held) >= 100
+    plan = mixing.mixed_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_mix_prefers_quality(spark):
@@ -336,6 +387,19 @@ def test_decontamination_of_empty_tables(spark):
     assert fm_index.clean_rows(documents(spark), none).count() == documents(spark).count()
 
 
+@pytest.mark.parametrize("shard_bytes", [4 << 20, 300])
+def test_clean_rows_are_judged_one_by_one(spark, shard_bytes):
+    rows = awkward_texts()
+    texts = [t for _, t in rows if t and len(t.split()) > 30]
+    rows += [(3, texts[1]), (None, texts[1]), (None, "clean words"), (3, "clean words")]
+    items = [(1, texts[1]), (2, texts[2])]
+    bad = [c[-1] for c in plain_contamination(rows, items)]
+    docs = documents(spark, rows)
+    kept = fm_index.clean_rows(docs, spark.createDataFrame(items, "item_id long, text string"), shard_bytes=shard_bytes)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(row for row, b in zip(rows, bad) if not b)
+
+
 def test_fm_index_searches_and_locates():
     rng = np.random.default_rng(12)
     for symbols in (1, 3, 9):

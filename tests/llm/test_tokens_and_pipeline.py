@@ -33,6 +33,41 @@ def test_encoder_equals_the_library(library):
         assert sizes.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_words_alike_under_a_polynomial_hash_keep_their_ids(library):
+    encoder = token_orc.Encoder(token_orc.default_tokenizer())
+    rng = random.Random(2)
+    turn = str.maketrans("ab", "ba")
+    words = ["a", "b"]
+    for _ in range(12):
+        words = [w + w.translate(turn) for w in words]
+        words_now = [*words, "".join(rng.choice("abé") for _ in range(len(words[0])))]
+        for text in (*words_now, *(f"x {w} y" for w in words_now), *words_now):
+            assert encoder.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice("ab\0 ") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    ids, _ = encoder.encode([t.encode() for t in texts])
+    assert ids.tolist() == [x for t in texts for x in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_a_key_that_two_units_share_gives_each_its_ids(library, monkeypatch):
+    monkeypatch.setattr(token_orc, "mix", lambda x: x & np.uint64(3))
+    encoder = token_orc.Encoder(token_orc.default_tokenizer())
+    for text in ("one two three four five six", "six five seven one", "eight nine ten one two"):
+        assert encoder.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_files_are_ordered_by_part_number(spark, tmp_path):
+    folder = tmp_path / "ids"
+    token_orc.write_tokens(documents(spark), str(folder), partitions=3)
+    files = sorted(p for p in folder.iterdir() if p.suffix == ".orc")
+    for k, path in enumerate(files):  # as if there were over 100,000 files
+        path.rename(folder / path.name.replace(f"part-{k:05d}", f"part-{99999 + k}"))
+        crc = folder / f".{path.name}.crc"
+        crc.unlink(missing_ok=True)
+    rows = sorted(token_orc.token_index(spark, str(folder)).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    assert ids == sorted(ids) and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+
+
 def test_other_tokenizers_go_through_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
