@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.runtime import cut_lineage, fold, release_memory, text_bytes
 
-ORDER = 2
+ORDER = 3
 BLOCK_BYTES = 8 << 20
 KEYS_A_PARTITION = 2_500_000
 HELD_OUT = 1  # remainder of documents that are never learned from
@@ -49,7 +49,7 @@ _PACK = "block long, doc_ids binary, flags binary, lengths binary, keys binary,
 
 def _squeeze(a: np.ndarray) -> bytes:
     """Bytes of an array, each byte position apart, compressed."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(len(a).to_bytes(8, "little") + planes.tobytes())
 
 
@@ -100,8 +100,8 @@ def ngram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
 def _packs(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of documents; those of the deleted fold are apart.
 
-    Packs are made anew in each pass over them rather than kept. A block's name has its
-    place and content in it, so a pass that saw other rows would miss its answers and fail.
+    They are written to the shared folder, so that all passes are over the same blocks
+    whatever becomes of executors, and texts are split into words once.
     """
 
     def pack(ids: list, flags: list, texts: list[np.ndarray], block: int) -> pa.RecordBatch:
@@ -137,7 +137,7 @@ def _packs(docs: DataFrame, block_bytes: int) -> DataFrame:
         release_memory()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id").cast("int").alias("mark"), F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
-    return source.mapInArrow(run, _PACK)
+    return cut_lineage(source.mapInArrow(run, _PACK))
 
 
 class Block:
@@ -221,11 +221,11 @@ def _totals(requests: DataFrame, partitions: int) -> DataFrame:
 BYTES_A_TOKEN = 5  # about; only the number of key partitions depends on it
 
 
-def counts(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, keys_a_partition: int = KEYS_A_PARTITION) -> tuple[DataFrame, dict]:
+def counts(docs: DataFrame, packs: DataFrame, order: int = ORDER, keys_a_partition: int = KEYS_A_PARTITION) -> tuple[DataFrame, dict]:
     """(answers, statistics): each block's n-gram totals, and the training corpus's sizes."""
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
     partitions = max(1, math.ceil(size / BYTES_A_TOKEN * order / keys_a_partition))
-    answers = _totals(_requests(_packs(docs, block_bytes), order, partitions), partitions)
+    answers = _totals(_requests(packs, order, partitions), partitions)
     sums = answers.where("n < 0").agg(*[F.sum(c) for c in ("known", "known_rest", "seen", "seen_rest")]).first()
     return answers.where("n >= 0"), dict(zip(("words", "rest_words", "tokens", "rest_tokens"), (int(x or 0) for x in sums)))
 
@@ -332,11 +332,12 @@ def score_texts(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
     with one end token. Null and empty texts are the end alone. Repeated rows count and are
     returned as often as they stand; an empty table gives an empty result.
     """
-    answers, stats = counts(docs, order, block_bytes, keys_a_partition)
-    held = answered(_packs(docs, block_bytes).where("deleted"), answers)
+    packs = _packs(docs, block_bytes)
+    answers, stats = counts(docs, packs, order, keys_a_partition)
+    held = answered(packs.where("deleted"), answers)
     weights = learn_weights(held_out_histogram(held, stats, order), order)
     total, words = stats["tokens"], stats["words"]
-    blocks = answered(_packs(docs, block_bytes), answers)
+    blocks = answered(packs, answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
