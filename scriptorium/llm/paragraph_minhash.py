@@ -2,7 +2,7 @@
 
 Paragraphs are a text's lines of at least ``LEAST_WORDS`` words. Each has MinHash values
 over its five-word shingles, banded for recall (at similarity 0.8 a pair collides with
-probability 1 - (1 - 0.8**ROWS)**BANDS, 0.983 here). Equal paragraphs are one node.
+probability 1 - (1 - 0.8**ROWS)**BANDS, 0.9997 here). Equal paragraphs are one node.
 Colliding ones are joined, their exact Jaccard similarity is computed from all shingles,
 and removals are clustered by connected components: one paragraph of a cluster stays.
 
@@ -10,12 +10,17 @@ A passage may repeat inside paragraphs that differ. Runs of ``PASSAGE_WORDS`` wo
 therefore sampled by their smallest hash in each window of ``PASSAGE_WINDOW`` starts
 (one-row MinHash over a sliding paragraph), so any shared run of
 PASSAGE_WORDS + PASSAGE_WINDOW - 1 words (49) has a sampled run in common, wherever it stands.
-Up to PASSAGE_WINDOW - 1 words at either end of such a run are not covered.
+Sampled runs are anchors: where the words beside one are covered by no other, the run is
+extended word by word for as long as they equal those beside its first place, so a span ends
+where the common passage does. Between the first and the last anchor of a passage sampled
+runs leave no gap, so at most ``REACH`` words are ever to be compared.
 
 Equal paragraphs and runs are found by a columnar exchange: blocks of documents send their
 distinct hashes to hash partitions as sorted binary columns with the first place of each,
 and get back which are repeated and which place is the first. A line that every document
-has costs one entry a block. Words are hashed to 64 bits.
+has costs one entry a block. Extension takes two more exchanges of that kind: blocks get the
+words beside the first places of their runs, and first places the longest match found.
+Words are hashed to 64 bits, those beside runs to 31.
 """
 
 from __future__ import annotations
@@ -31,15 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import connected_components
-from scriptorium.llm.hashing import BYTE_VALUES, mix, span_hashes, word_spans
+from scriptorium.llm.hashing import BYTE_VALUES, mix, span_hashes, sum_hashes, word_spans
 from scriptorium.llm.interpolation_lm import _edges, _expand, _squeeze
-from scriptorium.llm.runtime import cut_lineage, text_bytes
+from scriptorium.llm.runtime import cut_lineage, release_memory, text_bytes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 LEAST_WORDS = 10
-BANDS = 4
+BANDS = 8
 ROWS = 2
+REACH = 24  # words beyond a run that another sampled run may not cover: PASSAGE_WINDOW - 1
+SALTS = 32  # parts of a component's places
 PASSAGE_WORDS = 25
 PASSAGE_WINDOW = 25
 CHUNK_BYTES = 1 << 20  # of text hashed together
@@ -58,7 +65,7 @@ class Chunk:
         joined = b"\n".join(texts).lower()
         data = np.frombuffer(joined, np.uint8)
         starts, stops = word_spans(data)
-        self.words = mix(span_hashes(BYTE_VALUES[data], starts, stops)) if len(starts) else np.zeros(0, np.uint64)
+        self.words = sum_hashes(BYTE_VALUES[data], starts, stops)
         ends = np.cumsum([len(t) + 1 for t in texts])  # a text's end, with its line end
         self.doc = np.searchsorted(ends, starts, side="right")  # text of each word
         self.counts = np.bincount(self.doc, minlength=len(texts))
@@ -73,7 +80,7 @@ class Chunk:
         """(hash of each paragraph, its band keys)."""
         if not len(self.begin):
             return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
-        units = mix(span_hashes(self.words, self.begin, self.end) + (self.end - self.begin).astype(np.uint64))
+        units = sum_hashes(self.words, self.begin, self.end)
         sizes = self.end - self.begin - SHINGLE_WORDS + 1
         offsets = np.cumsum(sizes) - sizes
         at = np.repeat(self.begin - offsets, sizes) + np.arange(int(sizes.sum()))
@@ -138,8 +145,8 @@ def sampled_runs(words: np.ndarray, first: np.ndarray, counts: np.ndarray, width
     return np.flatnonzero(out)
 
 
-_PACK = pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "rows", "n_words", "n_lines", "owner", "start", "size", "keys", "bands"))])
-_PACK_DDL = "block long, doc_ids binary, rows binary, n_words binary, n_lines binary, owner binary, start binary, size binary, keys binary, bands binary"
+_PACK = pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "rows", "n_words", "n_lines", "owner", "start", "size", "keys", "bands", "vocabulary", "words"))])
+_PACK_DDL = "block long, doc_ids binary, rows binary, n_words binary, n_lines binary, owner binary, start binary, size binary, keys binary, bands binary, vocabulary binary, words binary"
 
 
 def _packs(docs: DataFrame) -> DataFrame:
@@ -149,6 +156,7 @@ def _packs(docs: DataFrame) -> DataFrame:
         lines, runs = [p[1] for p in parts], [p[2] for p in parts]
         join = lambda side, k: np.concatenate([x[k] for x in side])
         both = lambda k: np.concatenate((join(lines, k), join(runs, k)))
+        vocabulary, words = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
         row = {
             "block": rows[0][1],
             "doc_ids": np.array([_NO_ID if d is None else d for d, _ in rows], np.int64).tobytes(),
@@ -160,6 +168,8 @@ def _packs(docs: DataFrame) -> DataFrame:
             "size": _squeeze(both(2).astype(np.uint32)),
             "keys": _squeeze(both(3)),
             "bands": _squeeze(join(lines, 4).reshape(-1)),
+            "vocabulary": _squeeze(vocabulary),
+            "words": _squeeze(words.astype(np.uint32)),
         }
         return pa.RecordBatch.from_pylist([row], _PACK)
 
@@ -173,7 +183,7 @@ def _packs(docs: DataFrame) -> DataFrame:
             at, keys = chunk.runs()
             line_doc, run_doc = chunk.doc[chunk.begin], chunk.doc[at]
             line = (line_doc + done, chunk.begin - chunk.first[line_doc], chunk.end - chunk.begin, units, bands)
-            parts.append((chunk.counts, line, (run_doc + done, at - chunk.first[run_doc], np.full(len(at), PASSAGE_WORDS), keys)))
+            parts.append((chunk.counts, line, (run_doc + done, at - chunk.first[run_doc], np.full(len(at), PASSAGE_WORDS), keys), (chunk.words >> np.uint64(32)).astype(np.uint32) | np.uint32(2)))
             done, texts = done + len(texts), []
 
         size = 0
@@ -263,30 +273,163 @@ def _answers(packs: DataFrame, partitions: int) -> DataFrame:
     return asked.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, part long, flags binary")
 
 
-def _exact_spans(packs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per document its equal paragraphs and runs: ``spans`` with ``goes``."""
-    kinds = "row long, doc_id long, n_words int, n_paragraphs int, spans array<struct<start:int,end:int,goes:boolean>>"
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("goes", pa.bool_())]))
+_FOUND = ("doc_ids", "rows", "n_words", "n_lines", "owner", "start", "end", "goes", "first_keys", "first_spans", "first_beside", "open_keys", "open_spans", "open_beside")
+
+
+def _found_blocks(packs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per block its equal paragraphs and runs as spans (and which of them go), and the runs to extend.
+
+    ``first_*`` are the runs whose first place is here, ``open_*`` other places of runs with
+    words beside them that no span covers: key, span and the words beside (before and after).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 pack = Pack(row)
                 _, first, which = pack.order()
-                flags = [_expand(a["flags"], np.uint8) for a in sorted(row["answers"] or (), key=lambda a: a["part"])]
-                flag = np.concatenate(flags) if flags else np.zeros(0, np.uint8)
+                flag = _flat(row["answers"], "flags", np.uint8)
                 state = flag[which]
                 stays = np.zeros(len(which), bool)
                 stays[first[flag == 2]] = True
                 hit = np.flatnonzero(state > 0)
                 hit = hit[np.lexsort((pack.start[hit], pack.owner[hit]))]
-                offsets = np.searchsorted(pack.owner[hit], np.arange(len(pack.rows) + 1))
-                items = pa.StructArray.from_arrays([pa.array(pack.start[hit].astype(np.int32)), pa.array((pack.start[hit] + pack.size[hit]).astype(np.int32)), pa.array(~stays[hit])], ["start", "end", "goes"])
-                ids = pa.array(pack.doc_ids, mask=pack.doc_ids == _NO_ID)
-                yield pa.RecordBatch.from_arrays([pa.array(pack.rows), ids, pa.array(pack.n_words), pa.array(pack.n_lines), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items).cast(span)], ["row", "doc_id", "n_words", "n_paragraphs", "spans"])
+                owner, start, end, goes = pack.owner[hit], pack.start[hit], pack.start[hit] + pack.size[hit], ~stays[hit]
+                words = _expand(row["vocabulary"], np.uint32)[_expand(row["words"], np.uint32)]
+                begins = np.cumsum(pack.n_words.astype(np.int64)) - pack.n_words
+                left, right = begins[owner] + start, begins[owner] + end
+                open_ = np.zeros(len(hit), bool)
+                for some in (np.ones(len(hit), bool), goes):
+                    covered = np.zeros(len(words) + 2, np.int32)  # at a word's place plus one
+                    np.add.at(covered, left[some] + 1, 1)
+                    np.add.at(covered, right[some] + 1, -1)
+                    covered = np.cumsum(covered) > 0
+                    open_ |= some & (((start > 0) & ~covered[left]) | ((end < pack.n_words[owner]) & ~covered[right + 1]))
+                is_run = hit >= pack.lines
+                out = {"block": row["block"], **{k: row[k] for k in _FOUND[:4]}}
+                for name, value in zip(_FOUND[4:7], (owner, start, end)):
+                    out[name] = _squeeze(value.astype(np.uint32))
+                out["goes"] = _squeeze(goes.astype(np.uint8))
+                for name, own in (("first", np.flatnonzero(is_run & ~goes)), ("open", np.flatnonzero(is_run & goes & open_))):
+                    own = own[np.argsort(pack.keys[hit[own]], kind="stable")]
+                    beside = np.concatenate((_beside(words, left[own] - 1, -1, begins[owner[own]]), _beside(words, right[own], 1, (begins + pack.n_words)[owner[own]] - 1)), axis=1)
+                    out |= {f"{name}_keys": _squeeze(pack.keys[hit[own]]), f"{name}_spans": _squeeze(own.astype(np.uint32)), f"{name}_beside": _squeeze(beside.reshape(-1))}
+                yield pa.RecordBatch.from_pylist([out], pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in _FOUND)]))
+            release_memory()
 
     arrays = answers.groupBy("block").agg(F.collect_list(F.struct("part", "flags")).alias("answers"))
-    return packs.drop("bands").join(arrays, "block", "left").mapInArrow(run, kinds)
+    return packs.drop("bands").join(arrays, "block", "left").mapInArrow(run, "block long, " + ", ".join(f"{k} binary" for k in _FOUND))
+
+
+def _beside(words: np.ndarray, at: np.ndarray, step: int, last: np.ndarray) -> np.ndarray:
+    """The ``REACH`` words from each place in a direction; 0 beyond the text's last."""
+    places = at[:, None] + step * np.arange(REACH)
+    inside = places >= last[:, None] if step < 0 else places <= last[:, None]
+    return np.where(inside, words[np.clip(places, 0, max(0, len(words) - 1))] if len(words) else 0, 0).astype(np.uint32)
+
+
+def _flat(answers: list[dict] | None, name: str, kind) -> np.ndarray:
+    """A block's answers in the order of its keys."""
+    parts = [_expand(a[name], kind) for a in sorted(answers or (), key=lambda a: a["part"])]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("value", pa.binary()), ("asks", pa.bool_())])
+_SENT_DDL = "part long, block long, keys binary, value binary, asks boolean"
+
+
+def _by_part(keys: np.ndarray, value: np.ndarray | None, block: int, partitions: int, asks: bool) -> list[dict]:
+    """A block's sorted keys (and a value for each) by key partition."""
+    edge, out = _edges(keys, partitions), []
+    for p in np.flatnonzero(np.diff(edge)).tolist():
+        a, b = int(edge[p]), int(edge[p + 1])
+        out.append({"part": p, "block": block, "keys": _squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), "value": None if value is None else _squeeze(value[a:b].reshape(-1)), "asks": asks})
+    return out
+
+
+def _told(sent: DataFrame, partitions: int, width: int, kind) -> DataFrame:
+    """For each asking block and key partition, its keys' values: the largest told for a key, each column by itself."""
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        told, asking = rows[~rows["asks"]], rows[rows["asks"]]
+        opened = lambda k: np.cumsum(_expand(k, np.uint64), dtype=np.uint64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *map(opened, told["keys"])])
+        values = np.concatenate([np.zeros((0, width), kind), *(_expand(v, kind).reshape(-1, width) for v in told["value"])])
+        order = np.argsort(flat, kind="stable")
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0))) if len(flat) else np.zeros(0, np.int64)
+        known, best = flat[order][begins], np.maximum.reduceat(values[order], begins, axis=0) if len(flat) else values
+        out = []
+        for block, k in zip(asking["block"], asking["keys"]):
+            keys = opened(k)
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            found = np.where((known[at] == keys)[:, None], best[at], 0) if len(known) else np.zeros((len(keys), width))
+            out.append((int(block), int(rows["part"].iloc[0]), _squeeze(found.astype(kind).reshape(-1))))
+        release_memory()
+        return pd.DataFrame(out, columns=["block", "part", "told"])
+
+    answers = sent.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, part long, told binary")
+    return answers.groupBy("block").agg(F.collect_list(F.struct("part", "told")).alias("answers"))
+
+
+def _matched(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """(words before, words after) for as long as both have the same."""
+    same = ((own == other) & (own > 0)).reshape(len(own), 2, REACH)
+    return np.cumprod(same, axis=2, dtype=np.uint8).sum(axis=2, dtype=np.uint8)
+
+
+def _extended_spans(found: DataFrame, partitions: int) -> DataFrame:
+    """Per document its equal paragraphs and extended runs: ``spans`` with ``goes``."""
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                beside = _expand(row["first_beside"], np.uint32).reshape(-1, 2 * REACH)
+                sent = _by_part(_expand(row["first_keys"], np.uint64), beside, row["block"], partitions, False)
+                sent += _by_part(np.unique(_expand(row["open_keys"], np.uint64)), None, row["block"], partitions, True)
+                if sent:
+                    yield pa.RecordBatch.from_pylist(sent, _SENT)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = _expand(row["open_keys"], np.uint64)
+                distinct, which = np.unique(keys, return_inverse=True)
+                told = _flat(row["answers"], "told", np.uint32).reshape(-1, 2 * REACH)
+                reach = _matched(_expand(row["open_beside"], np.uint32).reshape(-1, 2 * REACH), told[which])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["open_keys"]], pa.binary()), pa.array([_squeeze(reach.reshape(-1))], pa.binary())], ["block", "keys", "reach"])
+
+    def ask_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, reach = _expand(row["open_keys"], np.uint64), _expand(row["reach"], np.uint8).reshape(-1, 2)
+                begins = np.flatnonzero(np.concatenate(([True], np.diff(keys) > 0))) if len(keys) else np.zeros(0, np.int64)
+                sent = _by_part(keys[begins], np.maximum.reduceat(reach, begins, axis=0) if len(keys) else reach, row["block"], partitions, False)
+                sent += _by_part(_expand(row["first_keys"], np.uint64), None, row["block"], partitions, True)
+                if sent:
+                    yield pa.RecordBatch.from_pylist(sent, _SENT)
+
+    kinds = "row long, doc_id long, n_words int, n_paragraphs int, spans array<struct<start:int,end:int,goes:boolean>>"
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("goes", pa.bool_())]))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc_ids, rows = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["rows"], np.int64)
+                owner, start, end = (_expand(row[k], np.uint32).astype(np.int64) for k in ("owner", "start", "end"))
+                told = _flat(row["answers"], "told", np.uint8).reshape(-1, 2)
+                for at, reach in ((_expand(row["open_spans"], np.uint32), _expand(row["reach"], np.uint8).reshape(-1, 2)), (_expand(row["first_spans"], np.uint32), told)):
+                    start[at] -= reach[:, 0]
+                    end[at] += reach[:, 1]
+                offsets = np.searchsorted(owner, np.arange(len(rows) + 1))
+                items = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(_expand(row["goes"], np.uint8) > 0)], ["start", "end", "goes"])
+                columns = [pa.array(rows), pa.array(doc_ids, mask=doc_ids == _NO_ID), pa.array(np.frombuffer(row["n_words"], np.int32)), pa.array(np.frombuffer(row["n_lines"], np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items).cast(span)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "n_paragraphs", "spans"])
+
+    words = _told(found.select("block", "first_keys", "first_beside", "open_keys").mapInArrow(ask_words, _SENT_DDL), partitions, 2 * REACH, np.uint32)
+    reached = found.select("block", "open_keys", "open_beside").join(words, "block", "left").mapInArrow(match, "block long, keys binary, reach binary")
+    whole = cut_lineage(found.drop("first_beside", "open_beside").join(reached.drop("keys"), "block"))
+    longest = _told(whole.select("block", "first_keys", "open_keys", "reach").mapInArrow(ask_reach, _SENT_DDL), partitions, 2, np.uint8)
+    return whole.drop("open_keys", "first_keys").join(longest, "block", "left").mapInArrow(extend, kinds)
 
 
 def _lines(packs: DataFrame) -> DataFrame:
@@ -358,7 +501,7 @@ def _paragraph_links(docs: DataFrame, packs: DataFrame, similarity: float, bucke
             sets = []
             for unit, text, start, end in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 chunk = Chunk([text.as_py()])
-                found = mix(span_hashes(chunk.words, np.array([start]), np.array([end])) + np.uint64(end - start)).view(np.int64)[0]
+                found = sum_hashes(chunk.words, np.array([start]), np.array([end])).view(np.int64)[0]
                 if found != unit:
                     raise RuntimeError("documents changed between the passes over them")
                 sets.append(np.unique(run_hashes(chunk.words, np.arange(start, end - SHINGLE_WORDS + 1), SHINGLE_WORDS)).tobytes())
@@ -390,12 +533,17 @@ def _ends(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _fuzzy_spans(packs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Per row, paragraphs of clusters of different paragraphs, and whether an earlier one keeps them."""
+    """Per row, paragraphs of clusters of different paragraphs, and whether an earlier one keeps them.
+
+    A component's places are dealt over ``SALTS`` keys, to each of which its first place is sent.
+    """
     lines = _lines(packs).drop("keys")
-    placed = lines.join(parts.withColumnRenamed("node", "unit"), "unit")
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     place = F.struct("doc_id", "row", "start")
+    placed = lines.withColumn("salt", salt).join(salted(parts.withColumnRenamed("node", "unit")), ["unit", "salt"])
     first = placed.groupBy("component").agg(F.min(place).alias("kept"))
-    again = placed.join(first, "component").select("row", F.struct("start", "end", (place != F.col("kept")).alias("goes")).alias("s"))
+    again = placed.join(salted(first), ["component", "salt"]).select("row", F.struct("start", "end", (place != F.col("kept")).alias("goes")).alias("s"))
     return again.groupBy("row").agg(F.collect_list("s").alias("more"))
 
 
@@ -412,7 +560,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, bucket_ro
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
     partitions = max(1, math.ceil(size / BYTES_A_KEY / KEYS_A_PARTITION))
     packs = cut_lineage(_packs(docs))
-    exact = _exact_spans(packs, _answers(packs, partitions))
+    exact = _extended_spans(cut_lineage(_found_blocks(packs, _answers(packs, partitions))), partitions)
     parts = connected_components(_paragraph_links(docs, packs, similarity, bucket_rows), "a", "b")
     joined = exact.join(_fuzzy_spans(packs, parts), "row", "left")
 

@@ -201,6 +201,58 @@ def test_interpolation_scores(spark, options):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def plain_interpolation(rows, order):
+    """Scores from counts of word tuples, with weights learned on exact (not binned) estimates."""
+    mark = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5
+    grams = lambda ts, n: [tuple(([None] * n + ts)[i + 1 : i + 1 + n]) for i in range(len(ts))]  # noqa: E731  n-gram that ends at i
+    tokens = [(mark(i), words(t) + [None]) for i, t in rows]
+
+    def counted(learn):
+        c = [Counter(g for m, ts in tokens if learn(m) for g in grams([*ts], n)) for n in range(1, order + 1)]
+        return c, sum(c[0].values()), len(c[0])
+
+    def estimates(ts, c, total, kinds):
+        out = []
+        for i in range(len(ts)):
+            at = lambda n, j: tuple(([None] * n + ts)[j + 1 : j + 1 + n])
+            p, bucket = [(c[0][at(1, i)] + 0.5) / (total + 0.5 * (kinds + 1))], 0
+            for n in range(2, order + 1):
+                seen = c[n - 2][at(n - 1, i - 1)] if i else c[0][(None,)]
+                p.append(min(1, c[n - 1][at(n, i)] / seen) if seen else 0.0)
+                if seen:
+                    bucket = (n - 1) * interpolation_lm.BUCKETS + min(interpolation_lm.BUCKETS - 1, int(math.log2(seen)))
+            out.append((bucket, p))
+        return out
+
+    c, total, kinds = counted(lambda m: m not in (1, 2))
+    held = defaultdict(list)
+    for m, ts in tokens:
+        if m == 2:
+            for bucket, p in estimates(ts, c, total, kinds):
+                held[bucket].append(p)
+    weights = {}
+    for bucket in range(order * interpolation_lm.BUCKETS):
+        depth = bucket // interpolation_lm.BUCKETS
+        w = np.array([1 / (depth + 1)] * (depth + 1) + [0] * (order - depth - 1))
+        for _ in range(interpolation_lm.EM_ROUNDS if held[bucket] else 0):
+            p = np.array(held[bucket]) * w
+            w = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+            w[0] = max(w[0], 1e-4)
+            w /= w.sum()
+        weights[bucket] = w
+    c, total, kinds = counted(lambda m: m != 1)
+    return [sum(math.log10(float(weights[b] @ np.array(p))) for b, p in estimates(ts, c, total, kinds)) for _, ts in tokens]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_interpolated_scores_equal_brute_force(spark, order):
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(["the", "data", "model", "river", "of", "stone"]) for _ in range(rng.randint(1, 30)))) for i in range(150)]
+    want = dict(zip([i for i, _ in rows], plain_interpolation(rows, order)))
+    got = {r.doc_id: r for r in interpolation_lm.score_texts(documents(spark, rows), order=order, block_bytes=900, keys_a_partition=60).collect()}
+    assert max(abs(got[i].score - w) / got[i].n_tokens for i, w in want.items()) < 0.03  # bins are a quarter of a doubling
+
+
 def test_interpolation_is_a_distribution():
     rng = np.random.default_rng(1)
     weights = interpolation_lm.learn_weights(__import__("pandas").DataFrame({"bucket": [24, 24, 0], "b0": rng.integers(1, 40, 3), "b1": [0, 9, 0], "n": [10, 5, 3]}), 2)
@@ -229,13 +281,78 @@ def test_passages_and_paragraphs(spark, bucket_rows):
     spans = lambda s: [tuple(map(int, p.split(":"))) for p in s.split(",") if p]
     assert len(got) == len(rows)
     for i in range(5):
-        hit = sum(max(0, min(e, 121) - max(s, 70)) for s, e in spans(got[i].repeated))
-        assert hit >= 25 and got[i].n_repeated <= 51, i
-        assert (got[i].n_removed > 0) == (i > 0)
+        assert spans(got[i].repeated) == [(70, 121)], i
+        assert spans(got[i].removed) == ([(70, 121)] if i else [])
     assert [spans(got[50 + i].removed) for i in range(4)] == [[]] + [[(30, 44)]] * 3
     assert all(spans(got[80 + i].repeated) == [(12, 72)] for i in range(3)) and not spans(got[80].removed) and spans(got[82].removed) == [(12, 72)]
     assert all(got[90 + i].n_repeated == 0 for i in range(3))
-    assert (got[None].n_words, got[200].n_words, got[201].n_words) == (0, 0, 3) and got[202].n_removed >= 25
+    assert (got[None].n_words, got[200].n_words, got[201].n_words) == (0, 0, 3) and got[202].n_removed == 51
+
+
+def plain_repeats(texts: list[list[str]], width: int) -> list[set[int]]:
+    """Words of each text in a run of ``width`` words that stands in two places."""
+    places = defaultdict(list)
+    for d, w in enumerate(texts):
+        for i in range(len(w) - width + 1):
+            places[tuple(w[i : i + width])].append((d, i))
+    out = [set() for _ in texts]
+    for own in places.values():
+        for d, i in own if len(own) > 1 else ():
+            out[d] |= set(range(i, i + width))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "keys_a_partition": 60}])
+def test_passages_end_where_they_do_in_brute_force(spark, monkeypatch, options):
+    if options:
+        monkeypatch.setattr(paragraph_minhash, "BLOCK_BYTES", options["block_bytes"])
+        monkeypatch.setattr(paragraph_minhash, "CHUNK_BYTES", options["block_bytes"])
+        monkeypatch.setattr(paragraph_minhash, "KEYS_A_PARTITION", options["keys_a_partition"])
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    shared = [text(rng.randint(49, 130)) for _ in range(12)]
+    rows = []
+    for i in range(70):
+        parts = [text(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            parts += [rng.choice(shared), text(rng.randint(1, 60))]
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    want = plain_repeats([words(t) for _, t in rows], 49)
+    got = {r.doc_id: r for r in paragraph_minhash.repeated_passages(documents(spark, rows)).collect()}
+    kept = Counter()
+    for i, t in rows:
+        marked, gone = ({k for p in s.split(",") if p for k in range(*map(int, p.split(":")))} for s in (got[i].repeated, got[i].removed))
+        assert marked == want[i], i
+        assert gone <= marked
+        kept.update(w for k, w in enumerate(words(t)) if k not in gone)
+    for passage in shared:  # one copy of each stays
+        if sum(" ".join(passage) in t for _, t in rows):
+            assert all(kept[w] for w in passage)
+    assert sum(r.n_removed for r in got.values()) > 0.5 * sum(map(len, want))
+
+
+def test_paragraph_recall_against_brute_force(spark):
+    rng = random.Random(22)
+    rows, lines = [], []
+    for _ in range(150):
+        base = [f"p{rng.randrange(5000)}" for _ in range(rng.randint(20, 90))]
+        lines.append(base)
+        lines.append([f"x{rng.random()}" if rng.random() < rng.choice((0.01, 0.02, 0.03)) else w for w in base])
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if plain_similarity(rows[a][1], rows[b][1]) >= 0.8]
+    found = {r.doc_id for r in paragraph_minhash.repeated_passages(documents(spark, rows)).collect() if r.n_repeated == r.n_words}
+    pairs = {x for p in near for x in p}
+    assert len(pairs) > 150 and len(pairs & found) >= 0.99 * len(pairs)
+
+
+def test_regular_words_and_paragraphs_have_their_own_hash():
+    turn = str.maketrans("ab", "ba")
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + a.translate(turn), b + b.translate(turn)
+    chunk = paragraph_minhash.Chunk([a.encode(), b.encode(), " ".join(a).encode(), " ".join(b).encode()])
+    units, _ = chunk.paragraphs()
+    assert chunk.words[0] != chunk.words[1] and len(set(units.tolist())) == 2
 
 
 def test_equal_rows_are_copies(spark):
