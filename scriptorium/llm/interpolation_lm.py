@@ -7,8 +7,9 @@ held-out counts: one fold of the training documents is deleted from the counts w
 tokens are predicted. The final counts have all training documents.
 
 Counting is columnar. Documents are packed into blocks; a block's distinct n-gram keys
-(64-bit hashes; at 10**9 distinct keys about one pair in 40 corpora collides) go to key
-partitions as sorted binary columns, so a word that every document has costs one entry a
+(64-bit hashes of words, of which 10**9 have a pair that collides in one corpus of 40; 52 bits of
+longer n-grams, of which about one in 4,500 shares its key with another at 10**12 distinct
+ones and one in 10**6 at 5 * 10**9) go to key partitions as sorted binary columns, so a word that every document has costs one entry a
 block, whatever its frequency. Key partitions sum the counts and send each block the totals
 of its keys in the same order, without the keys. No table of the vocabulary is broadcast
 or collected, and partitions are even because keys are hashes.
@@ -43,6 +44,7 @@ BUCKETS = 24  # context frequencies by powers of two
 EM_ROUNDS = 60
 _END = 0x9E3779B97F4A7C15
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+_GRAM_BITS = np.uint64((1 << 64) - (1 << 12))  # bits of a longer n-gram's key; see the module's text
 
 _PACK = "block long, doc_ids binary, flags binary, lengths binary, keys binary, tokens binary, deleted boolean"
 
@@ -93,7 +95,7 @@ def ngram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
             at = place - back
             t = np.where(at >= begun, tokens[np.maximum(at, 0)], np.uint64(_END))
             key = t * np.uint64(n) if key is None else _chain(key, t)
-        keys.append(key)
+        keys.append(key & _GRAM_BITS)
     return keys
 
 
