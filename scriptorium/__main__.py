@@ -38,12 +38,12 @@ def _tree(spark: SparkSession, folder: str, glob: str) -> DataFrame:
 
 
 def run_lint(spark: SparkSession, root: str, today: str) -> int:
-    pages = corpus.page_columns(corpus.read_pages(spark, root))
-    extracts = corpus.extracts(corpus.parsed_pages(_tree(spark, f"{root}/raw/extracts", "*.md")), corpus.parsed_pages(_tree(spark, f"{root}/raw/papers", "*.md")))
-    found = extracts.where("place = 0").select("paper_id", "status", F.lit(None).cast("string").alias("parse_error"))
+    parsed = corpus.parsed_pages(_tree(spark, f"{root}/wiki", "*.md"))
+    pages = corpus.page_columns(corpus.one_page_a_stem(parsed))
+    found = corpus.extract_states(corpus.parsed_pages(_tree(spark, f"{root}/raw/extracts", "*.md")))
     versions = corpus.manifests(_tree(spark, f"{root}/raw/extracts", "*.yml"))
     index = pages.where("stem = 'index'").select(F.col("body").alias("text"))
-    issues = lint.lint(pages, _bibs(spark, root), found, versions, index, F.to_date(F.lit(today)))
+    issues = lint.lint(pages, _bibs(spark, root), found, versions, index, F.to_date(F.lit(today)), corpus.parse_errors(parsed))
     lines = issues.select(F.concat_ws(" ", F.concat("tag", F.lit(":")), F.concat_ws(":", "path", "line"), "detail").alias("text")).orderBy("text")
     n = 0
     for row in lines.toLocalIterator():

@@ -28,8 +28,8 @@ def _strip(texts: pd.Series) -> pd.Series:
 
 
 def nfkd_strip(text: Column) -> Column:
-    """:func:`strip_marks` over a column; null stays null."""
-    return F.pandas_udf(_strip, "string")(text)
+    """:func:`strip_marks` over a column; null stays null. Only text that is not ASCII goes to Python."""
+    return F.coalesce(F.pandas_udf(_strip, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def _replaced(c: Column, table: dict[str, str]) -> Column:

@@ -97,8 +97,16 @@ def venue_near_duplicates(pages: DataFrame) -> DataFrame:
     return pairs.select(F.lit("VENUE_NEAR_DUPLICATE").alias("tag"), F.col("a").alias("path"), F.lit(None).cast("int").alias("line"), F.concat("b", F.lit(" "), F.format_string("%.2f", "similarity")).alias("detail"))
 
 
-def lint(pages: DataFrame, bibs: DataFrame, extracts: DataFrame, versions: DataFrame, index: DataFrame, today: Column) -> DataFrame:
-    """All issues of a corpus, ``(tag, path, line, detail)``. Index and log pages only lend their links."""
+def parse_issues(errors: DataFrame) -> DataFrame:
+    """``errors`` has ``path`` and ``error`` of the pages that could not be read."""
+    return _issues(errors, "PARSE_ERROR", F.col("error"))
+
+
+def lint(pages: DataFrame, bibs: DataFrame, extracts: DataFrame, versions: DataFrame, index: DataFrame, today: Column, errors: DataFrame | None = None) -> DataFrame:
+    """All issues of a corpus, ``(tag, path, line, detail)``. Index and log pages only lend their links.
+
+    ``errors`` are the unreadable pages, which no other rule sees.
+    """
     aliases = alias_map(pages)
     resolved = resolved_links(page_links(pages), pages, aliases)
     own = pages.where(~F.col("stem").isin("index", "log"))
@@ -119,6 +127,8 @@ def lint(pages: DataFrame, bibs: DataFrame, extracts: DataFrame, versions: DataF
         drift.select(F.lit("INDEX_DRIFT").alias("tag"), F.col("target").alias("path"), F.lit(None).cast("int").alias("line"), F.col("kind").alias("detail")),
         venue_near_duplicates(own),
     ]
+    if errors is not None:
+        rules.append(parse_issues(errors))
     out = rules[0]
     for rule in rules[1:]:
         out = out.union(rule)

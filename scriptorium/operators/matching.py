@@ -53,19 +53,23 @@ def reference_matches(references: DataFrame, candidates: DataFrame, threshold: f
     (arrival order, which decides ties). Candidates come from an equi join on tokens, and
     upper bounds from token lengths go before the matcher. Texts without any token score 1
     against everything, as the token-set ratio has it; only the first k candidates can count
-    then, so these pairs are few. Pairs of texts that share no token are not looked at.
+    then, so these pairs are few. Pairs of texts that share no token are not looked at: only
+    letters could make them alike, and no equi join on letters finds few such pairs.
     """
     words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
     prepared = lambda df, key, name, *more: df.select(F.col(key).alias(name), *more, words(reference_text(F.col("text"))).alias(f"{name}_words"))
     chars = lambda c: F.length(F.array_join(c, " "))
-    refs = prepared(references, "ref_id", "ref_id").withColumn("ref_chars", chars(F.col("ref_id_words")))
-    cands = prepared(candidates, "key", "candidate", "pos").withColumn("cand_chars", chars(F.col("candidate_words")))
+    letters = lambda name: letter_counts(F.array_join(name, " "))
+    refs = prepared(references, "ref_id", "ref_id").withColumn("ref_chars", chars(F.col("ref_id_words"))).withColumn("ref_letters", letters("ref_id_words"))
+    cands = prepared(candidates, "key", "candidate", "pos").withColumn("cand_chars", chars(F.col("candidate_words"))).withColumn("cand_letters", letters("candidate_words"))
     left = refs.select("ref_id", "ref_chars", F.explode("ref_id_words").alias("token"))
     right = cands.select("candidate", "cand_chars", F.explode("candidate_words").alias("token"))
     common = left.join(right, "token").groupBy("ref_id", "candidate", "ref_chars", "cand_chars").agg((F.sum(F.length("token")) + F.count("*") - 1).alias("chars"))
     side = F.least("ref_chars", "cand_chars")
-    likely = common.where((length_bound(F.col("chars"), side) >= threshold) | (length_bound(F.col("ref_chars"), F.col("cand_chars")) >= threshold))
-    scored = likely.select("ref_id", "candidate").join(refs, "ref_id").join(cands, "candidate")
+    by_tokens, by_length = length_bound(F.col("chars"), side) >= threshold, length_bound(F.col("ref_chars"), F.col("cand_chars")) >= threshold
+    likely = common.where(by_tokens | by_length).select("ref_id", "candidate", by_tokens.alias("by_tokens"))
+    scored = likely.join(refs, "ref_id").join(cands, "candidate")
+    scored = scored.where(F.col("by_tokens") | (letters_bound(F.col("ref_letters"), F.col("cand_letters"), F.col("ref_chars"), F.col("cand_chars")) >= threshold))
     joined = lambda name: F.array_join(name, " ")
     scored = scored.withColumn("score", token_set_ratio(joined("ref_id_words"), joined("candidate_words"))).where(F.col("score") >= threshold)
     scored = scored.select("ref_id", "candidate", "pos", "score")

@@ -78,14 +78,14 @@ def _sql_slug(expr: str) -> str:
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, left(text, 80) AS title, {_sql_slug("left(text, 80)")} AS whole FROM documents)
+WITH s AS (SELECT doc_id, {_sql_slug("text")} AS whole FROM documents)
 SELECT doc_id, whole AS venue_slug, CASE WHEN length(whole) <= 60 THEN whole
   WHEN position('-' IN substr(left(whole, 60), 2)) > 0 THEN regexp_replace(left(whole, 60), '-[^-]*$', '') ELSE left(whole, 60) END AS slug
 FROM s
 """)
 def slugify(spark, sf_dir):
-    """Cut and uncut slugs of the documents' first 80 characters (their titles)."""
-    title = F.left(F.col("text"), F.lit(80))
+    """Cut and uncut slugs of the documents' whole texts; the cut is the slug's own."""
+    title = F.col("text")
     return _t(spark, sf_dir, "documents").select("doc_id", text.slug_uncut(title).alias("venue_slug"), text.slug(title).alias("slug"))
 
 
@@ -101,10 +101,10 @@ def paper_id_gen(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, translate(replace(replace(replace(strip_accents(left(text, 60)), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'øØðÐłŁ', 'oOdDlL').lower() AS folded FROM documents
+SELECT doc_id, translate(replace(replace(replace(strip_accents(text), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'øØðÐłŁ', 'oOdDlL').lower() AS folded FROM documents
 """)
 def ascii_folding(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", ascii_fold(F.left(F.col("text"), F.lit(60))).alias("folded"))
+    return _t(spark, sf_dir, "documents").select("doc_id", ascii_fold(F.col("text")).alias("folded"))
 
 
 def _identifiers(key: Column) -> Column:
@@ -341,8 +341,11 @@ def wikilinks(spark, sf_dir):
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.explode(text.link_targets(body)).alias("target"))
 
 
+_SQL_LINT_PAGES = _SQL_PAGES.replace("6, 'p' || k FROM pages", "6, 'p' || CASE WHEN k % 10 = 4 THEN k + 1 ELSE k END FROM pages")
+
+
 @query(f"""
-WITH {_SQL_PAGES}, t AS (SELECT *, k % 400 AS age, CASE k % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'concept' WHEN 2 THEN 'method' ELSE 'venue' END AS type FROM pages),
+WITH {_SQL_LINT_PAGES}, t AS (SELECT *, k % 400 AS age, CASE k % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'concept' WHEN 2 THEN 'method' ELSE 'venue' END AS type FROM pages),
 need AS (SELECT * FROM (VALUES ('paper', ['paper-id','created','authors','year','identifiers','bib-file','extract']), ('concept', ['created','sources']), ('method', ['created','sources']), ('venue', ['name','slug','venue-type','created','papers'])) AS v(type, keys)),
 issues AS (
   SELECT 'DEAD_LINK' AS tag FROM r WHERE kind = 'dead' UNION ALL SELECT 'ALIAS_LINK' FROM r WHERE kind = 'alias'
@@ -352,47 +355,62 @@ issues AS (
   UNION ALL SELECT 'CONTRADICTION' FROM t
   UNION ALL SELECT 'INVALID_CITES' FROM (SELECT 'p' || (k + 2) AS c FROM t WHERE type = 'paper' UNION ALL SELECT 'p' || (k + 3) FROM t WHERE type = 'paper') WHERE c NOT IN (SELECT stem FROM pages)
   UNION ALL SELECT 'MISSING_BIBTEX' FROM t WHERE type = 'paper' AND k % 8 = 0 AND k % 24 <> 16
-  UNION ALL SELECT CASE WHEN k % 12 = 0 THEN 'EXTRACT_MISSING' ELSE 'EXTRACT_FAILED' END FROM t WHERE type = 'paper' AND (k % 12 = 0 OR k % 12 = 4)
+  UNION ALL SELECT CASE k % 12 WHEN 0 THEN 'EXTRACT_MISSING' WHEN 4 THEN 'EXTRACT_FAILED' ELSE 'EXTRACT_PARSE_ERROR' END FROM t WHERE type = 'paper'
+  UNION ALL SELECT 'ORPHAN' FROM pages WHERE stem NOT IN (SELECT resolved FROM r WHERE resolved IS NOT NULL)
+  UNION ALL SELECT 'MISSING_SECTION' FROM t WHERE type IN ('concept', 'method') AND k % 5 = 1
+  UNION ALL SELECT 'INDEX_DRIFT' FROM pages WHERE k % 6 = 0 UNION ALL SELECT 'INDEX_DRIFT'
+  UNION ALL SELECT 'PARSE_ERROR' FROM part WHERE p_partkey % 10 = 3
   UNION ALL SELECT 'VERSION_DRIFT' FROM t WHERE type = 'paper' AND k % 16 = 0
 )
 SELECT tag, count(*) AS n_issues FROM issues GROUP BY tag
 """)
 def lint_totals(spark, sf_dir):
     """Issues by rule over the part pages (the near-duplicate rule has its own query: no such ratio in SQL)."""
-    pages = _part_pages(spark, sf_dir)
-    issues = _lint(spark, pages)
-    return lint.lint_totals(issues.where("tag <> 'VENUE_NEAR_DUPLICATE'"))
+    return lint.lint_totals(_lint(spark, sf_dir).where("tag <> 'VENUE_NEAR_DUPLICATE'"))
 
 
-def _lint(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def _lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over the part pages, some of them without a section or a link to themselves; each rule finds something."""
     k = F.substring("stem", 2, 20).cast("long")
+    body = F.when(k % 5 == 1, F.replace("body", F.lit("## Counter-arguments"), F.lit("## Other"))).otherwise(F.col("body"))
+    body = F.when(k % 10 == 4, F.replace(body, _s("[[", F.col("stem"), "]]"), _s("[[p", k + 1, "]]"))).otherwise(body)
+    pages = _part_pages(spark, sf_dir).withColumn("body", body)
     bibs = pages.where(k % 24 != 0).where(k % 8 == 0).select("bib_file", F.when(k % 24 == 8, "@a{k, }\n% bib-incomplete: TRUE").otherwise("@a{k, }").alias("bib"))
-    extracts = pages.where(k % 12 != 0).select("paper_id", F.when(k % 12 == 4, "failed").otherwise("complete").alias("status"), F.lit(None).cast("string").alias("parse_error"))
+    extracts = pages.where(k % 12 != 0).select("paper_id", F.when(k % 12 == 4, "failed").otherwise("complete").alias("status"), F.when(k % 12 == 8, "bad header").alias("parse_error"))
     versions = pages.select("paper_id", F.when(k % 16 == 0, "v2").otherwise("v1").alias("latest"))
-    index = spark.createDataFrame([], "text string")
-    return lint.lint(pages, bibs, extracts, versions, index, F.to_date(F.lit(TODAY)))
+    index = pages.where(k % 6 != 0).select(_s("- [[", F.col("stem"), "]]\n").alias("text")).union(spark.range(1).select(F.lit("[[nowhere]]").alias("text")))
+    errors = _t(spark, sf_dir, "part").where("p_partkey % 10 = 3").select(_s("wiki/p", F.col("p_partkey"), ".md").alias("path"), F.lit("bad header").alias("error"))
+    return lint.lint(pages, bibs, extracts, versions, index, F.to_date(F.lit(TODAY)), errors)
 
 
 @query()
 def lint_issues(spark, sf_dir):
     """Every issue of every rule, near-duplicate venue keys among them."""
-    return _lint(spark, _part_pages(spark, sf_dir))
+    return _lint(spark, sf_dir)
 
 
 @query("""
-WITH n AS (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), DATE '2026-01-01') AS age FROM orders)
-SELECT o_orderkey AS key, age FROM n WHERE (o_orderstatus = 'O' AND age > 90) OR age > 600
+WITH n AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'concept' ELSE 'paper' END AS type, o_orderstatus, date_diff('day', CAST(o_orderdate AS DATE), DATE '2026-01-01') AS age FROM orders)
+SELECT path, 'status stale for ' || age || ' days' AS detail FROM n WHERE o_orderstatus = 'O' AND age > 90 UNION ALL SELECT path, 'untouched for ' || age || ' days' FROM n WHERE type = 'concept' AND age > 180
 """)
 def stale_pages(spark, sf_dir):
-    age = dates.age_days(dates.strict_date(F.date_format("o_orderdate", "yyyy-MM-dd")), F.to_date(F.lit(TODAY)))
-    rows = _t(spark, sf_dir, "orders").withColumn("age", age)
-    return rows.where(((F.col("o_orderstatus") == "O") & (F.col("age") > 90)) | (F.col("age") > 600)).select(F.col("o_orderkey").alias("key"), F.col("age").cast("long").alias("age"))
+    """Orders as pages: open ones are stale, even keys are concepts."""
+    key = F.col("o_orderkey")
+    pages = _t(spark, sf_dir, "orders").select(key.cast("string").alias("path"), F.when(key % 2 == 0, "concept").otherwise("paper").alias("type"), F.when(F.col("o_orderstatus") == "O", "stale").otherwise("active").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated"))
+    return lint.stale_pages(pages, F.to_date(F.lit(TODAY))).select("path", "detail")
 
 
-@query("SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'quality' END AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("""
+WITH need AS (SELECT * FROM (VALUES (0, ['type','name','slug','created','updated','papers','tags']), (1, ['type','name','slug','venue-type','created','updated','papers','tags']), (2, ['type','status','created','updated','sources','tags'])) AS v(kind, wanted)),
+d AS (SELECT doc_id, doc_id % 3 AS kind, ['type', 'slug', lang] || CASE WHEN doc_id % 2 = 0 THEN ['papers', 'tags'] ELSE [] END AS has FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, detail FROM (SELECT doc_id, unnest(list_filter(wanted, lambda x: NOT list_contains(has, x))) AS detail FROM d JOIN need USING (kind))
+""")
 def missing_fields(spark, sf_dir):
-    d, lab = _t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id", "left").select("doc_id", F.when(F.col("quality").isNull(), "quality").alias("missing"))
+    """Documents as pages of three types with some header keys."""
+    key = F.col("doc_id")
+    has = F.concat(F.array(F.lit("type"), F.lit("slug"), F.col("lang")), F.when(key % 2 == 0, F.array(F.lit("papers"), F.lit("tags"))).otherwise(F.array().cast("array<string>")))
+    pages = _t(spark, sf_dir, "documents").select(key.cast("string").alias("path"), F.when(key % 3 == 0, "author").when(key % 3 == 1, "venue").otherwise("claim").alias("type"), has.alias("keys"))
+    return lint.missing_fields(pages).select("path", "detail")
 
 
 # Matching --------------------------------------------------------------------------------
@@ -426,10 +444,9 @@ def near_dup_pairs(spark, sf_dir):
 
 @query()
 def fuzzy_refs_topk(spark, sf_dir):
-    """Benchmark items as references, the documents' first sentences as candidates."""
+    """Benchmark items as references, the documents' whole texts as candidates."""
     refs = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
-    first = F.regexp_extract("text", r"^([^.]*)", 1)
-    return matching.reference_matches(refs, _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("pos"), first.alias("text")))
+    return matching.reference_matches(refs, _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("pos"), "text"))
 
 
 @query("SELECT doc_id AS key FROM documents WHERE contains(lower(text), 'tion and') OR source IN ('src3', 'src13')")

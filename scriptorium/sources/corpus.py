@@ -131,6 +131,11 @@ def extracts(flat: DataFrame, clipped: DataFrame) -> DataFrame:
     return rows.where("paper_id IS NOT NULL AND paper_id <> ''").orderBy("paper_id", "place", "path")
 
 
+def extract_states(parsed: DataFrame) -> DataFrame:
+    """``(paper_id, status, parse_error)`` of a folder of extracts, by file name: an unreadable one is there, with its error."""
+    return parsed.where(~F.col("path").contains("/")).select(F.col("stem").alias("paper_id"), field("extract-status").alias("status"), F.col("error").alias("parse_error"))
+
+
 def needs_compile(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Extracts whose page is absent or older than they are."""
     page = pages.select("paper_id", F.col("updated").alias("page_updated"))

@@ -244,6 +244,9 @@ def test_command_line(spark, tmp_path, capsys):
         "wiki/papers/lee2020t.md": "---\ntype: paper\npaper-id: lee2020t\ntags: [field/x]\nbib-file: raw/bib/lee2020t.bib\nidentifiers: {doi: 10.1/ABC}\n---\n[[gone]]\n",
         "wiki/venues/conf-2020.md": "---\ntype: venue\nname: Conf 2020\n---\n",
         "wiki/venues/bad.md": "---\ntype: venue\n---\n",
+        "wiki/concepts/broken.md": "---\na: [\n---\n",
+        "wiki/papers/two.md": "---\ntype: paper\n---\n",
+        "raw/extracts/two.md": "---\nb: {\n---\n",
         "raw/bib/lee2020t.bib": "@misc{lee2020t, }\n",
     }
     for name, body in files.items():
@@ -252,12 +255,14 @@ def test_command_line(spark, tmp_path, capsys):
     out = lambda *a: (main(list(a)), capsys.readouterr().out)
     code, text = out("lint", str(root), "--today", "2026-01-01")
     assert code == 0 and "DEAD_LINK: papers/lee2020t.md:1 gone" in text and "MISSING_BIBTEX" not in text and text.endswith("issue(s)\n")
+    assert "PARSE_ERROR: concepts/broken.md " in text and "EXTRACT_PARSE_ERROR: papers/two.md two" in text
+    assert "EXTRACT_MISSING: papers/lee2020t.md" in text and "EXTRACT_MISSING: papers/two.md" not in text
     assert out("export", str(root), "--field", "x") == (0, "% lee2020t\n@misc{lee2020t, }\n\n")
     assert out("export", str(root), "--field", "y")[0] == 1 and out("export", str(root))[0] == 2
     assert out("plan-venues", str(root)) == (0, "conf-2020 -> conf\nskipped bad: missing name\n")
     assert out("find-paper", str(root), "doi", "10.1/abc") == (0, '{"paper-id": "lee2020t"}\n')
     assert out("paper-id", "García", "2024", "Survey of X") == (0, "garcia2024survey\n")
-    assert out("hash", str(root / "raw"))[1].count("\n") == 1
+    assert out("hash", str(root / "raw"))[1].count("\n") == 2
 
 
 def test_scaffold_and_snapshot(spark, tmp_path):
@@ -271,3 +276,27 @@ def test_scaffold_and_snapshot(spark, tmp_path):
     assert [r.path for r in targets.collect()] == ["wiki/papers/a.md", "wiki/papers/b.md", "wiki/venues/a.md"]
     sinks.snapshot(targets, str(tmp_path / "snap"))
     assert spark.read.parquet(str(tmp_path / "snap")).count() == 3
+
+
+def test_references_equal_brute_force(spark):
+    import random
+
+    from scriptorium.functions.similarity import token_set
+    from scriptorium.operators import matching
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 8)))
+    vocabulary = [word() for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))) for _ in range(90)]
+    typo = lambda w: w if len(w) < 5 else w[: (at := rng.randrange(len(w)))] + "z" + w[at + 1 :]
+    asked = [" ".join(map(typo, t.split())) for t in texts[:25]] + [t + " " + word() for t in texts[25:45]] + [" ".join(t.split()[:3]) for t in texts[45:60]] + ["singleton", ""]
+    texts += ["singletons", "", "the " * 90]
+    refs = spark.createDataFrame(list(enumerate(asked)), "ref_id long, text string")
+    cands = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "key long, text string, pos long")
+    got = sorted((r.ref_id, r["rank"], r.candidate, round(r.score, 9)) for r in matching.reference_matches(refs, cands, 0.8, 5).collect())
+    want = []
+    for i, a in enumerate(asked):
+        meet = lambda b: not a or not b or set(a.split()) & set(b.split())  # noqa: E731, B023
+        found = sorted((-s, j) for j, b in enumerate(texts) if meet(b) and (s := token_set(a, b)) >= 0.8)[:5]
+        want += [(i, r, j, round(-s, 9)) for r, (s, j) in enumerate(found, 1)]
+    assert got == sorted(want) and len(want) > 30
