@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import cut_lineage, fold, release_memory, text_bytes
+from scriptorium.llm.runtime import cut_lineage, fold, release_memory, release_shuffles, text_bytes
 
 ORDER = 3
 BLOCK_BYTES = 8 << 20
@@ -217,7 +217,10 @@ def _totals(requests: DataFrame, partitions: int) -> DataFrame:
         return pd.DataFrame(out, columns=["block", "n", "part", "rest", "cut", "known", "known_rest", "seen", "seen_rest"])
 
     answers = requests.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, n int, part long, rest binary, cut binary, known long, known_rest long, seen long, seen_rest long")
-    return cut_lineage(answers)
+    kept = cut_lineage(answers)
+    del answers, requests
+    release_shuffles(kept.sparkSession)
+    return kept
 
 
 BYTES_A_TOKEN = 5  # about; only the number of key partitions depends on it
@@ -228,6 +231,7 @@ def counts(docs: DataFrame, packs: DataFrame, order: int = ORDER, keys_a_partiti
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
     partitions = max(1, math.ceil(size / BYTES_A_TOKEN * order / keys_a_partition))
     answers = _totals(_requests(packs, order, partitions), partitions)
+    release_shuffles(docs.sparkSession)  # the requests are behind the answers
     sums = answers.where("n < 0").agg(*[F.sum(c) for c in ("known", "known_rest", "seen", "seen_rest")]).first()
     return answers.where("n >= 0"), dict(zip(("words", "rest_words", "tokens", "rest_tokens"), (int(x or 0) for x in sums)))
 
