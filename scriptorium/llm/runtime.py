@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 from bisect import bisect_right
 from collections.abc import Callable
@@ -25,16 +24,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Have Spark remove shuffle files of plans that nothing holds any more.
-
-    It does so when the driver's JVM collects them, which may be long after a written table has
-    taken a large shuffle's place.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def release_memory() -> None:
     """Give freed memory back to the system: a reused worker should not keep a block's peak."""
     pa.default_memory_pool().release_unused()
