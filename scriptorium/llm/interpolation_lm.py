@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import cut_lineage, fold, release_memory, text_bytes
+from scriptorium.llm.runtime import cut_lineage, fold, release_memory, short_lived_shuffles, text_bytes
 
 ORDER = 3
 BLOCK_BYTES = 8 << 20
@@ -216,8 +216,9 @@ def _totals(requests: DataFrame, partitions: int) -> DataFrame:
         release_memory()
         return pd.DataFrame(out, columns=["block", "n", "part", "rest", "cut", "known", "known_rest", "seen", "seen_rest"])
 
-    answers = requests.repartition(partitions, "part").groupBy("part").applyInPandas(answer, "block long, n int, part long, rest binary, cut binary, known long, known_rest long, seen long, seen_rest long")
-    return cut_lineage(answers)
+    schema = "block long, n int, part long, rest binary, cut binary, known long, known_rest long, seen long, seen_rest long"
+    with short_lived_shuffles(requests.sparkSession):
+        return cut_lineage(requests.repartition(partitions, "part").groupBy("part").applyInPandas(answer, schema))
 
 
 BYTES_A_TOKEN = 5  # about; only the number of key partitions depends on it
@@ -298,8 +299,9 @@ def held_out_histogram(blocks: DataFrame, stats: dict, order: int) -> pd.DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in kinds.T] + [pa.array(n)], ["bucket", *names, "n"])
 
     schema = "bucket long, " + ", ".join(f"{x} long" for x in names) + ", n long"
-    kinds = blocks.mapInArrow(run, schema).groupBy("bucket", *names).agg(F.sum("n").alias("n"))
-    return kinds.orderBy("bucket", *names).toPandas()
+    with short_lived_shuffles(blocks.sparkSession):
+        kinds = blocks.mapInArrow(run, schema).groupBy("bucket", *names).agg(F.sum("n").alias("n"))
+        return kinds.orderBy("bucket", *names).toPandas()
 
 
 def learn_weights(histogram: pd.DataFrame, order: int, rounds: int = EM_ROUNDS) -> np.ndarray:

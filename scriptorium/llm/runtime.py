@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside have their shuffle files removed as soon as they have run.
+
+    For plans that run once and whose result is written or collected: a large exchange is then not
+    kept on disk beside what it was turned into. Plans made outside are as the session has it.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: a reused worker should not keep a block's peak."""
     pa.default_memory_pool().release_unused()
