@@ -3,6 +3,7 @@
 lint ROOT [--today DAY]                issues of all rules, then their number
 export ROOT --field F | --tag T | ...  a consolidated bibliography on standard output
 plan-venues ROOT                       what a venue migration would rename and merge
+migrate-venues ROOT [--apply]          write the migration's report and, with --apply, its files
 find-paper ROOT KIND VALUE             the page that has an identifier, or null
 paper-id LAST_NAME YEAR TITLE          the id of a paper
 hash PATH                              content hashes of the files under a folder
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import paper_id
-from scriptorium.operators import export, lint, matching, venues
-from scriptorium.session import session
-from scriptorium.sources import corpus
+from scriptorium.operators import export, lint, matching, migration, venues
+from scriptorium.session import cut_lineage, session
+from scriptorium.sources import corpus, sinks
 
 
 def _bibs(spark: SparkSession, root: str) -> DataFrame:
@@ -68,6 +69,24 @@ def run_export(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def run_migration(spark: SparkSession, root: str, today: str, apply: bool) -> int:
+    """The report goes to ``outputs/reports``; without ``apply`` no page changes."""
+    read = corpus.read_pages(spark, root)
+    own = read.select("path", "header").join(corpus.page_columns(read), "path").withColumn("slug", F.coalesce("slug", "stem"))
+    found, papers = own.where("path LIKE 'venues/%'"), own.where("path LIKE 'papers/%'").withColumn("paper_id", F.col("stem"))
+    plan = venues.venue_plan(found.select("slug", "name", "type", "venue_type", "created", "papers", "tags"))
+    moves = cut_lineage(venues.paper_rewrites(papers, plan))
+    day = F.lit(today)
+    report = "\n".join(r["text"] for r in migration.report_parts(plan, found, moves, day).toLocalIterator()) + "\n"
+    name = f"outputs/reports/{today}-venue-migration.md"
+    sinks.write_files(spark.createDataFrame([(name, report)], "path string, raw string"), root)
+    print(f"{root}/{name}")
+    if apply:
+        n = sinks.write_files(migration.migrated_files(found, papers, plan, moves, day), f"{root}/wiki")
+        print(f"{n} file(s) written or removed")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="scriptorium", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -79,6 +98,10 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("project", "field", "tag", "since", "keys"):
         one.add_argument(f"--{name}")
     commands.add_parser("plan-venues").add_argument("root")
+    one = commands.add_parser("migrate-venues")
+    one.add_argument("root")
+    one.add_argument("--apply", action="store_true")
+    one.add_argument("--today", default=datetime.date.today().isoformat())
     one = commands.add_parser("find-paper")
     for name in ("root", "kind", "value"):
         one.add_argument(name)
@@ -93,6 +116,8 @@ def main(argv: list[str] | None = None) -> int:
         return run_lint(spark, args.root, args.today)
     if args.command == "export":
         return run_export(spark, args)
+    if args.command == "migrate-venues":
+        return run_migration(spark, args.root, args.today, args.apply)
     if args.command == "plan-venues":
         pages = corpus.page_columns(corpus.read_pages(spark, args.root)).where("path LIKE 'venues/%'")
         pages = pages.select(F.coalesce("slug", "stem").alias("slug"), "name", "type", "venue_type", "created", "papers", "tags")

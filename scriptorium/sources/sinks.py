@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import candidate_entry
+from scriptorium.session import cut_lineage
 
 CANDIDATE_KEY = ["paper_a", "paper_b", "type"]
 
@@ -74,3 +75,24 @@ def snapshot(pages: DataFrame, path: str) -> None:
 def papers_by_year(papers: DataFrame) -> DataFrame:
     """Papers, latest year first, then by key."""
     return papers.select("year", "stem", "title").orderBy(F.desc_nulls_last("year"), "stem")
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write ``(path, raw)`` rows as files under ``root`` and remove those whose ``raw`` is null; how many.
+
+    Rows are fixed first, since they may derive from the files that change, and come to the
+    driver one partition at a time. Files are written before any is removed.
+    """
+    spark = rows.sparkSession
+    fixed, n = cut_lineage(rows.select("path", "raw")), 0
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in fixed.where("raw IS NOT NULL").toLocalIterator():
+        out = files.create(folder(f"{root}/{row['path']}"), True)
+        out.write(bytearray(row["raw"].encode()))
+        out.close()
+        n += 1
+    for row in fixed.where("raw IS NULL").toLocalIterator():
+        files.delete(folder(f"{root}/{row['path']}"), False)
+        n += 1
+    return n
