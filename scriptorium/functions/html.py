@@ -3,6 +3,7 @@
 One pass turns a page into a flat list of typed blocks in document order; site rules
 (:data:`SITES`) say which headings end the text, which images count and how they are
 renamed. Sections are runs between headings, figures are numbered by first appearance.
+Metadata come from the elements that a site keeps them in (:data:`FIELDS`), then from meta tags.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.dates import publication_date
+from scriptorium.functions.selectors import Tree
+
 PARSED = "title string, meta map<string,array<string>>, blocks array<struct<type:string,text:string,url:string>>"
 DOCUMENT = (
     "title string, authors array<string>, abstract string, doi string, arxiv string, url string, date string, venue string, keywords array<string>, "
@@ -52,6 +56,68 @@ SITES = (
 )
 _ANY = Site("generic", ())
 
+# Where each site keeps a field: selectors in the order in which they are tried (fixed values).
+FIELDS: dict[str, dict[str, tuple[str, ...]]] = {
+    "arxiv": {
+        "title": ("h1.ltx_title",),
+        "authors": (".ltx_authors .ltx_personname",),
+        "abstract": (".ltx_abstract .ltx_p",),
+        "date": ("meta[name=citation_date]@content",),
+        "keywords": (".ltx_classification .ltx_text",),
+    },
+    "ieee": {
+        "title": (".document-title", "meta[property='og:title']@content"),
+        "authors": (".authors-info .author-name, .authors-info span[id^='author']",),
+        "abstract": (".abstract-text .u-mb-1, .abstract-desktop-div div[xplmathjax]",),
+        "doi": (".stats-document-abstract-doi a, a[href*='doi.org']",),
+        "date": (".doc-abstract-pubdate, .stats-document-abstract-publishedIn .document-banner-date",),
+        "venue": (".stats-document-abstract-publishedIn a, .document-banner-conference-title",),
+        "keywords": (".stats-keywords-section .stats-keywords a",),
+    },
+    "springer": {
+        "title": ("h1.c-article-title, h1.ArticleTitle",),
+        "authors": ("[data-test='author-name']",),
+        "abstract": ("#Abs1-content p",),
+        "date": ("meta[name=citation_publication_date]@content", "time[datetime]@datetime"),
+        "keywords": (".c-article-subject-list__subject",),
+    },
+    "sciencedirect": {
+        "title": ("h1.title-text span.title-text", "h1.title-text"),
+        "authors": (".author span.text",),
+        "abstract": ("[id*='abspara']", ".abstract div", "#abstracts p"),
+        "venue": ("meta[name=citation_journal_title]@content", ".publication-title-link"),
+        "keywords": (".keyword span",),
+    },
+    "mdpi": {
+        "title": ("h1.title", ".article-title"),
+        "authors": (".art-authors .sciprofiles-link",),
+        "abstract": (".art-abstract p", ".art-abstract .html-p"),
+        "venue": ("meta[name=citation_journal_title]@content", ".journal-name"),
+        "keywords": (".art-keyword",),
+    },
+    "wiley": {
+        "title": (".citation__title",),
+        "authors": (".loa-authors-trunc .author-name span, .loa-authors .author-name span",),
+        "abstract": ("#abstract .article-section__content p", "[class*='abstract'] .article-section__content p", ".article-section__content p"),
+        "keywords": (".article-keywords__list a, .kwd-group .kwd",),
+    },
+    "tandfonline": {
+        "title": (".NLM_article-title", ".article-title", "h1"),
+        "authors": (".entryAuthor a, .author, .contrib-author, .NLM_contrib-group a",),
+        "abstract": (".abstractSection p, .abstract p, #abstract p", ".hlFld-Abstract p"),
+        "date": ("meta[name=citation_publication_date]@content", "meta[name='dc.Date']@content"),
+        "keywords": (".abstractKeywords a, .keyword, .hlFld-KeywordText a",),
+    },
+    "asce": {
+        "title": ("h1.citation__title, h1.article__title",),
+        "authors": (".author-name span, .loa__author-name, .contrib-author a",),
+        "keywords": (".article__keyword, .abstractKeywords a, .kwd-group .kwd",),
+    },
+}
+# What stands before a field's value on the page (fixed values).
+_LABELS = {"title": re.compile(r"^Title:\s*", re.IGNORECASE), "date": re.compile(r"Date of Publication:\s*")}
+_JOINED = {("arxiv", "abstract")}  # fields made of all elements found, not of the first
+
 _HEADINGS = {"h1", "h2", "h3", "h4"}
 _BLOCKS = _HEADINGS | {"p", "figcaption", "li", "title", "tr"}
 _SILENT = {"script", "style", "nav", "noscript"}
@@ -62,7 +128,7 @@ class PageReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.meta, self.blocks = "", {}, []
+        self.title, self.meta, self.blocks, self.tree = "", {}, [], Tree()
         self._open: str | None = None
         self._text: list[str] = []
         self._silent = 0
@@ -70,6 +136,7 @@ class PageReader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         found = dict(attrs)
+        self.tree.start(tag, found)
         if tag in _SILENT:
             self._silent += 1
         elif tag == "meta" and found.get("name") and (found.get("content") or "").strip():
@@ -85,6 +152,7 @@ class PageReader(HTMLParser):
             self._end_cell()
 
     def handle_endtag(self, tag: str) -> None:
+        self.tree.end(tag)
         if tag in _SILENT:
             self._silent = max(0, self._silent - 1)
         elif tag in ("td", "th") and self._cells is not None:
@@ -93,6 +161,8 @@ class PageReader(HTMLParser):
             self._flush()
 
     def handle_data(self, data: str) -> None:
+        if not self._silent:
+            self.tree.data(data)
         if self._open and not self._silent:
             self._text.append(data)
 
@@ -149,6 +219,23 @@ def _first(meta: dict, *names: str) -> str:
     return next((meta[n][0] for n in names if meta.get(n)), "")
 
 
+def site_fields(page: PageReader, site: Site) -> dict[str, list[str]]:
+    """Values of the fields that a site's own elements hold, in document order; a field without any is left out.
+
+    The first selector that finds text decides.
+    """
+    out = {}
+    for field, steps in FIELDS.get(site.name, {}).items():
+        values = next(filter(None, map(page.tree.values, steps)), [])
+        if field in _LABELS:
+            values = [_LABELS[field].sub("", v).strip() for v in values]
+        if (site.name, field) in _JOINED:
+            values = [" ".join(values)]
+        if values := [v for v in values if v]:
+            out[field] = values
+    return out
+
+
 def extract(url: str | None, html: str | None) -> dict:
     """Metadata, sections and figures of a page under its site's rules."""
     page, site = read_page(html), site_of(host_of(url))
@@ -203,16 +290,19 @@ def extract(url: str | None, html: str | None) -> dict:
     if references and "references" not in site.dropped:
         marks = [f"{i}. {r}" for i, r in enumerate(references, 1)] if site.number_references else references
         sections.append({"heading": "References", "content": [{"type": "paragraph", "text": m, "figure_id": None} for m in marks]})
-    keywords = [k.strip().rstrip(";") for v in meta.get("keywords", []) + meta.get("citation_keywords", []) for k in re.split(r"[;,]", v)]
+    own = site_fields(page, site)
+    keywords = own.get("keywords") or [k for v in meta.get("keywords", []) + meta.get("citation_keywords", []) for k in re.split(r"[;,]", v)]
+    keywords = [k.strip().rstrip(";,").strip() for k in keywords]
+    one = lambda field: own.get(field, [""])[0]
     return {
-        "title": _first(meta, "citation_title") or next((t for k, t, _ in page.blocks if k == "h1"), "") or page.title,
-        "authors": meta.get("citation_author", []),
-        "abstract": abstract or _first(meta, "citation_abstract", "description"),
-        "doi": _first(meta, "citation_doi"),
+        "title": one("title") or _first(meta, "citation_title") or next((t for k, t, _ in page.blocks if k == "h1"), "") or page.title,
+        "authors": own.get("authors") or meta.get("citation_author", []),
+        "abstract": one("abstract") or abstract or _first(meta, "citation_abstract", "description"),
+        "doi": one("doi") or _first(meta, "citation_doi"),
         "arxiv": _first(meta, "citation_arxiv_id") or None,
         "url": url or "",
-        "date": _first(meta, "citation_publication_date", "citation_date"),
-        "venue": _first(meta, "citation_journal_title", "citation_conference_title") or site.venue,
+        "date": one("date") or _first(meta, "citation_publication_date", "citation_date"),
+        "venue": one("venue") or _first(meta, "citation_journal_title", "citation_conference_title") or site.venue,
         "keywords": list(dict.fromkeys(k for k in keywords if k)),
         "sections": sections,
         "figures": figures,
@@ -224,8 +314,10 @@ def _documents(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
 
 
 def extract_document(url: Column | str, page: Column | str) -> Column:
-    """Metadata, sections and figures of each page under its site's rules."""
-    return F.pandas_udf(_documents, DOCUMENT)(url, page)
+    """Metadata, sections and figures of each page under its site's rules; dates as ISO text, with their year."""
+    document = F.pandas_udf(_documents, DOCUMENT)(url, page)
+    dated = publication_date(document["date"])
+    return document.withField("date", dated["date"]).withField("year", dated["year"])
 
 
 def host_column(url: Column) -> Column:
