@@ -618,10 +618,9 @@ def export_select(spark, sf_dir):
 # Pages -----------------------------------------------------------------------------------
 
 
-@query(r"""SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, length(html) < 1024 OR regexp_matches(html, '(?i)captcha|cf-challenge|verify you are (a )?human') AS blocked FROM pages WHERE regexp_matches(html, '<title>[^<]*</title>')""")
+@query(r"""SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, length(html) < 1024 OR regexp_matches(html, '(?i)captcha|cf-challenge|verify you are (a )?human') AS blocked FROM pages""")
 def html_meta(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").where(F.col("html").rlike("<title>[^<]*</title>"))
-    return pages.select("page_id", html.parse_page("html")["title"].alias("title"), text.blocked_page(F.col("html")).alias("blocked"))
+    return _t(spark, sf_dir, "pages").select("page_id", html.parse_page("html")["title"].alias("title"), text.blocked_page(F.col("html")).alias("blocked"))
 
 
 @query()
@@ -723,8 +722,8 @@ def venue_pages(spark, sf_dir):
 
 @query("""
 SELECT doc_id, '---' || chr(10) || 'title: "D' || doc_id || '"' || chr(10) || 'authors: [Ann Lee, ' || lang || ']' || chr(10) || 'inline_author: "Lee et al."' || chr(10) || 'paper-id: "d' || doc_id || '"' || chr(10) || 'identifiers:' || chr(10) || '  url: "' || source || '"' || chr(10)
-  || 'year: 2020' || chr(10) || '---' || chr(10) || chr(10) || '## Body' || chr(10) || text || chr(10) || chr(10) || '![[fig1.png]]' || chr(10) || '*' || lang || '*' || chr(10) || chr(10) AS page
-FROM documents WHERE text <> ''
+  || 'year: 2020' || chr(10) || '---' || chr(10) || chr(10) || '## Body' || chr(10) || CASE WHEN text <> '' THEN text || chr(10) || chr(10) ELSE '' END || '![[fig1.png]]' || chr(10) || '*' || lang || '*' || chr(10) || chr(10) AS page
+FROM documents
 """)
 def document_pages(spark, sf_dir):
     """Whole documents rendered as Markdown with a header and a figure."""
@@ -733,8 +732,7 @@ def document_pages(spark, sf_dir):
     block = lambda kind, t, f: F.struct(F.lit(kind).alias("type"), t.alias("text"), f.alias("figure_id"))
     sections = F.array(F.struct(F.lit("Body").alias("heading"), F.array(block("paragraph", F.col("text"), none), block("figure", none, F.lit("f"))).alias("content")))
     figures = F.array(F.struct(F.lit("f").alias("id"), F.lit("fig1.png").alias("filename"), F.col("lang").alias("caption"), F.lit(False).alias("failed")))
-    docs = _t(spark, sf_dir, "documents").where("text <> ''")
-    return docs.select("doc_id", text.document_markdown(meta, sections, figures, _s("d", F.col("doc_id"))).alias("page"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.document_markdown(meta, sections, figures, _s("d", F.col("doc_id"))).alias("page"))
 
 
 @query("SELECT p_partkey AS key, CAST(unnest(range(1, 4)) AS INTEGER) AS no, p_name || '. Ref ' || unnest(range(1, 4)) AS reference FROM part")
