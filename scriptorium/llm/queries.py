@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from scriptorium.llm.cover_tree import top_k
 from scriptorium.llm.fm_index import decontaminate
 from scriptorium.llm.interpolation_lm import score_texts
+from scriptorium.llm.kd_sharding import kd_shards
 from scriptorium.llm.mixing import mix
+from scriptorium.llm.oracles import kd_tree, product_codes
 from scriptorium.llm.paragraph_minhash import repeated_passages
+from scriptorium.llm.periodic_runs import run_digests
 from scriptorium.llm.pii import scan_pii
 from scriptorium.llm.runtime import table
 from scriptorium.llm.secret_scan import scan_secrets
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.token_orc import encode_and_index
 from scriptorium.llm.toxicity import classify
+from scriptorium.llm.vector_codes import compress
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +66,18 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_index(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -70,8 +86,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_simhash, op3_pii_tagger, op4_cover_tree, op5_interpolation, op6_substring_dedup, op7_source_mixing, op8_decontamination, op9_toxicity, op10_token_orc, pipeline)
-}
+    for f in (
+        op1_secret_scan, op2_simhash, op3_pii_tagger, op4_cover_tree, op5_interpolation, op6_substring_dedup, op7_source_mixing, op8_decontamination, op9_toxicity, op10_token_orc,
+        op11_vector_codes, op12_periodic_runs, op13_kd_sharding, pipeline,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_cover_tree": """
@@ -149,4 +168,6 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """,
+    "op11_vector_codes": product_codes(),
+    "op13_kd_sharding": kd_tree(),
 }
