@@ -1,8 +1,10 @@
 """HTML pages to metadata, sections and figures, by the standard library's parser.
 
-One pass turns a page into a flat list of typed blocks in document order; site rules
-(:data:`SITES`) say which headings end the text, which images count and how they are
-renamed. Sections are runs between headings, figures are numbered by first appearance.
+One pass turns a page into a tree of elements and a flat list of typed blocks in document order.
+A known site's sections, tables and figures are read from its own elements
+(:mod:`scriptorium.functions.layouts`). Where these are missing, and on other pages, sections are
+runs of blocks between headings and figures are numbered by first appearance; site rules
+(:data:`SITES`) say which headings end the text, which images count and how they are renamed.
 Metadata come from the elements that a site keeps them in (:data:`FIELDS`), then from meta tags.
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dates import publication_date
+from scriptorium.functions.layouts import LAYOUTS, Reader
 from scriptorium.functions.selectors import Tree
 
 PARSED = "title string, meta map<string,array<string>>, blocks array<struct<type:string,text:string,url:string>>"
@@ -236,10 +239,8 @@ def site_fields(page: PageReader, site: Site) -> dict[str, list[str]]:
     return out
 
 
-def extract(url: str | None, html: str | None) -> dict:
-    """Metadata, sections and figures of a page under its site's rules."""
-    page, site = read_page(html), site_of(host_of(url))
-    meta = page.meta
+def between_headings(page: PageReader, site: Site) -> tuple[list[dict], list[dict], str]:
+    """(sections, figures, abstract) of a page by its headings alone."""
     figures: list[dict] = []
     by_url: dict[str, str] = {}
     sections: list[dict] = []
@@ -290,6 +291,18 @@ def extract(url: str | None, html: str | None) -> dict:
     if references and "references" not in site.dropped:
         marks = [f"{i}. {r}" for i, r in enumerate(references, 1)] if site.number_references else references
         sections.append({"heading": "References", "content": [{"type": "paragraph", "text": m, "figure_id": None} for m in marks]})
+    return sections, figures, abstract
+
+
+def extract(url: str | None, html: str | None) -> dict:
+    """Metadata, sections and figures of a page under its site's rules."""
+    page, site = read_page(html), site_of(host_of(url))
+    meta = page.meta
+    sections, figures, abstract = between_headings(page, site)
+    if site.name in LAYOUTS:
+        reader = Reader(page.tree, LAYOUTS[site.name], url or "")
+        if own_sections := reader.read():
+            sections, figures = own_sections, reader.figures
     own = site_fields(page, site)
     keywords = own.get("keywords") or [k for v in meta.get("keywords", []) + meta.get("citation_keywords", []) for k in re.split(r"[;,]", v)]
     keywords = [k.strip().rstrip(";,").strip() for k in keywords]
