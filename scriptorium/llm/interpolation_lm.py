@@ -103,7 +103,9 @@ def _packs(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of documents; those of the deleted fold are apart.
 
     They are written to the shared folder, so that all passes are over the same blocks
-    whatever becomes of executors, and texts are split into words once.
+    whatever becomes of executors, and texts are split into words once. A block is named by the
+    whole position of its first row, which no other block has: blocks of equal documents (a
+    file that stands twice) stay apart.
     """
 
     def pack(ids: list, flags: list, texts: list[np.ndarray], block: int) -> pa.RecordBatch:
@@ -116,8 +118,7 @@ def _packs(docs: DataFrame, block_bytes: int) -> DataFrame:
         row = {
             "doc_ids": both.tobytes(), "flags": marks.tobytes(), "lengths": lengths.tobytes(), "keys": _squeeze(keys), "tokens": _squeeze(tokens.astype(np.uint32)),
         }
-        name = xxhash.xxh64(b"".join(row.values()), seed=block & 0xFFFFFFFF)
-        row |= {"block": name.intdigest() - (1 << 63), "deleted": flags[0] == DELETED}
+        row |= {"block": block, "deleted": flags[0] == DELETED}
         return pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "flags", "lengths", "keys", "tokens")), ("deleted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,10 @@ class Counted(Block):
             counts = np.concatenate([_expand(a["rest"], np.uint32) for a in own]).astype(np.int64)
             if not deleted:
                 counts += np.concatenate([_expand(a["cut"], np.uint32) for a in own])
-            totals.append(counts[self.distinct(n)[1]])
+            keys, place = self.distinct(n)
+            if len(counts) != len(keys) or len({a["part"] for a in own}) != len(own):
+                raise RuntimeError(f"block {row['block']} has {len(keys)} keys of order {n + 1} and answers to {len(counts)}")
+            totals.append(counts[place])
         self.counts = totals
         first = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         ends = totals[0][-1] if len(totals[0]) else 0  # the last token is an end: its count is that of texts

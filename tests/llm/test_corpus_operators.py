@@ -253,6 +253,30 @@ def test_interpolated_scores_equal_brute_force(spark, order):
     assert max(abs(got[i].score - w) / got[i].n_tokens for i, w in want.items()) < 0.03  # bins are a quarter of a doubling
 
 
+def test_interpolation_of_a_table_that_stands_twice(spark):
+    rng = random.Random(32)
+    rows = [(i, " ".join(rng.choice(["the", "data", "model", "river", "of", "stone"]) + str(rng.randrange(9)) for _ in range(rng.randint(1, 30)))) for i in range(120)]
+    docs = documents(spark, rows).coalesce(1)
+    doubled = [row for row in rows for _ in range(2)]
+    tokens = [(i, words(t) + [None]) for i, t in doubled]
+    c = Counter(w for i, ts in tokens if zlib.crc32(str(i).encode()) % 5 != 1 for w in ts)
+    n, v = sum(c.values()), len(c)
+    base = Counter((i, sum(c[w] > 0 for w in ts), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), 6)) for i, ts in tokens)
+    got = interpolation_lm.score_texts(docs.union(docs), order=3, block_bytes=900, keys_a_partition=60).collect()
+    assert Counter((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == base
+    want = dict(zip([i for i, _ in doubled], plain_interpolation(doubled, 3)))
+    assert max(abs(r.score - want[r.doc_id]) / r.n_tokens for r in got) < 0.03
+
+
+def test_answers_that_do_not_fit_a_block_are_an_error(spark):
+    docs = documents(spark, [(i, f"some words {i}") for i in range(9)])
+    packs = interpolation_lm._packs(docs, 1 << 20)
+    answers, _ = interpolation_lm.counts(docs, packs, 2, 4)
+    row = interpolation_lm.answered(packs, answers.union(answers)).first().asDict(recursive=True)
+    with pytest.raises(RuntimeError, match="keys of order"):
+        interpolation_lm.Counted(row, 2, deleted=False)
+
+
 def test_interpolation_is_a_distribution():
     rng = np.random.default_rng(1)
     weights = interpolation_lm.learn_weights(__import__("pandas").DataFrame({"bucket": [24, 24, 0], "b0": rng.integers(1, 40, 3), "b1": [0, 9, 0], "n": [10, 5, 3]}), 2)
