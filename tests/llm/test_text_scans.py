@@ -50,6 +50,38 @@ def test_sensitive_words_within_and_after_a_run():
     assert found(f"name={value}") == []
 
 
+PROSE = "the quick survey of rivers and stones was read by many people before the committee met again in autumn " * 4
+ALPHABETS = ["0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+@pytest.mark.parametrize("size", [20, 31])
+def test_random_strings_of_each_alphabet_are_found(alphabet, size):
+    import random
+
+    rng, found = random.Random(size), 0
+    for _ in range(200):
+        value = "".join(rng.choice(alphabet) for _ in range(size))
+        at = rng.randrange(len(PROSE))
+        text = f"{PROSE[:at]} the session {value} {PROSE[at:]}"
+        found += any(k == "novel" and text[a:b] == value for a, b, k in secret_scan.scan_text(text)[1])
+    assert found >= 180
+
+
+def test_identifiers_of_the_documents_are_no_secrets(spark):
+    import random
+
+    rng = random.Random(6)
+    stems = ["".join(rng.choice(["ka", "ro", "min", "te", "sol", "var", "qui", "pel"]) for _ in range(4)) for _ in range(150)]
+    names = ["_".join(rng.sample(stems, 3)) for _ in range(300)]
+    rows = [(i, f"the session of {n} is {n} and {' '.join(rng.sample(stems, 20))}") for i, n in enumerate(names)] + [(900, "the session zQ8fK2pL9vX4mN7rT1wY6sB3 end"), (None, None)]
+    identifiers = secret_scan.corpus_identifiers(documents(spark, rows))
+    assert set(stems) <= set(identifiers.split()) and len(identifiers) <= secret_scan.DICTIONARY_BYTES
+    got = {r.doc_id: r.n_novel for r in secret_scan.scan_secrets(documents(spark, rows)).collect()}
+    assert got[900] == 1 and sum(n > 0 for i, n in got.items() if i != 900) <= 30
+    assert secret_scan.corpus_identifiers(documents(spark, [])) == ""
+
+
 def test_a_secret_used_again_does_not_hide_itself():
     value = "zQ8fK2pL9vX4mN7rT1wY6sB3"
     for gap in (" ", " then " * 20, " then " * 65, " then " * 400):
