@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.arrays import with_prefix
-from scriptorium.functions.similarity import length_bound, letter_counts, letters_bound, sequence_ratio, token_set_ratio
-from scriptorium.functions.text import normalized_identifier, reference_text
+from scriptorium.functions.similarity import letter_counts, letters_bound, sequence_ratio
+from scriptorium.functions.text import normalized_identifier
+from scriptorium.operators.references import reference_matches  # noqa: F401  it has a module of its own
+
 
 def identifier_matches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """``(key, match)``: for each incoming record the smallest existing id that shares an identifier.
@@ -46,42 +48,6 @@ def tag_neighbours(probes: DataFrame, candidates: DataFrame, k: int = 20) -> Dat
     return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("key", "neighbour", "shared", "year", "rank")
 
 
-def reference_matches(references: DataFrame, candidates: DataFrame, threshold: float = 0.80, k: int = 5) -> DataFrame:
-    """``(ref_id, candidate, score, rank)`` of the best candidates at the threshold.
-
-    ``references`` has ``ref_id`` and ``text``; ``candidates`` has ``key``, ``text`` and ``pos``
-    (arrival order, which decides ties). Candidates come from an equi join on tokens, and
-    upper bounds from token lengths go before the matcher. Texts without any token score 1
-    against everything, as the token-set ratio has it; only the first k candidates can count
-    then, so these pairs are few. Pairs of texts that share no token are not looked at: only
-    letters could make them alike, and no equi join on letters finds few such pairs.
-    """
-    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
-    prepared = lambda df, key, name, *more: df.select(F.col(key).alias(name), *more, words(reference_text(F.col("text"))).alias(f"{name}_words"))
-    chars = lambda c: F.length(F.array_join(c, " "))
-    letters = lambda name: letter_counts(F.array_join(name, " "))
-    refs = prepared(references, "ref_id", "ref_id").withColumn("ref_chars", chars(F.col("ref_id_words"))).withColumn("ref_letters", letters("ref_id_words"))
-    cands = prepared(candidates, "key", "candidate", "pos").withColumn("cand_chars", chars(F.col("candidate_words"))).withColumn("cand_letters", letters("candidate_words"))
-    left = refs.select("ref_id", "ref_chars", F.explode("ref_id_words").alias("token"))
-    right = cands.select("candidate", "cand_chars", F.explode("candidate_words").alias("token"))
-    common = left.join(right, "token").groupBy("ref_id", "candidate", "ref_chars", "cand_chars").agg((F.sum(F.length("token")) + F.count("*") - 1).alias("chars"))
-    side = F.least("ref_chars", "cand_chars")
-    by_tokens, by_length = length_bound(F.col("chars"), side) >= threshold, length_bound(F.col("ref_chars"), F.col("cand_chars")) >= threshold
-    likely = common.where(by_tokens | by_length).select("ref_id", "candidate", by_tokens.alias("by_tokens"))
-    scored = likely.join(refs, "ref_id").join(cands, "candidate")
-    scored = scored.where(F.col("by_tokens") | (letters_bound(F.col("ref_letters"), F.col("cand_letters"), F.col("ref_chars"), F.col("cand_chars")) >= threshold))
-    joined = lambda name: F.array_join(name, " ")
-    scored = scored.withColumn("score", token_set_ratio(joined("ref_id_words"), joined("candidate_words"))).where(F.col("score") >= threshold)
-    scored = scored.select("ref_id", "candidate", "pos", "score")
-    one = F.lit(1).alias("_one")
-    empty = cands.where("cand_chars = 0").orderBy("pos").limit(k).select("candidate", "pos", one)
-    first = cands.orderBy("pos").limit(k).select("candidate", "pos", one)
-    for few, asked in ((empty, refs.where("ref_chars > 0")), (first, refs.where("ref_chars = 0"))):
-        scored = scored.union(asked.select("ref_id", one).join(F.broadcast(few), "_one").select("ref_id", "candidate", "pos", F.lit(1.0).alias("score")))
-    order = W.partitionBy("ref_id").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("ref_id", "candidate", "score", "rank")
-
-
 def near_duplicate_keys(keys: DataFrame, threshold: float = 0.92, same_tail: float = 0.80) -> DataFrame:
     """``(a, b, similarity)`` with a < b: ratio at the threshold, or at ``same_tail`` with equal last words.
 
