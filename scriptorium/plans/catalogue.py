@@ -7,43 +7,20 @@ documents are page texts. Every query reads whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arrays, bibtex, dates, html, text
 from scriptorium.functions.folding import ascii_fold
 from scriptorium.operators import backlinks, export, links, lint, matching, merging, venues
+from scriptorium.plans import changes, searches  # noqa: F401  they register queries of their own
+from scriptorium.plans.registry import ORACLE_SQL, QUERIES, _s, _t, query  # noqa: F401
 from scriptorium.sources import corpus, records, sinks
 from scriptorium.streaming import waves
 
 FLAGSHIP = "tag_neighbors_topk"
 TODAY = "2026-01-01"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a function under its own name, with its SQL if there is any."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _s(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
 
 # Ranking and neighbours ------------------------------------------------------------------
 

@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.arrays import text_list
-
 HEADER = r"(?s)^---\s*\n(.*?)\n?---\s*\n?(.*)$"
 
 #: Folders whose pages can take backlinks, in scan order (fixed values).
@@ -99,21 +97,41 @@ def field(name: str) -> Column:
     return F.get_json_object("header", f"$['{name}']")
 
 
+def with_variant(pages: DataFrame) -> DataFrame:
+    """Pages with their header as ``_v``, a variant that is parsed once and read field by field."""
+    return pages.withColumn("_v", F.try_parse_json("header"))
+
+
+def typed(name: str, kind: str = "string") -> Column:
+    """A value of ``_v``; null where it is missing or of no such type. As text, lists and mappings are JSON."""
+    return F.try_variant_get("_v", f"$['{name}']", kind)
+
+
+def typed_list(name: str) -> Column:
+    """A list of texts; a single value is a list of one, a blank or missing one is empty."""
+    one, none = F.trim(typed(name)), F.array().cast("array<string>")
+    return F.coalesce(typed(name, "array<string>"), F.when(one.isNotNull() & (one != "") & (one != "null"), F.array(one)), none)
+
+
 def page_columns(pages: DataFrame) -> DataFrame:
-    """Typed columns of the header, as :mod:`scriptorium.operators.lint` reads them."""
-    authors = F.from_json(field("authors"), "array<string>")
-    names = F.transform(authors, lambda a: F.coalesce(F.get_json_object(a, "$.name"), a))
-    present = F.filter(F.json_object_keys("header"), lambda k: F.lit(True))
-    values = F.from_json("header", "map<string,string>")
-    return pages.select(
-        "path", "stem", "body", field("type").alias("type"), field("status").alias("status"), field("title").alias("title"), field("created").alias("created"), field("updated").alias("updated"),
-        field("year").alias("year"), names.alias("authors"), text_list(field("tags")).alias("tags"), text_list(field("aliases")).alias("aliases"), text_list(field("cites")).alias("cites"),
-        text_list(field("sources")).alias("sources"), text_list(field("papers")).alias("papers"), field("bib-file").alias("bib_file"), field("paper-id").alias("paper_id"), field("venue").alias("venue"),
-        field("venue-type").alias("venue_type"), field("name").alias("name"), field("slug").alias("slug"), F.from_json(field("identifiers"), "map<string,string>").alias("identifiers"),
-        F.get_json_object("header", "$.identifiers['arxiv-version']").alias("arxiv_version"), F.filter(present, lambda k: F.try_element_at(values, k).isNotNull()).alias("keys"),
+    """Typed columns of the header, as :mod:`scriptorium.operators.lint` reads them; ``keys`` are those with a value."""
+    names = F.transform(typed("authors", "array<variant>"), lambda a: F.coalesce(F.try_variant_get(a, "$.name", "string"), F.try_variant_get(a, "$", "string")))
+    values = F.try_variant_get("_v", "$", "map<string,string>")
+    present = F.filter(F.json_object_keys("header"), lambda k: F.try_element_at(values, k).isNotNull())
+    return with_variant(pages).select(
+        "path", "stem", "body", typed("type").alias("type"), typed("status").alias("status"), typed("title").alias("title"), typed("created").alias("created"), typed("updated").alias("updated"),
+        typed("year").alias("year"), names.alias("authors"), typed_list("tags").alias("tags"), typed_list("aliases").alias("aliases"), typed_list("cites").alias("cites"),
+        typed_list("sources").alias("sources"), typed_list("papers").alias("papers"), typed("bib-file").alias("bib_file"), typed("paper-id").alias("paper_id"), typed("venue").alias("venue"),
+        typed("venue-type").alias("venue_type"), typed("name").alias("name"), typed("slug").alias("slug"), typed("identifiers", "map<string,string>").alias("identifiers"),
+        F.try_variant_get("_v", "$.identifiers['arxiv-version']", "string").alias("arxiv_version"), present.alias("keys"),
     )
 
 
+def header_schema(pages: DataFrame) -> str | None:
+    """One schema that all headers fit, as the variant's type text; None without any header."""
+    return with_variant(pages).where("_v IS NOT NULL").agg(F.schema_of_variant_agg("_v")).first()[0]
+
+
 def citation_candidates(pages: DataFrame) -> DataFrame:
     """``(key, text, pos)`` of papers: title, first author and year in one text."""
     own = page_columns(pages).where("type = 'paper'")
