@@ -42,7 +42,7 @@ from scriptorium.llm.runtime import cut_lineage, release_memory, text_bytes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-LEAST_WORDS = 10
+LEAST_WORDS = SHINGLE_WORDS  # of a paragraph
 BANDS = 8
 ROWS = 2
 REACH = 24  # words beyond a run that another sampled run may not cover: PASSAGE_WINDOW - 1
