@@ -76,14 +76,16 @@ class Chunk:
         keep = end - begin >= LEAST_WORDS
         self.begin, self.end = begin[keep], end[keep]
 
-    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each paragraph, its band keys)."""
-        if not len(self.begin):
-            return np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
+    def paragraphs(self, least: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each paragraph, band keys of those of ``least`` words and more)."""
         units = sum_hashes(self.words, self.begin, self.end)
-        sizes = self.end - self.begin - SHINGLE_WORDS + 1
+        long = self.end - self.begin >= least
+        if not long.any():
+            return units, np.zeros((0, BANDS), np.uint64)
+        begin = self.begin[long]
+        sizes = self.end[long] - begin - SHINGLE_WORDS + 1
         offsets = np.cumsum(sizes) - sizes
-        at = np.repeat(self.begin - offsets, sizes) + np.arange(int(sizes.sum()))
+        at = np.repeat(begin - offsets, sizes) + np.arange(int(sizes.sum()))
         return units, band_keys(run_hashes(self.words, at, SHINGLE_WORDS), offsets)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +94,14 @@ class Chunk:
         return at, run_hashes(self.words, at, PASSAGE_WORDS)
 
 
+def least_banded(similarity: float) -> int:
+    """Words of the shortest paragraph that can be similar to another one without being equal.
+
+    Sets of k and k + 1 shingles have a similarity of k / (k + 1) at most: shorter paragraphs need no bands.
+    """
+    return max(1, math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 31) + SHINGLE_WORDS - 1
+
+
 def run_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Hash of the run of ``width`` word hashes at each place."""
     return mix(span_hashes(words, at, at + width) + np.uint64(width)) if len(at) else np.zeros(0, np.uint64)
@@ -149,7 +159,7 @@ _PACK = pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids"
 _PACK_DDL = "block long, doc_ids binary, rows binary, n_words binary, n_lines binary, owner binary, start binary, size binary, keys binary, bands binary, vocabulary binary, words binary"
 
 
-def _packs(docs: DataFrame) -> DataFrame:
+def _packs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Blocks of documents: per unit its document, first word, words and hash; paragraphs first."""
 
     def pack(rows: list[tuple[int | None, int]], parts: list[tuple]) -> pa.RecordBatch:
@@ -179,7 +189,7 @@ def _packs(docs: DataFrame) -> DataFrame:
         def hash_texts() -> None:
             nonlocal texts, done
             chunk = Chunk(texts)
-            units, bands = chunk.paragraphs()
+            units, bands = chunk.paragraphs(least_banded(similarity))
             at, keys = chunk.runs()
             line_doc, run_doc = chunk.doc[chunk.begin], chunk.doc[at]
             line = (line_doc + done, chunk.begin - chunk.first[line_doc], chunk.end - chunk.begin, units, bands)
@@ -432,8 +442,8 @@ def _extended_spans(found: DataFrame, partitions: int) -> DataFrame:
     return whole.drop("open_keys", "first_keys").join(longest, "block", "left").mapInArrow(extend, kinds)
 
 
-def _lines(packs: DataFrame) -> DataFrame:
-    """A row for each paragraph: its hash, place and band keys."""
+def _lines(packs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each paragraph: its hash, place and band keys (none of those too short to need them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +452,8 @@ def _lines(packs: DataFrame) -> DataFrame:
                 n, owner = pack.lines, pack.owner[: pack.lines]
                 ids = pack.doc_ids[owner]
                 bands = pa.array(_expand(row["bands"], np.uint64).view(np.int64))
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), bands)
+                offsets = np.concatenate(([0], np.cumsum(BANDS * (pack.size[:n] >= least_banded(similarity)))))
+                keys = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), bands)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pack.keys[:n].view(np.int64)), pa.array(ids, mask=ids == _NO_ID), pa.array(pack.rows[owner]), pa.array(pack.start[:n].astype(np.int32)), pa.array((pack.start[:n] + pack.size[:n]).astype(np.int32)), keys], ["unit", "doc_id", "row", "start", "end", "keys"]
                 )
@@ -485,8 +496,8 @@ def _paragraph_links(docs: DataFrame, packs: DataFrame, similarity: float, bucke
     A bucket of over ``bucket_rows`` paragraphs is cut into blocks by hash, and each pair of
     blocks is compared by itself, so no task holds a whole bucket and no link is lost.
     """
-    lines = _lines(packs)
-    distinct = lines.groupBy("unit").agg(F.min(F.struct("row", "start", "end")).alias("at"), F.first("keys").alias("keys"))
+    lines = _lines(packs, similarity)
+    distinct = lines.where(F.size("keys") > 0).groupBy("unit").agg(F.min(F.struct("row", "start", "end")).alias("at"), F.first("keys").alias("keys"))
     banded = distinct.select("unit", F.explode("keys").alias("key"))
     several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hits = cut_lineage(banded.join(several, "key"))
@@ -532,12 +543,12 @@ def _ends(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
 
-def _fuzzy_spans(packs: DataFrame, parts: DataFrame) -> DataFrame:
+def _fuzzy_spans(packs: DataFrame, parts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row, paragraphs of clusters of different paragraphs, and whether an earlier one keeps them.
 
     A component's places are dealt over ``SALTS`` keys, to each of which its first place is sent.
     """
-    lines = _lines(packs).drop("keys")
+    lines = _lines(packs, similarity).drop("keys")
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     place = F.struct("doc_id", "row", "start")
@@ -559,10 +570,10 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, bucket_ro
     """
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
     partitions = max(1, math.ceil(size / BYTES_A_KEY / KEYS_A_PARTITION))
-    packs = cut_lineage(_packs(docs))
+    packs = cut_lineage(_packs(docs, similarity))
     exact = _extended_spans(cut_lineage(_found_blocks(packs, _answers(packs, partitions))), partitions)
     parts = connected_components(_paragraph_links(docs, packs, similarity, bucket_rows), "a", "b")
-    joined = exact.join(_fuzzy_spans(packs, parts), "row", "left")
+    joined = exact.join(_fuzzy_spans(packs, parts, similarity), "row", "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

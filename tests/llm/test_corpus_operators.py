@@ -369,6 +369,24 @@ def test_paragraph_recall_against_brute_force(spark):
     assert len(pairs) > 150 and len(pairs & found) >= 0.99 * len(pairs)
 
 
+def test_short_lines_equal_brute_force(spark):
+    assert paragraph_minhash.least_banded(0.8) == 8 and paragraph_minhash.least_banded(0.5) == 5 and paragraph_minhash.least_banded(0.9) == 13
+    rng = random.Random(23)
+    line = lambda n: [f"s{rng.randrange(9000)}" for _ in range(n)]
+    lines = []
+    for n in range(4, 13):
+        for _ in range(14):
+            own = line(n)
+            lines += [own, rng.choice([own, own[:-1], own[1:], [*own[:-1], "x"], [*own, "y"]])]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join([" ".join(line(14)), " ".join(w), " ".join(line(13))])) for i, w in enumerate(lines)]
+    near = {a for a in range(len(lines)) for b in range(len(lines)) if a != b and min(len(lines[a]), len(lines[b])) >= 5 and plain_similarity(" ".join(lines[a]), " ".join(lines[b])) >= 0.8}
+    short = {a for a in near if len(lines[a]) < 10}
+    got = {r.doc_id: r.repeated for r in paragraph_minhash.repeated_passages(documents(spark, rows)).collect()}
+    assert {i for i, s in got.items() if s} == near and all(got[i] == f"14:{14 + len(lines[i])}" for i in near)
+    assert len(short) > 20 and {len(lines[a]) for a in short} >= {5, 6, 7, 8, 9}
+
+
 def test_regular_words_and_paragraphs_have_their_own_hash():
     turn = str.maketrans("ab", "ba")
     a, b = "a", "b"
