@@ -1,19 +1,22 @@
 """Personal data by a character BiLSTM with CRF transitions, trained in numpy.
 
 Base patterns find e-mail addresses, IP addresses, payment cards and international phone
-numbers. The tagger adds spans that these miss (national phone numbers, spaced or bracketed
-forms). It reads characters by class in overlapping windows; each window is decoded by
+numbers. The tagger adds spans that these miss: national phone numbers, IPv6 addresses, addresses with
+blanks about the at-sign, cards with other marks between their digits. It reads characters by class in overlapping windows; each window is decoded by
 Viterbi over learned transitions, and windows are reconciled globally: a character takes the
 tag of the window in which it stands most central, and spans are read off the joined tags.
 
-Labelled spans come from a seeded generator (:func:`labelled_windows`), so training is
-bounded, needs no labels in the corpus and gives the same model everywhere. Every kind has a
+Labelled spans come from a seeded generator (:class:`Generator`), so training is
+bounded, needs no labels in the corpus and gives the same model everywhere. The weights that the
+training gives are kept beside this module (:func:`store`), with the parameters that made them. Every kind has a
 digit or an at-sign in it: windows without either can hold no span and are passed over.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,10 +32,10 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW = 96
 STRIDE = 48
-HIDDEN = 20
+HIDDEN = 24
 DIMS = 12
-TRAIN_WINDOWS = 2400
-TRAIN_ROUNDS = 6
+TRAIN_WINDOWS = 6000
+TRAIN_ROUNDS = 9
 BATCH = 64
 DECODE_WINDOWS = 512  # decoded at once
 LEAST_LENGTH = {"email": 6, "ip": 7, "card": 12, "phone": 9}
@@ -119,72 +122,130 @@ def classes_of(text: str) -> np.ndarray:
 # Labelled spans ----------------------------------------------------------------------
 
 
-def labelled_windows(n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Generated windows with character tags: spans of all kinds and look-alikes that are none."""
-    rng = np.random.default_rng(seed)
-    letters = np.array(list("etaoinshrdlucmfwypvbgkqjxz"))
-    odds = np.arange(len(letters), 0, -1.0)
-    odds /= odds.sum()
+class Generator:
+    """Seeded texts with labelled spans, and look-alikes that are none."""
+
+    def __init__(self, seed: int) -> None:
+        self.rng = np.random.default_rng(seed)
+        self.letters = np.array(list("etaoinshrdlucmfwypvbgkqjxz"))
+        odds = np.arange(len(self.letters), 0, -1.0)
+        self.odds = odds / odds.sum()
 
-    def pick(*options: str) -> str:
-        return options[rng.integers(len(options))]
+    def pick(self, *options: str) -> str:
+        return options[self.rng.integers(len(options))]
 
-    def digits(k: int, first: str = "") -> str:
-        return first + "".join(map(str, rng.integers(0, 10, k - len(first))))
+    def digits(self, k: int, first: str = "") -> str:
+        return first + "".join(map(str, self.rng.integers(0, 10, max(0, k - len(first)))))
 
-    def word(low: int = 1, high: int = 11) -> str:
-        return "".join(rng.choice(letters, rng.integers(low, high), p=odds))
+    def word(self, low: int = 1, high: int = 11) -> str:
+        return "".join(self.rng.choice(self.letters, self.rng.integers(low, high), p=self.odds))
 
-    def spaced(text: str, groups: tuple[int, ...], mark: str) -> str:
+    def grouped(self, number: str, groups: tuple[int, ...], mark: str) -> str:
         parts, at = [], 0
         for g in groups:
-            parts.append(text[at : at + g])
+            parts.append(number[at : at + g])
             at += g
-        return mark.join(parts)
-
-    def make(kind: str) -> str:
-        if kind == "email":
-            name = pick(word(2, 9), word(2, 7) + "." + word(2, 8), word(2, 8) + "." + digits(2), word(2, 6) + "_" + digits(3), word(2, 6) + "+" + word(2, 5))
-            return name + "@" + pick(word(3, 9), "mail" + digits(1), word(2, 6) + "-" + word(2, 6)) + pick("", ".example") + pick(".com", ".org", ".net", ".de", ".fr", ".co.uk")
-        if kind == "ip":
-            return ".".join(str(x) for x in rng.integers(0, 256, 4))
-        if kind == "card":
-            number = digits(15, pick("4", "5", "37", "6011"))
-            number += next(c for c in "0123456789" if luhn(number + c))
-            return pick(number, spaced(number, (4, 4, 4, 4), " "), spaced(number, (4, 4, 4, 4), "-"))
-        area, mid, last = digits(3, pick(*"23456789")), digits(3), digits(4)
-        return pick(f"+{rng.integers(1, 99)} ({area}) {mid}-{last}", f"+{rng.integers(1, 99)} {area} {mid} {last}", f"({area}) {mid}-{last}", f"{area}-{mid}-{last}", f"+{rng.integers(1, 99)}{area}{mid}{last}", f"{area}.{mid}.{last}")
-
-    def decoy() -> str:
-        return pick(
+        return mark.join(p for p in (*parts, number[at:]) if p)
+
+    def email(self) -> str:
+        name = self.pick(self.word(2, 9), self.word(2, 7) + "." + self.word(2, 8), self.word(2, 8) + "." + self.digits(2), self.word(2, 6) + "_" + self.digits(3), self.word(2, 6) + "+" + self.word(2, 5))
+        host = self.pick(self.word(3, 9), "mail" + self.digits(1), self.word(2, 6) + "-" + self.word(2, 6)) + self.pick("", ".example") + self.pick(".com", ".org", ".net", ".de", ".fr", ".co.uk")
+        return name + self.pick("@", "@", "@", " @ ") + host
+
+    def ip(self) -> str:
+        if self.rng.random() < 0.5:
+            return ".".join(str(x) for x in self.rng.integers(0, 256, 4))
+        group = lambda: f"{self.rng.integers(0, 65536):{self.pick('x', 'x', '04x')}}"
+        head = self.pick("2001", "2001", "fe80", "fd00", "2a02", group())
+        groups = lambda low, high: ":".join(group() for _ in range(int(self.rng.integers(low, high))))
+        return self.pick(f"{head}:{groups(7, 8)}", f"{head}:{groups(1, 3)}::{groups(1, 4)}", f"{head}::{groups(1, 5)}", f"{head}:{groups(1, 4)}::{groups(1, 3)}")
+
+    def card(self) -> str:
+        number = self.digits(15, self.pick("4", "5", "37", "6011"))
+        number += next(c for c in "0123456789" if luhn(number + c))
+        return self.pick(number, *(self.grouped(number, (4, 4, 4, 4), mark) for mark in (" ", "-", " ", "-", ".", "  ", " - ", "/")))
+
+    def phone(self) -> str:
+        area, mid, last = self.digits(3, self.pick(*"23456789")), self.digits(3), self.digits(4)
+        country, city, own = str(self.rng.integers(1, 99)), self.digits(int(self.rng.integers(3, 6)), "0"), self.digits(int(self.rng.integers(6, 9)))
+        pairs = [self.digits(2) for _ in range(4)]
+        return self.pick(
+            f"+{country} ({area}) {mid}-{last}", f"+{country} {area} {mid} {last}", f"+{country}{area}{mid}{last}", f"({area}) {mid}-{last}", f"({area}) {mid} {last}", f"{area}-{mid}-{last}", f"{area}-{mid}-{last}", f"{area}.{mid}.{last}", f"{area} {mid} {last}", f"{area} {mid} {last}",
+            f"1-{area}-{mid}-{last}", f"({city}) {own}", f"{city} {own}", f"{city}/{own}", f"{city}-{own}", f"00{country} {area} {own}", f"{city} {own[:3]} {own[3:]}", " ".join(["0" + self.digits(1), *pairs]), "-".join([self.digits(2), *pairs]), ".".join(["0" + self.digits(1), *pairs]),
+        )
+
+    def label(self, kind: str) -> str:
+        """What may stand before a span of a kind."""
+        names = {"phone": ("tel", "Tel.", "phone", "call", "mobile", "fax", "ph", "Telefon", "contact"), "email": ("mail", "e-mail", "write to", "contact"), "ip": ("host", "ip", "from", "server", "addr"), "card": ("card", "visa", "card no.", "paid with")}
+        return self.pick(*names[kind]) + self.pick(" ", ": ", " ", " = ", ":")
+
+    def decoy(self) -> str:
+        digits, rng, word = self.digits, self.rng, self.word
+        return self.pick(
             digits(int(rng.integers(1, 9))), f"{rng.integers(1, 13)}/{rng.integers(1, 29)}/{rng.integers(1990, 2030)}", f"{rng.integers(1990, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}",
             f"{digits(2)}.{digits(2)}", f"${digits(3)},{digits(3)}", "@" + word(3, 9), word(2, 5) + digits(3), "".join(rng.choice(list("0123456789abcdef"), 40)), f"{digits(2)}:{digits(2)}:{digits(2)}", f"({rng.integers(1, 99)})", f"# {digits(4)}", f"{digits(3)}%",
             "https://" + word(3, 8) + ".com/" + digits(5), f"{digits(1)}, {digits(2)}, {digits(3)}", f"ISBN {digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
+            f"{digits(3)} {digits(2)}", f"{rng.integers(1990, 2030)} {rng.integers(1990, 2030)}", f"{digits(1)},{digits(3)},{digits(3)}", f"{digits(2)}-{digits(2)}", f"{digits(4)}-{digits(4)}", f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.{rng.integers(1990, 2030)}", ":".join("".join(rng.choice(list("0123456789abcdef"), 2)) for _ in range(6)),
+            f"{rng.integers(1990, 2030)}-{digits(2)}-{digits(2)} {digits(2)}:{digits(2)}:{digits(2)}", f"v{digits(1)}.{digits(2)}.{digits(3)}", f"{digits(3)} of {digits(4)}", f"pp. {digits(3)}-{digits(3)}", digits(int(rng.integers(9, 25))), f"{word(2, 5)}@{digits(2)}", f"{digits(2)} {digits(1)} {digits(2)} {digits(1)}",
         )
 
-    x = np.zeros((n, WINDOW), np.int64)
-    y = np.zeros((n, WINDOW), np.int64)
-    for row in range(n):
-        text, tags = "", []
-        while len(text) < WINDOW + 40:
-            part, kind = (make(k := pick(*KINDS)), k) if rng.random() < 0.16 else (decoy(), None) if rng.random() < 0.14 else (word(), None)
-            if kind is None and rng.random() < 0.1:
-                part = part.upper() if rng.random() < 0.4 else part.capitalize()
-            if kind is None and rng.random() < 0.06:
-                part = part[: len(part) // 2] + pick("é", "ü", "ñ", "ß") + part[len(part) // 2 :]
+    def text(self, least: int) -> tuple[str, list[int]]:
+        """Words, spans and look-alikes of at least so many characters, with a tag a character."""
+        rng, text, tags = self.rng, "", []
+        while len(text) < least:
+            kind = self.pick(*KINDS, "phone") if rng.random() < 0.16 else None
+            if kind:
+                if rng.random() < 0.4:
+                    before = self.label(kind)
+                    text, tags = text + before, tags + [0] * len(before)
+                part = getattr(self, kind)()
+            else:
+                part = self.decoy() if rng.random() < 0.17 else self.word()
+                if rng.random() < 0.1:
+                    part = part.upper() if rng.random() < 0.4 else part.capitalize()
+                if rng.random() < 0.06:
+                    part = part[: len(part) // 2] + self.pick("é", "ü", "ñ", "ß") + part[len(part) // 2 :]
             text += part
-            tags += [0] * len(part) if kind is None else [1 + 2 * KINDS.index(kind)] + [2 + 2 * KINDS.index(kind)] * (len(part) - 1)
-            gap = pick(" ", " ", " ", " ", " ", ", ", ". ", "\n", "### ", "&&& ", " | ", ": ", "; ")
+            tags += [1 + 2 * KINDS.index(kind)] + [2 + 2 * KINDS.index(kind)] * (len(part) - 1) if kind else [0] * len(part)
+            gap = self.pick(" ", " ", " ", " ", " ", ", ", ". ", "\n", "### ", "&&& ", " | ", ": ", "; ")
             text += gap
             tags += [0] * len(gap)
-        cut = int(rng.integers(0, len(text) - WINDOW + 1))
-        while cut and tags[cut] and tags[cut] % 2 == 0:  # a window begins outside or at a span's start
-            cut -= 1
-        x[row] = classes_of(text[cut : cut + WINDOW])
-        y[row] = tags[cut : cut + WINDOW]
+        return text, tags
+
+
+def labelled_windows(n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Generated windows with character tags; a third of them are whole short texts, as short documents give them."""
+    made = Generator(seed)
+    x = np.zeros((n, WINDOW), np.int64)
+    y = np.zeros((n, WINDOW), np.int64)
+    for row in range(n):
+        if made.rng.random() < 0.33:
+            text, tags = made.text(int(made.rng.integers(1, WINDOW)))
+            if made.rng.random() < 0.5:
+                text, tags = text.rstrip(), tags[: len(text.rstrip())]
+            cut = 0
+        else:
+            text, tags = made.text(WINDOW + 40)
+            cut = int(made.rng.integers(0, len(text) - WINDOW + 1))
+            while cut and tags[cut] and tags[cut] % 2 == 0:  # a window begins outside or at a span's start
+                cut -= 1
+        own = classes_of(text[cut : cut + WINDOW])
+        x[row, : len(own)] = own
+        y[row, : len(own)] = tags[cut : cut + WINDOW]
     return x, y
 
 
+def labelled_texts(n: int, seed: int, least: int = 30) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Generated texts with their spans, to measure the tagger on."""
+    made, out = Generator(seed), []
+    for _ in range(n):
+        text, tags = made.text(int(made.rng.integers(least, 4 * WINDOW)))
+        starts = [i for i, t in enumerate(tags) if t % 2 == 1]
+        ends = [next((j for j in range(i + 1, len(tags)) if tags[j] != tags[i] + 1), len(tags)) for i in starts]
+        out.append((text, [(i, j, KINDS[(tags[i] - 1) // 2]) for i, j in zip(starts, ends)]))
+    return out
+
+
 # Network -----------------------------------------------------------------------------
 
 
@@ -333,14 +394,33 @@ class Tagger:
         return path
 
 
-@lru_cache(maxsize=4)
-def trained(windows: int = TRAIN_WINDOWS, rounds: int = TRAIN_ROUNDS) -> Tagger:
-    """The tagger, trained once in a process; the same seeds give the same weights."""
+STORED = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
+
+
+def fitted(windows: int = TRAIN_WINDOWS, rounds: int = TRAIN_ROUNDS) -> Tagger:
+    """A tagger trained from its seeds; the same seeds give the same weights (to rounding)."""
     tagger = Tagger()
     tagger.fit(*labelled_windows(windows), rounds=rounds)
     return tagger
 
 
+def store(tagger: Tagger, path: str = STORED) -> None:
+    """Keep the weights of :func:`fitted` with its parameters, so that scans need not train."""
+    np.savez_compressed(path, made_of=np.array([TRAIN_WINDOWS, TRAIN_ROUNDS, HIDDEN, DIMS, CLASSES]), **tagger.w)
+
+
+@lru_cache(maxsize=4)
+def trained(windows: int = TRAIN_WINDOWS, rounds: int = TRAIN_ROUNDS) -> Tagger:
+    """The tagger: the stored weights where they were made with these parameters, else trained once in a process."""
+    if os.path.exists(STORED):
+        with np.load(STORED) as stored:
+            if stored["made_of"].tolist() == [windows, rounds, HIDDEN, DIMS, CLASSES]:
+                tagger = Tagger()
+                tagger.w = {name: stored[name] for name in tagger.w}
+                return tagger
+    return fitted(windows, rounds)
+
+
 # Scan --------------------------------------------------------------------------------
 
 
@@ -405,21 +485,31 @@ def tagged_spans(text: str, starts: list[int], paths: np.ndarray) -> list[tuple[
 def plausible(text: str, start: int, end: int, kind: str) -> bool:
     """A tagged span stands free and has its kind's make-up."""
     span = text[start:end]
-    digits = sum("0" <= c <= "9" for c in span)
+    digits = "".join(c for c in span if "0" <= c <= "9")
     if len(span) < LEAST_LENGTH[kind] or span[0].isspace() or span[-1].isspace():
         return False
     if (start and text[start - 1].isalnum() and span[0].isalnum()) or (end < len(text) and text[end].isalnum() and span[-1].isalnum()):
         return False
     if kind == "email":
-        return span.count("@") == 1 and "." in span.partition("@")[2]
+        name, _, host = span.partition("@")
+        return span.count("@") == 1 and not any(c.isspace() for c in name.rstrip(" ") + host.lstrip(" ")) and bool(_EMAIL.fullmatch(f"{name.rstrip(' ')}@{host.lstrip(' ')}"))
+    if kind == "ip" and ":" in span:
+        return _is_ipv6(span)
     if any(c.isalpha() for c in span):
         return False
     if kind == "ip":
         parts = span.split(".")
         return len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) < 4 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 12 <= digits <= 19 and luhn("".join(c for c in span if "0" <= c <= "9"))
-    return 9 <= digits <= 15 and not re.fullmatch(r"[0-9]+", span)
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and not span.isdecimal() and "\n" not in span
+
+
+def _is_ipv6(span: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(span).version == 6
+    except ValueError:
+        return False
 
 
 def scan_texts(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:

@@ -170,6 +170,35 @@ def test_tagger_adds_spans_and_keeps_base_ones(tagger):
     assert pii.scan_texts([clean], tagger)[0][1] == []
 
 
+def test_spans_that_the_base_misses(tagger):
+    hits = missed = wrong = 0
+    texts = pii.labelled_texts(400, 777)  # another seed than the training's
+    for (_, want), (base, spans) in zip(texts, pii.scan_texts([t for t, _ in texts], tagger)):
+        hard, added = set(want) - set(base), set(spans) - set(base)
+        hits, missed, wrong = hits + len(hard & added), missed + len(hard - added), wrong + len(added - hard)
+    assert hits > 500 and hits / (hits + missed) > 0.78 and hits / (hits + wrong) > 0.95
+
+
+@pytest.mark.parametrize("text", ["tel 415-555-0132 please", "555 123 4567", "12-34-56-78-90", "from fe80::1ff:fe23:4567:890a port"])
+def test_short_texts_and_national_numbers(tagger, text):
+    assert pii.base_spans(text) == [] and len(pii.scan_texts([text], tagger)[0][1]) == 1
+
+
+def test_the_stored_weights_are_those_of_the_training(tagger):
+    again = pii.fitted()
+    x, _ = pii.labelled_windows(200, seed=99)
+    assert {k: v.shape for k, v in again.w.items()} == {k: v.shape for k, v in tagger.w.items()}
+    assert (again.decode(x) == tagger.decode(x)).mean() > 0.98  # rounding differs with the machine's threads
+
+
+def test_plausible_spans_only():
+    fits = lambda s, kind: pii.plausible(s, 0, len(s), kind)
+    assert fits("bob @ mail.com", "email") and not fits("bob smith@mail.com", "email") and not fits("a@b@c.de", "email")
+    assert fits("2001:db8::1", "ip") and not fits("12:30:11", "ip") and not fits("1.2.3.256", "ip")
+    assert fits("4785.3805.9239.1139", "card") and not fits("4785.3805.9239.1138", "card")
+    assert fits("030/1234567", "phone") and not fits("0301234567", "phone") and not fits("030\n1234567", "phone")
+
+
 def test_windows_are_reconciled_over_long_texts(tagger):
     text = "word " * 300 + "mail me at jane.doe@mail.example.com or call (212) 555-0134 " + "word " * 300
     joined = [text[a:b] for a, b, _ in pii.scan_texts([text], tagger)[0][1]]
