@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import text_bytes
+from scriptorium.llm.runtime import release_memory, text_bytes
 
 WINDOW_WORDS = 13
 SLICE_BYTES = 4 << 20  # of benchmark text in a broadcast slice
@@ -280,6 +280,7 @@ def _scanner(docs: DataFrame, benchmark: DataFrame, text_at: int, done: Callable
                 rows.append(batch.slice(begun))
         if texts:
             yield from done(rows, scan_shard(texts, slices(), every))
+        release_memory()
 
     return run
 
