@@ -37,36 +37,75 @@ def _issues(rows: DataFrame, tag: str, detail: Column | str = "", line: Column |
     return rows.select(F.lit(tag).alias("tag"), (F.col("path") if path is None else path).alias("path"), (F.lit(None).cast("int") if line is None else line).alias("line"), text.cast("string").alias("detail"))
 
 
+_ENTRY = "array<struct<tag:string,line:int,detail:string>>"
+
+
+def _entries(condition: Column, tag: str, detail: Column | str = "") -> Column:
+    """An issue of a page where the condition holds, as a list of one or none."""
+    text = detail if isinstance(detail, Column) else F.lit(detail)
+    one = F.array(F.struct(F.lit(tag).alias("tag"), F.lit(None).cast("int").alias("line"), text.cast("string").alias("detail")))
+    return F.when(condition, one).otherwise(F.array().cast(_ENTRY))
+
+
+def _listed(pages: DataFrame, *rules: Column) -> DataFrame:
+    """``(tag, path, line, detail)`` of rules that look at one page at a time, all in one pass."""
+    return pages.select("path", F.explode(F.concat(*rules)).alias("x")).select("x.tag", "path", "x.line", "x.detail")
+
+
 def link_issues(resolved: DataFrame) -> DataFrame:
-    dead = _issues(resolved.where("kind = 'dead'"), "DEAD_LINK", F.col("target"), F.col("line"))
-    moved = _issues(resolved.where("kind = 'alias'"), "ALIAS_LINK", F.concat("target", F.lit(" -> "), "resolved"), F.col("line"))
-    return dead.union(moved)
+    found = resolved.where("kind <> 'page'")
+    dead = F.col("kind") == "dead"
+    return found.select(F.when(dead, "DEAD_LINK").otherwise("ALIAS_LINK").alias("tag"), "path", "line", F.when(dead, F.col("target")).otherwise(F.concat("target", F.lit(" -> "), "resolved")).alias("detail"))
 
 
-def missing_fields(pages: DataFrame) -> DataFrame:
+def _missing_fields() -> Column:
     need = F.create_map(*[x for k, v in REQUIRED.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
-    lacking = pages.select("path", F.explode(F.array_except(F.try_element_at(need, F.col("type")), F.col("keys"))).alias("key"))
-    return _issues(lacking, "MISSING_FIELD", F.col("key"))
+    lacking = F.array_except(F.try_element_at(need, F.col("type")), F.col("keys"))
+    return F.coalesce(F.transform(lacking, lambda k: F.struct(F.lit("MISSING_FIELD").alias("tag"), F.lit(None).cast("int").alias("line"), k.alias("detail"))), F.array().cast(_ENTRY))
+
+
+def _missing_field_tag() -> Column:
+    return _entries(F.col("type").isin(*FIELD_TAGGED) & ~any_with_prefix(F.col("tags"), "field/"), "MISSING_FIELD_TAG")
+
+
+def _stale(today: Column, stale_after: int, untouched_after: int) -> Column:
+    age = age_days(strict_date(F.col("updated")), today)
+    old = _entries((F.col("status") == "stale") & (age > stale_after), "STALE", F.concat(F.lit("status stale for "), age, F.lit(" days")))
+    return F.concat(old, _entries(F.col("type").isin("concept", "method") & (age > untouched_after), "STALE", F.concat(F.lit("untouched for "), age, F.lit(" days"))))
+
+
+def _missing_section() -> Column:
+    return _entries(F.col("type").isin("concept", "method") & (counter_argument_headings(F.col("body")) == 0), "MISSING_SECTION")
+
+
+def _contradictions() -> Column:
+    n = F.coalesce(contradiction_callouts(F.col("body")), F.lit(0))
+    return F.flatten(F.array_repeat(_entries(F.lit(True), "CONTRADICTION"), n))
+
+
+def missing_fields(pages: DataFrame) -> DataFrame:
+    return _listed(pages, _missing_fields())
 
 
 def missing_field_tags(pages: DataFrame) -> DataFrame:
-    return _issues(pages.where(F.col("type").isin(*FIELD_TAGGED) & ~any_with_prefix(F.col("tags"), "field/")), "MISSING_FIELD_TAG")
+    return _listed(pages, _missing_field_tag())
 
 
 def stale_pages(pages: DataFrame, today: Column, stale_after: int = 90, untouched_after: int = 180) -> DataFrame:
-    aged = pages.withColumn("age", age_days(strict_date(F.col("updated")), today))
-    old = _issues(aged.where((F.col("status") == "stale") & (F.col("age") > stale_after)), "STALE", F.concat(F.lit("status stale for "), F.col("age"), F.lit(" days")))
-    idle = _issues(aged.where(F.col("type").isin("concept", "method") & (F.col("age") > untouched_after)), "STALE", F.concat(F.lit("untouched for "), F.col("age"), F.lit(" days")))
-    return old.union(idle)
+    return _listed(pages, _stale(today, stale_after, untouched_after))
 
 
 def missing_sections(pages: DataFrame) -> DataFrame:
-    return _issues(pages.where(F.col("type").isin("concept", "method") & (counter_argument_headings(F.col("body")) == 0)), "MISSING_SECTION")
+    return _listed(pages, _missing_section())
 
 
 def contradictions(pages: DataFrame) -> DataFrame:
-    n = pages.withColumn("n", contradiction_callouts(F.col("body"))).where("n > 0")
-    return _issues(n.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))), "CONTRADICTION")
+    return _listed(pages, _contradictions())
+
+
+def page_issues(pages: DataFrame, today: Column, stale_after: int = 90, untouched_after: int = 180) -> DataFrame:
+    """The issues that a page shows by itself: fields, field tags, age, sections and contradictions, in one pass."""
+    return _listed(pages, _missing_fields(), _missing_field_tag(), _stale(today, stale_after, untouched_after), _missing_section(), _contradictions())
 
 
 def bibliography_issues(papers: DataFrame, bibs: DataFrame) -> DataFrame:
@@ -114,12 +153,8 @@ def lint(pages: DataFrame, bibs: DataFrame, extracts: DataFrame, versions: DataF
     drift = index_drift(pages, index, aliases)
     rules = [
         link_issues(resolved),
-        missing_fields(own),
+        page_issues(own, today),
         _issues(orphans(own, resolved), "ORPHAN"),
-        missing_field_tags(own),
-        stale_pages(own, today),
-        missing_sections(own),
-        contradictions(own),
         _issues(invalid_cites(papers, pages).join(papers.select("stem", "path"), "stem"), "INVALID_CITES", F.col("cited")),
         bibliography_issues(papers, bibs),
         extract_issues(papers, extracts),

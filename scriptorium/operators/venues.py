@@ -15,6 +15,9 @@ from scriptorium.operators.merging import majority
 from scriptorium.session import cut_lineage
 
 
+BROADCAST_NAMES = 500_000
+
+
 @dataclass(frozen=True)
 class Plan:
     """``groups`` to rename or merge, ``members`` with their new slug, ``skipped`` pages with a reason."""
@@ -26,8 +29,15 @@ class Plan:
 
 
 def checked_pages(pages: DataFrame) -> DataFrame:
-    """Venue pages with ``new_name``, ``new_slug`` and ``skip_reason`` (null for usable ones)."""
-    named = pages.withColumn("new_name", venue_name(F.col("name"))).withColumn("new_slug", slug_uncut(F.col("new_name")))
+    """Venue pages with ``new_name``, ``new_slug`` and ``skip_reason`` (null for usable ones).
+
+    Names and slugs are worked out once for each spelling and joined back.
+    """
+    spelled = pages.select(F.col("name").alias("_name")).distinct().withColumn("new_name", venue_name(F.col("_name")))
+    spelled = cut_lineage(cut_lineage(spelled).withColumn("new_slug", slug_uncut(F.col("new_name"))))  # fixed, else a later filter works names out again
+    if spelled.count() <= BROADCAST_NAMES:  # a row a spelling; beyond this the join shuffles
+        spelled = F.broadcast(spelled)
+    named = pages.join(spelled, pages["name"].eqNullSafe(spelled["_name"]), "left").drop("_name")
     reason = (
         F.when(F.col("type").isNull() | (F.col("type") != "venue"), "type is not venue")
         .when(blank(F.col("name")), "missing name")
@@ -44,7 +54,7 @@ def venue_plan(pages: DataFrame) -> Plan:
     its earliest date, and the sorted unions of papers and tags. A page whose slug is right
     already and that merges with no other is unchanged.
     """
-    checked = cut_lineage(checked_pages(pages))  # else each later filter works names out again
+    checked = cut_lineage(checked_pages(pages))
     usable = checked.where("skip_reason IS NULL").drop("skip_reason")
     none = F.array().cast("array<string>")
     usable = usable.withColumn("venue_type", F.coalesce("venue_type", F.lit("journal"))).withColumn("n_papers", F.size(F.coalesce("papers", none)))

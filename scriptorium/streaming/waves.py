@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scriptorium.session import cut_lineage
+
 # States of the final pass and those that may follow (fixed values).
 TRANSITIONS = {"pending": ("in-progress", "skipped"), "in-progress": ("ok", "failed"), "failed": ("in-progress",), "ok": (), "skipped": ()}
 
@@ -19,9 +21,9 @@ def waves(items: DataFrame, key: str, size: int, chunk: int = 1 << 16) -> DataFr
     """``wave`` from 1 for each item in key order, ``size`` items a wave.
 
     Positions come from range-partitioned chunks and their prefix sums, not from one sort
-    in one task.
+    in one task. The chunks are fixed before they are counted.
     """
-    ranged = items.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(items.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
