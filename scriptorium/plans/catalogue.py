@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import arrays, bibtex, dates, html, text
 from scriptorium.functions.folding import ascii_fold
 from scriptorium.operators import backlinks, export, links, lint, matching, merging, venues
-from scriptorium.plans import changes, searches  # noqa: F401  they register queries of their own
+from scriptorium.plans import changes, searches, sites  # noqa: F401  they register queries of their own
 from scriptorium.plans.registry import ORACLE_SQL, QUERIES, _s, _t, query  # noqa: F401
 from scriptorium.sources import corpus, records, sinks
 from scriptorium.streaming import waves
