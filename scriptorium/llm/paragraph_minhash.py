@@ -464,13 +464,17 @@ def _lines(packs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
     """Links of a band's paragraphs at the similarity, one a paragraph and component.
 
-    Intersections come from an inverted index of shingles, so unlike pairs cost nothing.
+    Intersections come from an inverted index of shingles, so unlike pairs cost nothing. A component's first
+    paragraphs, those that were like none before, are met first; what is like one of them is linked and
+    meets no other paragraph of that component. So many variants of one line cost as much as their
+    shingles, not as their pairs; the others of a component are met by what is not linked with it, so no link is lost.
     """
     if len(members) < 2:
         return []
-    index: dict[int, list[int]] = defaultdict(list)
+    firsts: dict[int, list[int]] = defaultdict(list)  # shingle to components' first paragraphs
+    others: dict[int, dict[int, list[int]]] = defaultdict(dict)  # shingle and component to the rest of it
     parent: list[int] = []
-    links = []
+    links: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -478,15 +482,25 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
             i = parent[i]
         return i
 
-    for at, (unit, shingles) in enumerate(members):
-        parent.append(at)
-        common = Counter(i for s in shingles.tolist() for i in index.get(s, ()))
+    def meet(at: int, common: Counter) -> None:
+        unit, shingles = members[at]
         for other, n in common.items():
             if n >= similarity * (len(shingles) + len(members[other][1]) - n) and root(other) != root(at):
-                parent[root(other)] = root(at)
+                parent[root(at)] = root(other)  # a component keeps its name, by which its members are listed
                 links.append((unit, members[other][0]))
-        for s in shingles.tolist():
-            index[s].append(at)
+
+    for at, (_, shingles) in enumerate(members):
+        parent.append(at)
+        own = shingles.tolist()
+        meet(at, Counter(i for s in own for i in firsts.get(s, ())))
+        mine = root(at)
+        meet(at, Counter(i for s in own for group, rest in others.get(s, {}).items() if root(group) != mine for i in rest))
+        alone = len(parent) == 1 or not links or links[-1][0] != members[at][0]
+        for s in own:
+            if alone:
+                firsts[s].append(at)
+            else:
+                others[s].setdefault(root(at), []).append(at)
     return links
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from scriptorium.llm import cover_tree, fm_index, interpolation_lm, mixing, paragraph_minhash, simhash
+from scriptorium.llm import cover_tree, fm_index, interpolation_lm, mixing, near_copies, paragraph_minhash, simhash
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.near_copies import copy_groups
 from tests.llm.helpers import WORDS, awkward_texts, documents, lower, words
@@ -387,6 +387,68 @@ def test_short_lines_equal_brute_force(spark):
     assert len(short) > 20 and {len(lines[a]) for a in short} >= {5, 6, 7, 8, 9}
 
 
+def variants(n, size=60, changed=2, seed=1):
+    """Shingle sets of so many variants of one line or text."""
+    rng = np.random.default_rng(seed)
+    base, out = rng.integers(1, 1 << 60, size).astype(np.uint64), []
+    for _ in range(n):
+        own = base.copy()
+        own[rng.integers(0, size, changed)] = rng.integers(1, 1 << 60, changed).astype(np.uint64)
+        out.append(np.unique(own))
+    return out
+
+
+def test_variants_of_one_line_cost_their_number_and_not_their_pairs(monkeypatch):
+    met = []
+    counter = paragraph_minhash.Counter
+
+    def counted(values):
+        own = list(values)
+        met.append(len(own))
+        return counter(own)
+
+    monkeypatch.setattr(paragraph_minhash, "Counter", counted)
+    cost = {}
+    for n in (1000, 2000):
+        met.clear()
+        assert len(paragraph_minhash._similar(list(enumerate(variants(n))), 0.8)) == n - 1
+        cost[n] = sum(met)
+    assert cost[2000] < 2.2 * cost[1000]
+
+
+def test_variants_of_one_text_cost_their_number_and_not_their_pairs(monkeypatch):
+    met = []
+    alike = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda *a: met.append(1) or alike(*a))
+    cost = {}
+    for n in (1000, 2000):
+        met.clear()
+        members = [(i, simhash.fingerprint(x), x) for i, x in enumerate(variants(n, 300, 8))]
+        assert len(near_copies.similar_links(members, 0.8)) == n - 1
+        cost[n] = len(met)
+    assert cost[2000] < 2.2 * cost[1000]
+
+
+def test_links_of_a_block_have_the_components_of_all_pairs(monkeypatch):
+    rng = random.Random(3)
+    pool = np.random.default_rng(3).integers(1, 1 << 63, 400).astype(np.uint64)
+    size = lambda a, b: len(np.intersect1d(a, b))
+    for trial in range(60):
+        monkeypatch.setattr(near_copies, "FEW_MEMBERS", rng.choice([0, 2, 16]))
+        bases, members = [rng.sample(range(400), 120) for _ in range(3)], []
+        for i in range(rng.randint(2, 25)):
+            own = list(rng.choice(bases))
+            for at in rng.sample(range(120), rng.randint(0, 18)):
+                own[at] = rng.randrange(400)
+            found = np.unique(pool[own])
+            members.append((i, simhash.fingerprint(found), found))
+        n = len(members)
+        like = [(a, b) for a in range(n) for b in range(a) if (k := size(members[a][2], members[b][2])) >= 0.8 * (len(members[a][2]) + len(members[b][2]) - k)]
+        close = [(a, b) for a, b in like if (members[a][1] ^ members[b][1]).bit_count() <= near_copies.RADIUS]
+        assert plain_components(range(n), near_copies.similar_links(members, 0.8)) == plain_components(range(n), close)
+        assert plain_components(range(n), paragraph_minhash._similar([(i, x) for i, _, x in members], 0.8)) == plain_components(range(n), like)
+
+
 def test_regular_words_and_paragraphs_have_their_own_hash():
     turn = str.maketrans("ab", "ba")
     a, b = "a", "b"
