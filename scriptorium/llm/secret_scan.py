@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import free_of
+from scriptorium.llm.runtime import cut_lineage, free_of
 
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT_CHARS = 400  # of surrounding code on either side in the primer
@@ -99,15 +99,23 @@ def corpus_identifiers(texts: DataFrame, size: int = DICTIONARY_BYTES) -> str:
     dictionary has a fixed size, whatever the documents'.
     """
     words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(IDENTIFIER), F.lit(0))).alias("word"))
-    weight = F.count("*") * F.first(F.length("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n"), weight.alias("weight")).where("n > 1")
-    top = counted.orderBy(F.desc("weight"), "word").limit(size // 5).select("word").collect()  # a word and a blank have 5 bytes at least
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counted = cut_lineage(counted.select("word", (F.col("n") * F.length("word")).alias("weight"), (F.length("word") + 1).alias("bytes")))
+    # Weights by eighths of a doubling: from which one on the words fill the dictionary.
+    step = F.floor(F.log2("weight") * 8).cast("int")
+    held, least = 0, None
+    for row in counted.groupBy(step.alias("step")).agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("step")).collect():  # 512 rows at most
+        held, least = held + row.bytes, row.step
+        if held >= size:
+            break
+    if least is None:
+        return ""
     out, held = [], 0
-    for row in top:
-        if held + len(row.word) + 1 > size:
+    for row in counted.where(step >= least).orderBy(F.desc("weight"), "word").toLocalIterator():
+        if held + row.bytes > size:
             break
         out.append(row.word)
-        held += len(row.word) + 1
+        held += row.bytes
     return " ".join(reversed(out))
 
 
