@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 ENTRY = "struct<type:string,key:string,fields:map<string,string>>"
 
+# How entries and their fields are written (fixed values).
 _HEAD = re.compile(r"@(\w+)\s*\{\s*([^,\s]+)\s*,")
 _NAME = re.compile(r"[\s,]*(\w+)\s*=\s*")
 _BARE = re.compile(r"[^,}\n]*")
@@ -74,6 +75,7 @@ PUBLICATION_TYPES = {
     "Book": ("book", None),
     "BookSection": ("incollection", "booktitle"),
 }
+# Words of proceedings (fixed values).
 _PROCEEDINGS = r"(?i)Proceedings|Conference|Symposium|Workshop|ICCV|CVPR|NeurIPS|ICML"
 
 

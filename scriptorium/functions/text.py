@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.folding import ascii_fold, greek_to_latin, nfkd_strip
 
+# Words that a slug does not begin with (fixed values).
 STOP_WORDS = ("a", "an", "the", "on", "of", "for", "with")
 SLUG_LIMIT = 60
 SPACE = r"(?U)\s"

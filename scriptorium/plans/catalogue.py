@@ -421,7 +421,7 @@ def near_dup_pairs(spark, sf_dir):
 
 @query()
 def fuzzy_refs_topk(spark, sf_dir):
-    """Benchmark items as references, the documents' whole texts as candidates."""
+    """Benchmark items as references, the documents' whole texts as candidates; no pair at the threshold is lost."""
     refs = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
     return matching.reference_matches(refs, _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("pos"), "text"))
 
@@ -536,7 +536,7 @@ def paper_rewrites(spark, sf_dir):
 
 @query()
 def backlink_insert(spark, sf_dir):
-    """Two-word part names as slugs, linked where the documents or the names themselves mention them."""
+    """Part names as slugs, linked in a page for each part; mentions in whole documents are `slug_mentions`."""
     slugs = _t(spark, sf_dir, "part").select(text.slug_uncut(F.col("p_name")).alias("slug")).distinct()
     pages = _t(spark, sf_dir, "part").select(_s("p", F.col("p_partkey")).alias("path"), _s("A ", F.col("p_name"), " beside a ", F.col("p_name")).alias("text"))
     return backlinks.insert_backlinks(pages, slugs).select("path", "text", F.array_join("inserted", ",").alias("inserted"))
