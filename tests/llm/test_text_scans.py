@@ -256,3 +256,11 @@ def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.classify(documents(spark, []), none).count() == 0
     assert {r.predicted for r in toxicity.classify(documents(spark), none).collect()} == {0}
+
+
+def test_toxicity_of_a_table_with_columns_of_the_sample(spark):
+    rows, labels = toxic_rows(60)
+    table = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows).selectExpr("*", "1 AS _id", "2 AS _toxic", "3 AS toxic")
+    texts, kinds = toxicity.fit_sample(docs, table)
+    assert len(texts) == len(kinds) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
