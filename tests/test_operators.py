@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -83,6 +84,16 @@ def test_collisions(spark):
     assert got == {1: "smith2020neural3", 2: "smith2020neural5", 3: "smith2020neural6", 4: "x", 5: "y1"}
 
 
+def test_collisions_of_many_proposals_of_one_base(spark):
+    """40,000 arrivals of a base; a list of suffixes for each would be 800 million numbers."""
+    taken = spark.createDataFrame([("b",), ("b3",), ("b4",), ("b39000",), ("b50000",)], "key string")
+    began = time.monotonic()
+    got = {r.seq: r.key for r in merging.collision_free(spark.range(40_000).select(F.col("id").alias("seq"), F.lit("b").alias("base")), taken).collect()}
+    assert time.monotonic() - began < 20
+    free = [n for n in range(2, 40_010) if n not in (3, 4, 39000)]
+    assert got == {i: f"b{free[i]}" for i in range(40_000)}
+
+
 def test_entity_upsert_keeps_what_is_there(spark):
     existing = spark.createDataFrame([("concept", "a", "stale", "2020-01-01", ["p0"], ["t"], "# A\n\nold  \n"), ("method", "m", "active", "2020-01-01", [], [], "body")], "kind string, slug string, status string, created string, sources array<string>, tags array<string>, body string")
     new = spark.createDataFrame([("concept", "a", 1, "p1", "A", ["t", "u"], "more"), ("open-problem", "o", 2, "p2", "O", [], "two"), ("open-problem", "o", 1, "p1", "O1", ["z"], "one")], "kind string, slug string, seq int, paper_id string, title string, tags array<string>, text string")
