@@ -71,6 +71,34 @@ def test_neighbour_order(spark):
     assert [(r.neighbour, r.shared, r.year) for r in got] == [("two", 2, 2001), ("new", 1, 2022), ("old", 1, 0)]
 
 
+def test_tag_neighbours_of_large_groups_are_those_of_all_pairs(spark):
+    """Sets of more than k candidates, a key of several years, repeated rows; every pair is counted here."""
+    rows = [(i, [f"field/{i % 3}", f"method/{i % 4}", "year/1", f"field/{i % 3}"], 2000 + i % 7) for i in range(120)]
+    rows += [(5, ["field/2", "method/1"], 2030), (5, ["field/2"], 2031), (6, ["field/0", "method/2"], 2006), (7, [], 2000), (None, ["field/1"], 2040)]
+    papers = spark.createDataFrame(rows, "key long, tags array<string>, year int")
+    keep = [(k, [t for t in sorted(set(tags)) if t[:5] != "year/"], y) for k, tags, y in rows]
+    want = {}
+    for key in {k for k, _, _ in keep if k is not None and k % 5 == 0}:
+        counts = {}
+        for own, tags, _ in keep:
+            for other, others, year in keep if own == key else ():
+                if other is not None and other != key and (n := len(set(tags) & set(others))):
+                    counts[other, year] = counts.get((other, year), 0) + n
+        best = sorted(((n, y, o) for (o, y), n in counts.items()), key=lambda x: (-x[0], -x[1], x[2]))[:4]
+        want |= {(key, r + 1): (o, n, y) for r, (n, y, o) in enumerate(best)}
+    found = matching.tag_neighbours(papers.where("key % 5 = 0"), papers, 4)
+    assert {(r.key, r["rank"]): (r.neighbour, r.shared, r.year) for r in found.collect()} == want
+
+
+def test_tag_neighbours_of_one_common_tag(spark):
+    """3,000 probes of 150,000 candidates under one tag: 450 million pairs share it."""
+    papers = spark.range(150_000).select(F.col("id").alias("key"), F.array(F.lit("field/a")).alias("tags"), F.lit(2000).alias("year"))
+    began = time.monotonic()
+    got = matching.tag_neighbours(papers.where("key % 50 = 0"), papers, 2).collect()
+    assert time.monotonic() - began < 25
+    assert {(r.key, r["rank"], r.neighbour) for r in got} == {(k, n, n - (k > 0)) for k in range(50, 150_000, 50) for n in (1, 2)} | {(0, 1, 1), (0, 2, 2)}
+
+
 def test_majority_and_its_ties(spark):
     rows = [("g", "a", 1, "m1"), ("g", "a", 1, "m2"), ("g", "b", 9, "m3"), ("h", "a", 2, "z"), ("h", "b", 3, "y"), ("i", "a", 3, "z"), ("i", "b", 3, "y")]
     got = {r.g: r.v for r in merging.majority(spark.createDataFrame(rows, "g string, v string, n int, k string"), "g", "v", "n", "k").collect()}
