@@ -179,3 +179,10 @@ def test_functions_have_sql_names(spark):
 @pytest.mark.parametrize("word,good", [("10.1/x", True), ("11.1/x", False)])
 def test_loose_doi(spark, word, good):
     assert one(spark, [word], text.looks_like_doi) == [good]
+
+
+def test_titles_cut_within_a_reference_keep_it_as_it_stands():
+    title = lambda inner: html.read_page(f"<html><TITLE lang='de'>{inner}</TITLE><p>a &amp b</p>").title
+    assert title("a &amp;&amp;&amp") == "a &&&amp" and title("x &l") == "x &l" and title("x &lt;&amp;lt; y &gt") == "x <&lt; y &gt"
+    assert title("&#228;&#xE4;&auml; & b &ampc; &#12") == "äää & b &ampc; &#12"
+    assert html.read_page("<title>t</title><p>a &amp b</p>").blocks == [("p", "a & b", "")]
