@@ -40,26 +40,42 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class Bits:
+    """A bit vector with the ones before each of its words: a place costs a bit and a half."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        packed = np.zeros((len(bits) // 64 + 1) * 8, np.uint8)  # the place past the end has a word too
+        packed[: (len(bits) + 7) // 8] = np.packbits(bits, bitorder="little")
+        self.words = packed.view("<u8")
+        self.counts = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32))).astype(np.int32)
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word, mask = at >> 6, (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[word] + np.bitwise_count(self.words[word] & mask)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class WaveletMatrix:
     """Rank over a sequence of small integers, by one bit vector a level."""
 
     def __init__(self, values: np.ndarray, bits: int) -> None:
-        self.bits, self.zeros, self.ranks = bits, [], []
+        self.bits, self.zeros, self.levels = bits, [], []
         now = values.astype(np.int32)  # symbols are fewer than words
         for level in reversed(range(bits)):
             bit = (now & (1 << level)) != 0
-            ranks = np.zeros(len(now) + 1, np.int32)
-            np.cumsum(bit, out=ranks[1:])
-            self.ranks.append(ranks)
-            self.zeros.append(len(now) - int(ranks[-1]))
+            self.levels.append(Bits(bit))
+            self.zeros.append(len(now) - int(np.count_nonzero(bit)))
             now = np.concatenate((now[~bit], now[bit]))
 
     def rank(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol before each end."""
         lo, hi = np.zeros_like(ends), ends
         for k, level in enumerate(reversed(range(self.bits))):
-            ones, up = self.ranks[k], (symbols >> level) & 1 == 1
-            a, b = ones[lo], ones[hi]
+            ones, up = self.levels[k], (symbols >> level) & 1 == 1
+            a, b = ones.before(lo), ones.before(hi)
             lo, hi = np.where(up, self.zeros[k] + a, lo - a), np.where(up, self.zeros[k] + b, hi - b)
         return hi - lo
 
@@ -67,11 +83,11 @@ class WaveletMatrix:
         """The symbol at each position and its occurrences before that position."""
         symbol, lo, now = np.zeros_like(at), np.zeros_like(at), at
         for k in range(self.bits):
-            ones = self.ranks[k]
-            up = ones[now + 1] - ones[now] == 1
+            ones = self.levels[k]
+            up, a, b = ones[now], ones.before(now), ones.before(lo)
             symbol = symbol * 2 + up
-            now = np.where(up, self.zeros[k] + ones[now], now - ones[now])
-            lo = np.where(up, self.zeros[k] + ones[lo], lo - ones[lo])
+            now = np.where(up, self.zeros[k] + a, now - a)
+            lo = np.where(up, self.zeros[k] + b, lo - b)
         return symbol, now - lo
 
 
@@ -160,6 +176,7 @@ class Shard:
         text = np.full(int(self.ends[-1]) if len(texts) else 0, end, np.int64)
         for own, stop in zip(ids, self.ends.tolist()):
             text[stop - 1 - len(own) : stop - 1] = own
+        del words, ids  # an object a word
         self.index = FMIndex(text, end, every)
 
 
@@ -266,6 +283,7 @@ def _scanner(docs: DataFrame, benchmark: DataFrame, text_at: int, done: Callable
             yield _opened(b.value) if len(shared) == 1 else pickle.loads(b.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # what an earlier task of this worker held
         rows, texts, held = [], [], 0
         for batch in batches:
             begun = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -635,3 +636,17 @@ def test_fm_index_searches_and_locates():
             for i in range(20):
                 want = [k for k in range(200 - length + 1) if (text[k : k + length] == phrases[i, 5 - length :]).all()]
                 assert sorted(index.locate(np.arange(lo[i], hi[i])).tolist()) == want
+
+
+def test_scan_of_a_shard_holds_little_beside_its_suffixes():
+    """A rank of every place in each of 17 levels took as much again as the suffix sort."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 60_000}" for _ in range(4000)).encode() for _ in range(150)]
+    part = fm_index.PhraseSlice([("i", b" ".join(texts[7].split()[100:120]))])
+    tracemalloc.start()
+    try:
+        found = fm_index.scan_shard(texts, [part])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (100, 120) in found[7][1] and found[7][2] == ["i"] and peak < 75e6
