@@ -186,3 +186,12 @@ def test_titles_cut_within_a_reference_keep_it_as_it_stands():
     assert title("a &amp;&amp;&amp") == "a &&&amp" and title("x &l") == "x &l" and title("x &lt;&amp;lt; y &gt") == "x <&lt; y &gt"
     assert title("&#228;&#xE4;&auml; & b &ampc; &#12") == "äää & b &ampc; &#12"
     assert html.read_page("<title>t</title><p>a &amp b</p>").blocks == [("p", "a & b", "")]
+
+
+def test_pages_of_a_batch_are_handed_on_in_pieces():
+    import pandas as pd
+
+    pages = pd.Series(["<title>t</title><p>" + "long enough a paragraph " * 5] * 700 + [None, "x" * html.PIECE_CHARS, "<title>last</title>"])
+    made = list(html._documents(iter([(pd.Series([None] * len(pages)), pages)])))
+    assert [len(m) for m in made] == [256, 256, 190, 1] and made[-1]["title"].tolist() == ["last"]
+    assert [len(m) for m in html._parsed(iter([pages]))] == [256, 256, 190, 1]
