@@ -8,6 +8,7 @@ after the other; a slice's phrases are what is broadcast.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,7 @@ from scriptorium.functions.text import linkable
 
 SLICE_PHRASES = 200_000  # of one automaton
 SLICE_BYTES = 16 << 20
+PIECE_HITS = 20_000  # mentions handed on at once
 
 
 class Phrases:
@@ -65,8 +67,14 @@ def _slices(slugs: DataFrame) -> list[DataFrame]:
     return [own.where(F.pmod(F.xxhash64("slug"), F.lit(parts)) == at) for at in range(parts)]
 
 
-def _taken(part: DataFrame) -> Phrases:
-    return Phrases([r.slug for r in part.toLocalIterator()])
+def _taken(part: DataFrame) -> bytes:
+    return pickle.dumps(Phrases([r.slug for r in part.toLocalIterator()]), protocol=pickle.HIGHEST_PROTOCOL)
+
+
+@lru_cache(maxsize=1)
+def _opened(packed: bytes) -> Phrases:
+    """One slice is open at a time in each process; the others stay packed."""
+    return pickle.loads(packed)
 
 
 def mentions(pages: DataFrame, slugs: DataFrame) -> DataFrame:
@@ -79,9 +87,15 @@ def mentions(pages: DataFrame, slugs: DataFrame) -> DataFrame:
         shared = pages.sparkSession.sparkContext.broadcast(_taken(part))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            phrases, hits = _opened(shared.value), []
             for batch in batches:
-                hits = [(p, s) for p, t in zip(batch["path"], batch["text"]) if t is not None for s in shared.value.within(t)]
-                yield pd.DataFrame(hits, columns=["path", "slug"], dtype="object")
+                for path, text in zip(batch["path"], batch["text"]):
+                    if text is not None:
+                        hits += [(path, s) for s in phrases.within(text)]
+                    if len(hits) >= PIECE_HITS:
+                        yield pd.DataFrame(hits, columns=["path", "slug"], dtype="object")
+                        hits = []
+            yield pd.DataFrame(hits, columns=["path", "slug"], dtype="object")
 
         one = pages.select("path", "text").mapInPandas(search, "path string, slug string")
         found = one if found is None else found.union(one)
@@ -124,8 +138,9 @@ def insert_backlinks(pages: DataFrame, slugs: DataFrame) -> DataFrame:
         shared = pages.sparkSession.sparkContext.broadcast(_taken(parts[0]))
 
         def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            phrases = _opened(shared.value)
             for batch in batches:
-                out = [(p, *linked_text(t, shared.value.within(t))) for p, t in zip(batch["path"], batch["text"]) if t is not None]
+                out = [(p, *linked_text(t, phrases.within(t))) for p, t in zip(batch["path"], batch["text"]) if t is not None]
                 yield pd.DataFrame([r for r in out if r[2]], columns=["path", "text", "inserted"], dtype="object")
 
         return pages.select("path", "text").mapInPandas(link, _LINKED)

@@ -59,3 +59,11 @@ def test_no_pages_and_no_slugs(spark):
     assert backlinks.mentions(pages, slugs).count() == 0 and backlinks.insert_backlinks(pages, slugs).count() == 0
     pages, slugs = make(spark, [("p", "a b")], [])
     assert backlinks.mentions(pages, slugs).count() == 0 and backlinks.insert_backlinks(pages, slugs).count() == 0
+
+
+def test_a_process_holds_one_slice_of_phrases():
+    import pickle
+
+    for slugs in (["a-b"], ["c-d"], ["e-f"]):
+        assert backlinks._opened(pickle.dumps(backlinks.Phrases(slugs))).within("A b, c d and e f") == slugs
+    assert backlinks._opened.cache_info().currsize == 1
