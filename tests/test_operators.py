@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import time
 from difflib import SequenceMatcher
 
@@ -352,3 +353,31 @@ def test_references_equal_brute_force(spark):
         found = sorted((-s, j) for j, b in enumerate(texts) if (s := 1.0 if not a or not b else token_set(a, b)) >= 0.8)[:5]
         want += [(i, r, j, round(-s, 9)) for r, (s, j) in enumerate(found, 1)]
     assert got == sorted(want) and len(want) > 30
+
+
+def test_near_duplicate_keys_equal_brute_force(spark):
+    """Keys of one to 40 characters with up to five edits, among keys of one word and of several."""
+    rng, keys = random.Random(6), {"workshop", "x-workshop", "workshops", "Zürich-tagung-für-netze", "Zurich-tagung-für-netze", "日本語-学会", "日本-学会"}
+    for n in [1, 2, 5, 7, 8, 12, 13, 16, 18, 19, 24, 25, 31, 32, 37, 40] * 3:
+        base = "".join(rng.choice("ab01-" if n % 2 else "0123456789abcdef") for _ in range(n))
+        keys.add(base)
+        for edits in (1, 1, 1, 2, 2, 3, 3, 4, 5):
+            key = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(key) + 1)
+                key[at : at + rng.randrange(2)] = rng.choice(["", "b", "1"])
+            keys.add("".join(key))
+    got = {(r.a, r.b): r.similarity for r in matching.near_duplicate_keys(spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
+    tail = lambda k: k.rsplit("-", 1)[-1]
+    ratio = {(a, b): SequenceMatcher(None, a.replace("-", " "), b.replace("-", " ")).ratio() for a in keys for b in keys if a < b}
+    assert got == {(a, b): r for (a, b), r in ratio.items() if r >= 0.92 or (tail(a) and tail(a) == tail(b) and r >= 0.8)}
+
+
+def test_near_duplicate_keys_move_few_rows(spark):
+    """Keys of 32 characters: nine places and five segments each, since what is before a segment fixes its place."""
+    own = spark.range(500).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"))
+    own = own.select("key", F.col("key").alias("text"), F.length("key").alias("size"), F.col("key").alias("tail"))
+    places, segments = matching._segments(own, own.select("size").distinct(), 0.92)
+    assert places.count() == 500 * 9 and segments.count() == 500 * 5
+    lint_keys = own.select(F.concat(F.lit("p"), F.substring("key", 1, 6)).alias("key")).select("key", F.col("key").alias("text"), F.length("key").alias("size"), F.col("key").alias("tail"))
+    assert matching._segments(lint_keys, lint_keys.select("size").distinct(), 0.92)[1].count() == 0  # short keys meet with a character taken out
