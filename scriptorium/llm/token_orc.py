@@ -33,7 +33,8 @@ END_ID = 0
 TOKENIZER_FILE = "byte_bpe_50k.json"
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
-BLOCK_BYTES = 1 << 20  # of text encoded together
+BLOCK_BYTES = 1 << 19  # of text encoded together
+RELEASE_BYTES = 1 << 23  # of text after which a worker gives freed memory back
 MEMO_UNITS = 2_000_000  # units remembered by a worker, about 40 bytes each
 RECENT_UNITS = 100_000  # of them, kept in a small table of their own
 SHORT_BYTES = 15  # of a unit that two words hold
@@ -254,7 +255,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pos = encoder(path).encode, 0
+        encode, pos, since = encoder(path).encode, 0, 0
         for batch in batches:
             held = np.cumsum(np.diff(_offsets(batch.column(1))))
             cuts = np.unique(np.concatenate(([0], np.searchsorted(held, np.arange(BLOCK_BYTES, held[-1] if len(held) else 0, BLOCK_BYTES), side="right"), [batch.num_rows])))
@@ -266,6 +267,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(pos, pos + part.num_rows)), lists], ["doc_id", "pos", "ids"])
                 pos += part.num_rows
+                since += int(held[b - 1] - (held[a - 1] if a else 0))
+                if since >= RELEASE_BYTES:
+                    del ids, sizes, offsets, flat, lists
+                    since = 0
+                    release_memory()
         release_memory()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
