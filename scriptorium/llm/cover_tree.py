@@ -200,7 +200,7 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, shard_rows
     index = _trees(rows, "shard", shards)
     groups = _trees(asked, "block", blocks).withColumnRenamed("tree", "queries")
     groups = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = index.join(groups, ["dim", "shard"]).select("queries", "tree")
+    pairs = index.hint("merge").join(groups.hint("merge"), ["dim", "shard"]).select("queries", "tree")  # sizes before the trees would have a block for each shard broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

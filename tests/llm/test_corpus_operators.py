@@ -164,6 +164,13 @@ def test_cover_tree_top_k_equals_brute_force(spark):
     assert cover_tree.top_k(frame.where("false")).count() == 0
 
 
+def test_cover_tree_broadcasts_no_trees(spark):
+    frame = spark.createDataFrame([(i, v) for i, v in vectors()], "vec_id long, embedding array<float>")
+    found = cover_tree.top_k(frame, shard_rows=64, block_queries=3)
+    assert found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_scores_beyond_doubles_are_exact(spark):
     for high in (2.0**22, 2.0**18, 2.0**23):
         rows = [(0, [high, 1 / 256])] + [(k, [high, k / 256]) for k in (1, 2, 3)]
