@@ -17,7 +17,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.hashing import mix
-from scriptorium.llm.runtime import cut_lineage, release_memory, shared_folder, text_bytes
+from scriptorium.llm.runtime import cut_lineage, release_memory, shared_folder, small_batches, text_bytes
 
 END_ID = 0
 TOKENIZER_FILE = "byte_bpe_50k.json"
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
-BLOCK_BYTES = 1 << 19  # of text encoded together
+BLOCK_BYTES = 1 << 18  # of text encoded together
 RELEASE_BYTES = 1 << 23  # of text after which a worker gives freed memory back
-MEMO_UNITS = 2_000_000  # units remembered by a worker, about 40 bytes each
+MEMO_UNITS = 2_000_000  # units remembered by a worker, about 45 bytes each with their ids
+FLAT_IDS = 1 << 20  # by which the room for their ids grows
 RECENT_UNITS = 100_000  # of them, kept in a small table of their own
 SHORT_BYTES = 15  # of a unit that two words hold
 LONG_BYTES = 256  # longer units are not remembered
@@ -98,19 +99,20 @@ class Encoder:
         """Add new units' ids (sorted keys) to the small table; a full one joins the large one."""
         flat, lengths = self._unit_ids(units)
         self._put(flat)
-        self.recent = _inserted(self.recent, (keys, heads, tails, self.used + np.cumsum(lengths) - lengths, lengths))
+        _insert(self.recent, (keys, heads, tails, self.used + np.cumsum(lengths) - lengths, lengths))
         self.used += len(flat)
         if len(self.recent[0]) > RECENT_UNITS:
-            self.settled, self.recent = _inserted(self.settled, self.recent), _no_units()
+            _insert(self.settled, self.recent)
+            self.recent = _no_units()
 
     def _put(self, ids: np.ndarray) -> None:
         """Write ids behind those in use."""
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(len(self.flat), np.int32)))
+        if self.used + len(ids) > len(self.flat):
+            self.flat.resize(self.used + len(ids) + FLAT_IDS, refcheck=False)  # no view of it is kept
         self.flat[self.used : self.used + len(ids)] = ids
 
     def _forget(self) -> None:
-        self.settled, self.recent, self.flat, self.used = _no_units(), _no_units(), np.empty(1 << 20, np.int32), 0
+        self.settled, self.recent, self.flat, self.used = _no_units(), _no_units(), np.empty(FLAT_IDS, np.int32), 0
         self.long: dict[bytes, np.ndarray] = {}
 
     def _find(self, keys: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,11 +184,11 @@ class Encoder:
         return ids, np.bincount(text_of, own, len(texts)).astype(np.int64)
 
 
-Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # sorted keys, heads, tails, places of their ids, numbers of ids
+Units = list[np.ndarray]  # sorted keys, heads, tails, places of their ids, numbers of ids (no more than a short unit's bytes)
 
 
 def _no_units() -> Units:
-    return *(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return [*(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, np.uint32), np.zeros(0, np.uint8)]
 
 
 _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -205,9 +207,11 @@ def unit_words(joined: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np
     return heads, tails | sizes.astype(np.uint64)
 
 
-def _inserted(units: Units, new: Units) -> Units:
+def _insert(units: Units, new: Sequence[np.ndarray]) -> None:
+    """Put new units among ``units``, a column after the other, so that no second table stands beside the first."""
     at = np.searchsorted(units[0], new[0])
-    return tuple(np.insert(have, at, more) for have, more in zip(units, new))
+    for k, more in enumerate(new):
+        units[k] = np.insert(units[k], at, more)
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
@@ -278,17 +282,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_
     parts = partitions or file_count(docs, text_col)
     ordered = source.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    (
-        ordered.mapInArrow(run, schema)
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .option("orc.stripe.size", str(STRIPE_BYTES))
-        .option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", "0.01")
-        .orc(folder)
-    )
+    with small_batches(spark):
+        (
+            ordered.mapInArrow(run, schema)
+            .write.mode("overwrite")
+            .option("compression", "zstd")
+            .option("orc.stripe.size", str(STRIPE_BYTES))
+            .option("orc.create.index", "true")
+            .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", "0.01")
+            .orc(folder)
+        )
     return folder
 
 
@@ -323,7 +328,8 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
         release_memory()
 
     read = read_tokens(spark, folder).select("doc_id", "pos", "file", "ids")
-    rows = cut_lineage(read.mapInArrow(run, "doc_id long, pos long, file string, n_tokens long, ids_crc32 long"))
+    with small_batches(spark):
+        rows = cut_lineage(read.mapInArrow(run, "doc_id long, pos long, file string, n_tokens long, ids_crc32 long"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # as text, part 100000 would come before part 99999
     before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)

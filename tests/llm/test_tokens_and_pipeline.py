@@ -55,6 +55,35 @@ def test_a_key_that_two_units_share_gives_each_its_ids(library, monkeypatch):
         assert encoder.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_learning_units_holds_one_table_of_them(monkeypatch):
+    import tracemalloc
+
+    encoder = token_orc.Encoder(token_orc.default_tokenizer())
+    rng, n = np.random.default_rng(3), 60_000
+    monkeypatch.setattr(encoder, "_unit_ids", lambda units: (np.zeros(4 * n, np.int32), np.full(n, 4)))
+    tracemalloc.start()
+    try:
+        for _ in range(20):
+            keys = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            encoder._learn(keys, keys, keys, [])
+        held = len(encoder.settled[0]) + len(encoder.recent[0])
+        assert held == 20 * n and tracemalloc.get_traced_memory()[1] < 64 * held  # 29 bytes and 4 ids each, and a column that is being copied
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_that_workers_get_are_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    plan = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda *a, **b: seen.append(spark.conf.get(name)) or plan(*a, **b))
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text"))
+    assert token_orc.encode_and_index(docs, folder=str(tmp_path / "ids")).count() == 60
+    assert seen and all(int(x) <= 1 << 22 for x in seen) and spark.conf.get(name) == before
+
+
 def test_files_are_ordered_by_part_number(spark, tmp_path):
     folder = tmp_path / "ids"
     token_orc.write_tokens(documents(spark), str(folder), partitions=3)
