@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from scriptorium.functions.similarity import token_set
+from scriptorium.functions.similarity import block_ratio, common_letters, letter_places, token_set
 from scriptorium.operators import references
 
 REFS, CANDS = "ref_id long, text string, key int", "key long, text string, pos long, ref_id int"
@@ -71,6 +71,47 @@ def test_bounds_leave_every_pair_at_the_threshold():
     assert near > 250 and kept < 120 * 7
 
 
+def test_common_letters_are_those_of_the_longest_common_subsequence():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abé中 ") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+        assert common_letters(letter_places(a), len(a), b) == row[-1]
+
+
+def test_the_matcher_runs_on_few_pairs_of_unlike_texts(monkeypatch):
+    rng, runs = random.Random(17), []
+    parts = ["the", "ing", "on", "re", "nd", "er", "in", "at", "es", "tion", "th", "ha", "or", "st"]
+    text = lambda: " ".join(sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(24)}))
+    left, right = [text() for _ in range(30)], [text() for _ in range(60)]
+    right += [t[:40] + "x" + t[45:] for t in left]
+    want = [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if len(a) + len(b) and SequenceMatcher(None, a, b).ratio() >= 0.8]
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            runs.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(references, "SequenceMatcher", Counted)
+    assert sorted(references.alike(left, right, 0.8)) == want and len(want) >= 30
+    assert len(runs) <= len(want) + 60
+
+
+def test_token_sets_with_a_least_score_keep_their_score():
+    rng = random.Random(18)
+    words = ["a", "ab", "abc", "bcd", "eée", "the", "then", "zz", "y1", "y2"]
+    for _ in range(400):
+        a, b = (" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(2))
+        ta, tb = set(a.split()), set(b.split())
+        joined = [" ".join(sorted(s)) for s in (ta & tb, ta, tb)]
+        want = max(block_ratio(joined[i], joined[j]) for i, j in ((0, 1), (0, 2), (1, 2)))
+        assert token_set(a, b) == want and token_set(a, b, 0.8) == (want if want >= 0.8 else 0.0)
+
+
 def test_awkward_references(spark):
     rows = [(1, None), (2, ""), (3, "..."), (4, "Same Text"), (4, "same text"), (None, "same text"), (5, "ß ﬀ 中文"), (6, "x" * 5000)]
     texts = [(10, "same text", 3), (11, "SAME, TEXT!", 1), (None, "same text", 0), (12, None, 2), (10, "same text", 3), (13, "x" * 5000, 4), (14, "中文 ß ﬀ", 5)]
