@@ -13,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -48,14 +47,18 @@ def stale_at(state: tuple[str, int, int | None]) -> int | None:
 
 
 class PaperStates(StatefulProcessor):
-    """The state of one paper after another change; see the module's text."""
+    """The state of one paper after another change; see the module's text.
+
+    Papers have few changes each, so these come and go as rows: a data frame for each paper would be most of the work.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", _STATE)
 
     def _now(self) -> tuple[str, int, int | None]:
-        return tuple(self.state.get()) if self.state.exists() else ("pending", 0, None)
+        held = self.state.get()  # one call; asking whether there is one would be another
+        return ("pending", 0, None) if held is None else tuple(held)
 
     def _given_up(self, key: str, state: tuple[str, int, int | None]) -> tuple[tuple, tuple]:
         """A stale paper is pending again; the attempt doesn't count, as it had no result."""
@@ -69,38 +72,42 @@ class PaperStates(StatefulProcessor):
         if (new := stale_at(after)) is not None and new != old:
             self.handle.registerTimer(new)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         first = state = self._now()
         out = []
-        every = pd.concat(list(rows)).sort_values(["at_ms", "seq"], kind="stable")
-        for status, at, seq in zip(every["status"], every["at_ms"], every["seq"]):
-            at = int(at)
+        for at, _, seq, status in sorted(((r.at_ms, r.seq is None, r.seq, r.status) for r in rows), key=_by_time):
             if (limit := stale_at(state)) is not None and at > limit:
                 state, row = self._given_up(key[0], state)
                 out.append(row)
             after, reason = step(state, status, at)
-            out.append((key[0], int(seq), at, state[0], status, not reason, after[1], reason))
+            out.append((key[0], seq, at, state[0], status, not reason, after[1], reason))
             state = after
         self._keep(first, state)
-        yield _frame(out)
+        yield from map(_row, out)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         state = self._now()
         if (limit := stale_at(state)) is None or limit > expiredTimerInfo.getExpiryTimeInMs():
-            yield _frame([])
             return
         after, row = self._given_up(key[0], state)
         self.state.update(after)
-        yield _frame([row])
+        yield _row(row)
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in CHANGES.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"seq": "Int64", "at_ms": "Int64", "attempts": "Int32"})
+_NAMES = [c.split()[0] for c in CHANGES.split(", ")]
+
+
+def _row(change: tuple) -> Row:
+    return Row(**dict(zip(_NAMES, change)))
+
+
+def _by_time(change: tuple) -> tuple:
+    """Order of a paper's changes: time, then ``seq``, rows without one last."""
+    at, lacking, seq, _ = change
+    return at, lacking, 0 if lacking else seq
 
 
 def status_changes(stream: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ def status_changes(stream: DataFrame) -> DataFrame:
     """
     own = stream.where("key IS NOT NULL AND at IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.col("status").cast("string").alias("status"), F.col("at"), F.col("seq").cast("long").alias("seq"))
     timed = own.withWatermark("at", LATE).withColumn("at_ms", F.unix_millis("at"))
-    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=PaperStates(), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime")
+    return timed.groupBy("key").transformWithState(statefulProcessor=PaperStates(), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime")
 
 
 def run_states(stream: DataFrame, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

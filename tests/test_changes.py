@@ -243,6 +243,48 @@ def test_a_stream_that_is_stopped_goes_on_where_it_was(spark, tmp_path):
     assert any(r[-1] == "stale" for r in changes) and any(r[-1] == "no third attempt" for r in changes)
 
 
+def test_a_papers_changes_come_and_go_as_rows_with_one_call_for_its_state():
+    from pyspark.sql import Row
+
+    class State:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def exists(self):
+            self.calls += 1
+            return self.held is not None
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = State(), set()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.state
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    handle, papers = Handle(), paper_states.PaperStates()
+    papers.init(handle)
+    events = [("a", "failed", 9 * HOUR, 4), ("a", "in-progress", HOUR, 1), ("a", "failed", 9 * HOUR, 3), ("a", "in-progress", 90 * HOUR, 5), ("a", None, 2 * HOUR, 2)]
+    rows = [Row(key=k, status=s, at_ms=at, seq=q) for k, s, at, q in events]
+    got = [tuple(r) for r in papers.handleInputRows(("a",), iter(rows), None)]
+    state, want = plain_states(events)
+    assert got == want and handle.state.held == state["a"] and handle.state.calls == 1 and handle.timers == {114 * HOUR}
+    later = [Row(key="a", status="ok", at_ms=91 * HOUR, seq=None), Row(key="a", status="failed", at_ms=91 * HOUR, seq=6)]
+    got = [(r.seq, r.accepted) for r in papers.handleInputRows(("a",), iter(later), None)]
+    assert got == [(6, True), (None, False)] and handle.state.calls == 2 and not handle.timers
+
+
 def test_seen_sources_over_batches_and_reruns(spark, tmp_path):
     table = seen.seen_table(spark, str(tmp_path / "seen"), 4)
     batch = lambda *rows: spark.createDataFrame(list(rows), "path string, content string")
