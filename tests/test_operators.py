@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import backlinks, export, links, matching, merging, venues
 from scriptorium.plans.catalogue import ORACLE_SQL, QUERIES
+from scriptorium.session import FREED, stored
 from scriptorium.sources import corpus, records, sinks
 from scriptorium.streaming import waves
 
@@ -381,3 +382,33 @@ def test_near_duplicate_keys_move_few_rows(spark):
     assert places.count() == 500 * 9 and segments.count() == 500 * 5
     lint_keys = own.select(F.concat(F.lit("p"), F.substring("key", 1, 6)).alias("key")).select("key", F.col("key").alias("text"), F.length("key").alias("size"), F.col("key").alias("tail"))
     assert matching._segments(lint_keys, lint_keys.select("size").distinct(), 0.92)[1].count() == 0  # short keys meet with a character taken out
+
+
+@pytest.mark.parametrize("rare", [0, 40, 10_000])
+def test_near_duplicate_keys_in_rounds_lose_no_pair(spark, monkeypatch, rare):
+    """Few rows at a time on the disk, and no, some or all lengths rare, give the pairs of brute force."""
+    monkeypatch.setattr(matching, "ROUND_ROWS", 900)
+    monkeypatch.setattr(matching, "RARE_KEYS", rare)
+    written, store = [], matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df: written.append(1) or store(df))
+    rng, keys = random.Random(9), set()
+    for n in [30] * 14 + [32] * 14 + [35, 39]:
+        base = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        keys.add(base)
+        for edits in (1, 2, 3):
+            key = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(key))
+                key[at : at + rng.randrange(2)] = rng.choice(["", "b", "1"])
+            keys.add("".join(key))
+    got = {(r.a, r.b) for r in matching.near_duplicate_keys(spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
+    want = {(a, b) for a in keys for b in keys if a < b and SequenceMatcher(None, a, b).ratio() >= 0.92}
+    assert got == want and len(want) > 60 and (len(written) > 3) == (rare < 10_000)
+
+
+def test_stored_rows_leave_no_shuffle_on_the_disk(spark):
+    blocks = lambda: {str(b) for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, setting = blocks(), spark.conf.get(FREED, None)
+    kept = stored(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n")))
+    assert not blocks() - before and spark.conf.get(FREED, None) == setting
+    assert kept.count() == 700 and kept.columns == ["k", "n"]
